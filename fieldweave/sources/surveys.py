@@ -45,11 +45,12 @@ def parse_surveys(docs: DataFrame, xml: str = "xml", path: str = "path", row_tag
 
 
 def read_survey_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """XML text of every document inside zip bundles: one row (path, xml) per document.
+    """XML text of every document inside zip bundles: one row (path, xml) per document."""
+    return unpack_bundles(spark.read.format("binaryFile").load(path).select("path", "content"))
 
-    A bundle is one file and is unpacked inside the task that read it.
-    """
-    blobs = spark.read.format("binaryFile").load(path).select("path", "content")
+
+def unpack_bundles(blobs: DataFrame) -> DataFrame:
+    """Bundles are unpacked in the tasks that hold them, one document at a time."""
 
     def unpack(batches):
         import io
@@ -61,10 +62,8 @@ def read_survey_bundles(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(pdf["path"], pdf["content"]):
                 stem = name[:-4] if name.endswith(".zip") else name
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.namelist():
-                        if entry.endswith(".xml"):
-                            text = z.read(entry).decode("utf-8", "replace")
-                            yield pd.DataFrame({"path": [f"{stem}/{entry}"], "xml": [text]})
+                    docs = [(f"{stem}/{e}", z.read(e).decode("utf-8", "replace")) for e in z.namelist() if e.endswith(".xml")]
+                yield pd.DataFrame(docs, columns=["path", "xml"])
 
     return blobs.mapInPandas(unpack, "path string, xml string")
 
