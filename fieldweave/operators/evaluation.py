@@ -155,37 +155,61 @@ def best_threshold(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return c.groupBy(*keys).agg(F.min_by(F.struct("threshold", "precision", "recall", "f1"), F.struct(-F.col("f1"), F.col("threshold"))).alias("b")).select(*keys, "b.*")
 
 
+def _ranking_sums() -> list[Column]:
+    """Step sum of precision, and negatives beaten by the positives above them, ties counting half."""
+    beaten = (F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2.0)
+    return [
+        F.sum(F.col("tp") / F.col("flagged") * F.col("pos")).alias("__ap"), F.sum(beaten).alias("__auc"),
+        F.max("total_pos").alias("n_pos"), F.max("total").alias("n")]
+
+
+def _ranking_metrics() -> list[Column]:
+    return [
+        safe_div("__ap", "n_pos").alias("average_precision"),
+        F.try_divide(F.col("__auc"), F.col("n_pos") * (F.col("n") - F.col("n_pos")).cast("double")).alias("roc_auc")]
+
+
 def curve_metrics(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Average precision by steps and ROC AUC with tied ranks."""
-    prec = F.col("tp") / F.col("flagged")
-    neg = F.col("n") - F.col("pos")
-    # each negative is beaten by the positives above it and half-beaten by its ties
-    beaten = neg * (F.col("tp") - F.col("pos") / 2.0)
-    c = curve.groupBy(*keys).agg(
-        F.sum(prec * F.col("pos")).alias("__ap"), F.sum(beaten).alias("__auc"),
-        F.max("total_pos").alias("n_pos"), F.max("total").alias("n"))
-    return c.select(
-        *keys, safe_div("__ap", "n_pos").alias("average_precision"),
-        F.try_divide(F.col("__auc"), F.col("n_pos") * (F.col("n") - F.col("n_pos")).cast("double")).alias("roc_auc"), "n", "n_pos")
+    return curve.groupBy(*keys).agg(*_ranking_sums()).select(*keys, *_ranking_metrics(), "n", "n_pos")
 
 
-def hard_metrics(df: DataFrame, truth: str, guess: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts with MCC, balanced accuracy and the rest."""
-    c = df.groupBy(*keys).agg(*_counts(truth, guess))
+def best_split_metrics(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every metric at the best-F1 threshold (strictly above it), from the curve alone.
+
+    The curve row of the threshold already holds the counts at or above it, so
+    the scores are read once however many metrics are wanted.
+    """
+    c = with_precision_recall(curve)
+    best = F.min_by(F.struct("threshold", "tp", "flagged", "pos", "n"), F.struct(-F.col("f1"), F.col("threshold")))
+    a = c.groupBy(*keys).agg(best.alias("__b"), *_ranking_sums())
+    tp = F.col("__b.tp") - F.col("__b.pos")
+    flagged = F.col("__b.flagged") - F.col("__b.n")
+    a = a.withColumns({"tp": tp, "fp": flagged - tp, "fn": F.col("n_pos") - tp, "tn": F.col("n") - F.col("n_pos") - flagged + tp})
+    return a.select(*keys, F.col("__b.threshold").alias("threshold"), *_hard(), *_ranking_metrics(), (F.col("n_pos") / F.col("n")).alias("positive_ratio"))
+
+
+def _hard() -> list:
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     mcc = safe_div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
     bal = (safe_div(tp, tp + fn) + safe_div(tn, tn + fp)) / 2.0
-    return c.select(*keys, "tp", "fp", "fn", "tn", safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"), *_prf(), mcc.alias("mcc"), bal.alias("balanced_accuracy"))
+    return ["tp", "fp", "fn", "tn", safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"), *_prf(), mcc.alias("mcc"), bal.alias("balanced_accuracy")]
+
+
+def hard_metrics(df: DataFrame, truth: str, guess: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts with MCC, balanced accuracy and the rest."""
+    return df.groupBy(*keys).agg(*_counts(truth, guess)).select(*keys, *_hard())
 
 
 def metrics_at(scored: DataFrame, truth: str, score: str, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 at a threshold (>=) with average precision and ROC AUC."""
-    hard = scored.withColumn("__g", (F.col(score) >= threshold).cast("int"))
-    a = binary_metrics(hard, truth, "__g", keys).drop("accuracy")
-    b = curve_metrics(score_curve(scored, truth, score, keys), keys).select(*keys, "average_precision", "roc_auc")
-    if keys:
-        return a.join(b, list(keys))
-    return a.withColumn("__b", b.select(F.struct("average_precision", "roc_auc")).scalar()).select("*", "__b.*").drop("__b")
+    """Precision, recall, F1 at a threshold (>=) with average precision and ROC AUC, all from one curve."""
+    curve = score_curve(scored, truth, score, keys)
+    hit = F.col("threshold") >= threshold
+    tp = F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0))
+    flagged = F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+    a = curve.groupBy(*keys).agg(tp.alias("tp"), flagged.alias("__flagged"), *_ranking_sums())
+    a = a.withColumns({"fp": F.col("__flagged") - F.col("tp"), "fn": F.col("n_pos") - F.col("tp")})
+    return a.select(*keys, *_prf(), *_ranking_metrics())
 
 
 def stratum_thresholds(scored: DataFrame, stratum: str, truth: str, score: str, strata: Sequence[str], steps: int = 19) -> DataFrame:

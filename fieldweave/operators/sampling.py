@@ -54,13 +54,13 @@ def budget_sites(rows: DataFrame, budget: int, must_have: str, key: str = "uniqu
     left = must.agg(F.greatest(F.lit(0), F.lit(budget) - F.count("*"))).scalar()
     per_year = rest.groupBy("year").agg(F.count("*").alias("__n"))
     total = rest.agg(F.count("*")).scalar()
-    quota = per_year.withColumns({"__left": left, "__total": total}).select(
+    quota = per_year.withColumns({"__budget": left, "__total": total}).select(
         "year",
-        F.when(F.col("__left") <= 0, 0).otherwise(F.least(
-            F.col("__n"), F.greatest(F.lit(1), F.bround(F.col("__left") * F.col("__n") / F.col("__total")).cast("long")))).alias("__quota"))
+        F.when(F.col("__budget") <= 0, 0).otherwise(F.least(
+            F.col("__n"), F.greatest(F.lit(1), F.bround(F.col("__budget") * F.col("__n") / F.col("__total")).cast("long")))).alias("__quota"))
     marked = rest.join(F.broadcast(quota), "year")
     fill = hashed_sample(marked, ["year"], "__quota", seed, [key]).drop("__quota")
-    trimmed = hashed_sample(fill.withColumn("__left", left), [], "__left", seed, [key]).drop("__left")
+    trimmed = hashed_sample(fill.withColumn("__budget", left), [], "__budget", seed, [key]).drop("__budget")
     chosen = must.unionByName(trimmed).withColumn("part", F.lit(1))
     other = rest.join(chosen.select(key), key, "left_anti").withColumn("part", F.lit(2))
     return chosen.unionByName(other)

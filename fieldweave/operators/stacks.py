@@ -42,12 +42,12 @@ def with_stack_path(rows: DataFrame, stacks: DataFrame, key: str = "file_id") ->
 
 
 def stack_inventory(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Site, date, kind, sensor folder, version and labeler of every stack or label file name."""
+    """Site, date, kind, sensor folder, version and labeler of every stack or label file name; other columns stay."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     folder = F.split(F.col(path), "/")
     label = r"^\d+_\d{4}\.\d{2}\.\d{2}_([A-Z]+)_labels"
     return paths.select(
-        path, name.alias("name"),
+        "*", name.alias("name"),
         regex_or_null(name, r"^(\d+)_\d{4}\.\d{2}\.\d{2}_").alias("site"),
         F.try_to_date(regex_or_null(name, r"^\d+_(\d{4}\.\d{2}\.\d{2})_"), "yyyy.MM.dd").alias("image_date"),
         F.when(name.rlike(r"_stack_masked\."), "stack_masked").when(name.rlike(r"_stack\."), "stack")

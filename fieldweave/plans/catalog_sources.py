@@ -147,12 +147,8 @@ def _inventory(spark, d):
     base = F.concat(_s("site_num"), F.lit("_"), F.date_format("image_date", "yyyy.MM.dd"))
     name = F.when(k % 3 == 0, F.concat(base, F.lit("_stack.tif"))).when(k % 3 == 1, F.concat(base, F.lit("_stack_masked.tif"))).otherwise(
         F.concat(base, F.lit("_"), F.col("operator_initials"), F.lit("_labels.tif")))
-    path = F.concat(F.lit("store/"), F.when(k % 2 == 0, "sentinel2").otherwise("planetscope"), F.lit("/v"), _s(k % 4), F.lit("/"), name, F.lit("#"), _s(k))
-    # the row id rides behind the path so that the check can name the row
-    inv = ST.stack_inventory(i.select(F.regexp_replace(path, "#.*$", "").alias("path"), path.alias("tagged")).withColumn("path", F.col("path")).select("path", "tagged").distinct()
-                             .select(F.concat_ws("|", "path", "tagged").alias("both")).select(F.element_at(F.split("both", r"\|"), 1).alias("path"), F.element_at(F.split("both", "#"), -1).cast("bigint").alias("unique_id"))
-                             .select(F.concat(F.lit("id"), _s("unique_id"), F.lit("/"), F.col("path")).alias("path")))
-    return inv.withColumn("unique_id", F.regexp_extract("path", r"^id(\d+)/", 1).cast("bigint"))
+    path = F.concat(F.lit("store/"), F.when(k % 2 == 0, "sentinel2").otherwise("planetscope"), F.lit("/v"), _s(k % 4), F.lit("/"), name)
+    return ST.stack_inventory(i.select("unique_id", path.alias("path")))
 
 
 @query("S13_latest_version", "SELECT o_orderkey, o_orderpriority AS version FROM orders WHERE o_orderpriority = (SELECT max(o_orderpriority) FROM orders)")

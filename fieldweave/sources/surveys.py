@@ -59,11 +59,15 @@ def unpack_bundles(blobs: DataFrame) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
+            docs = []
             for name, content in zip(pdf["path"], pdf["content"]):
                 stem = name[:-4] if name.endswith(".zip") else name
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    docs = [(f"{stem}/{e}", z.read(e).decode("utf-8", "replace")) for e in z.namelist() if e.endswith(".xml")]
-                yield pd.DataFrame(docs, columns=["path", "xml"])
+                    docs += [(f"{stem}/{e}", z.read(e).decode("utf-8", "replace")) for e in z.namelist() if e.endswith(".xml")]
+                if len(docs) >= 1000:
+                    yield pd.DataFrame(docs, columns=["path", "xml"])
+                    docs = []
+            yield pd.DataFrame(docs, columns=["path", "xml"])
 
     return blobs.mapInPandas(unpack, "path string, xml string")
 
