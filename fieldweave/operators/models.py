@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from . import evaluation as E
 from .balance import oversample
 from .sampling import downsample_zero
@@ -91,6 +92,7 @@ def standardised(train: DataFrame, other: DataFrame) -> DataFrame:
 
 def compare_models(train: DataFrame, test: DataFrame, models: Mapping | None = None) -> DataFrame:
     """Threshold metrics, average precision and ROC AUC of several models on one test set."""
+    train, test = settled(train), settled(test)
     rows = []
     for name, (kind, params) in (models or COMPARISON).items():
         scored = score(fit(train, kind, params, scale=kind == "logistic_regression", balanced=kind != "gradient_boosting"), test)
@@ -107,7 +109,7 @@ def train_fold(train: DataFrame, val: DataFrame, kind: str = "random_forest", pa
     bal = downsample_zero(train, "y", [key], ratio, seed)
     if smote:
         bal = oversample(bal, "y", key, vector, seed=seed)
-    model = fit(with_vector(bal, vector), kind, params, scale=True, seed=seed)
+    model = fit(with_vector(settled(bal), vector), kind, params, scale=True, seed=seed)
     scored = score(model, with_vector(val, vector))
     return model, fold_metrics(scored)
 
@@ -118,8 +120,8 @@ def fold_metrics(scored: DataFrame, truth: str = "y", proba: str = "p") -> DataF
 
 
 def cross_validate(rows: DataFrame, folds: Sequence[int], **options) -> DataFrame:
-    """One row of metrics per fold; ``rows`` has ``fold``. Every fold reads the table, so it is kept (memory, then disk)."""
-    rows = rows.persist()
+    """One row of metrics per fold; ``rows`` has ``fold``. Every fold reads the table, so it is settled first."""
+    rows = settled(rows)
     out = []
     for f in folds:
         _, m = train_fold(rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), **options)
@@ -132,7 +134,8 @@ def learning_curve(rows: DataFrame, shares: Sequence[float], folds: Sequence[int
     """Train and validation F1 by share of the training rows; shares are nested by hash."""
     from ..functions.keys import hash_uniform
 
-    data = with_vector(rows, vector).withColumn("__u", hash_uniform(seed, key)).persist()
+    data = with_vector(rows, vector).withColumn("__u", hash_uniform(seed, key))
+    data = settled(data)
     out = []
     for s in shares:
         for f in folds:
@@ -147,6 +150,7 @@ def learning_curve(rows: DataFrame, shares: Sequence[float], folds: Sequence[int
 
 def leave_group_out(rows: DataFrame, group: str, groups: Sequence[str], kind: str = "random_forest", params: Mapping | None = None) -> DataFrame:
     """Train on all other groups, test on one; ``groups`` come from ``sampling.group_splits``."""
+    rows = settled(rows)
     out = []
     for g in groups:
         model = fit(rows.filter(F.col(group) != g), kind, params)
@@ -156,6 +160,7 @@ def leave_group_out(rows: DataFrame, group: str, groups: Sequence[str], kind: st
 
 def year_transfer(rows: DataFrame, year: str, cut: int, kind: str = "random_forest", params: Mapping | None = None) -> DataFrame:
     """Early years to late years and back."""
+    rows = settled(rows)
     early, late = rows.filter(F.col(year) <= cut), rows.filter(F.col(year) > cut)
     out = [
         E.metrics_at(score(fit(a, kind, params), b), "y", "p").select(F.lit(n).alias("setting"), "*")
@@ -191,6 +196,7 @@ def experiment_row(scored: DataFrame, label: str, strata: Sequence[str], n_featu
 
 def out_of_fold(rows: DataFrame, folds: Sequence[int], params: Mapping | None = None) -> DataFrame:
     """Every row scored by the model that did not see its fold."""
+    rows = settled(rows)
     parts = [score(fit(rows.filter(F.col("fold") != f), "random_forest", params), rows.filter(F.col("fold") == f)) for f in folds]
     return reduce(DataFrame.unionByName, parts)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import _c, hash_key
-from ..session import ensure_checkpoint_dir
+from ..session import settled
 
 
 def first_per_key(df: DataFrame, keys: Sequence, order: Sequence, n: int = 1, rank_col: str | None = None) -> DataFrame:
@@ -47,12 +47,10 @@ def numbered(df: DataFrame, order: Sequence[str], id_col: str = "unique_id", sta
     range, then offset) over the very same ranges. Only the count per range, one
     row per partition, goes through a single task.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    laid = (
+    laid = settled(
         df.repartitionByRange(*[F.col(c) for c in order])
         .sortWithinPartitions(*order)
         .withColumn("__row", F.monotonically_increasing_id())
-        .checkpoint()
     )
     laid = laid.withColumns({
         "__range": F.shiftright("__row", 33),
@@ -80,33 +78,21 @@ def hashed_sample(
     """
     q = F.lit(quota) if isinstance(quota, int) else _c(quota)
     marked = df.withColumn("__h", hash_key(seed, *ids)).withColumn("__b", F.substring("__h", 1, prefix))
-    one_key = not keys
-    if one_key:
-        marked = marked.withColumn("__k", F.lit(1))
-    group = ["__k"] if one_key else list(keys)
-    counts = marked.groupBy(*group, "__b").agg(F.count("*").alias("__n"), F.max(q).cast("long").alias("__q"))
-    w = Window.partitionBy(*group).orderBy("__b")
-    edge = (
-        counts.withColumn("__cum", F.sum("__n").over(w))
-        .groupBy(*group)
-        .agg(
-            F.min(F.when(F.col("__cum") > F.col("__q"), F.struct(
-                F.col("__b").alias("b"),
-                (F.col("__q") - F.col("__cum") + F.col("__n")).alias("left"),
-            ))).alias("__cut")
-        )
-        .select(*group, F.coalesce(F.col("__cut.b"), F.lit("~")).alias("__edge"), F.col("__cut.left").alias("__left"))
-    )
-    cond = [marked[g].eqNullSafe(edge[g]) for g in group]
-    near = marked.join(edge, cond, "inner")
-    for g in group:
-        near = near.drop(edge[g])
-    whole = near.filter(F.col("__b") < F.col("__edge"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("__h", *ids))
-    cut = near.filter(F.col("__b") == F.col("__edge")).withColumn("__rn", rank)
-    cut = cut.filter(F.col("__rn") <= F.col("__left")).drop("__rn")
-    out = whole.unionByName(cut).drop("__h", "__b", "__edge", "__left")
-    return out.drop("__k") if one_key else out
+    counts = marked.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), F.max(q).cast("long").alias("__q"))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
+    cut_at = F.min(F.when(F.col("__cum") > F.col("__q"), F.struct(
+        F.col("__b").alias("b"), (F.col("__q") - F.col("__cum") + F.col("__n")).alias("left"))))
+    edge = counts.withColumn("__cum", F.sum("__n").over(w)).groupBy(*keys).agg(cut_at.alias("__cut"))
+    if keys:
+        edge = edge.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cut")
+        cond = [marked[k].eqNullSafe(edge[f"__k_{k}"]) for k in keys]
+        near = marked.join(edge, cond).drop(*[f"__k_{k}" for k in keys])
+    else:
+        near = marked.withColumn("__cut", edge.scalar())
+    whole = near.filter(F.col("__cut").isNull() | (F.col("__b") < F.col("__cut.b")))
+    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__h", *ids))
+    part = near.filter(F.col("__b") == F.col("__cut.b")).withColumn("__rn", rank).filter(F.col("__rn") <= F.col("__cut.left")).drop("__rn")
+    return whole.unionByName(part).drop("__h", "__b", "__cut")
 
 
 def hashed_first(df: DataFrame, n: int, seed: int, ids: Sequence[str]) -> DataFrame:

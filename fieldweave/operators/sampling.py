@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ranking import hashed_first, hashed_sample
 
 SEED = 42
@@ -49,6 +50,7 @@ def budget_sites(rows: DataFrame, budget: int, must_have: str, key: str = "uniqu
     least one. If rounding overshoots, the fill is trimmed by hash. ``part`` is 1
     for the chosen rows and 2 for the complement.
     """
+    rows = settled(rows)
     must = rows.filter(F.col(must_have))
     rest = rows.filter(~F.col(must_have))
     left = must.agg(F.greatest(F.lit(0), F.lit(budget) - F.count("*"))).scalar()
@@ -59,7 +61,7 @@ def budget_sites(rows: DataFrame, budget: int, must_have: str, key: str = "uniqu
         F.when(F.col("__budget") <= 0, 0).otherwise(F.least(
             F.col("__n"), F.greatest(F.lit(1), F.bround(F.col("__budget") * F.col("__n") / F.col("__total")).cast("long")))).alias("__quota"))
     marked = rest.join(F.broadcast(quota), "year")
-    fill = hashed_sample(marked, ["year"], "__quota", seed, [key]).drop("__quota")
+    fill = settled(hashed_sample(marked, ["year"], "__quota", seed, [key]).drop("__quota"))
     trimmed = hashed_sample(fill.withColumn("__budget", left), [], "__budget", seed, [key]).drop("__budget")
     chosen = must.unionByName(trimmed).withColumn("part", F.lit(1))
     other = rest.join(chosen.select(key), key, "left_anti").withColumn("part", F.lit(2))

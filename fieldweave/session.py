@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "fieldweave") -> SparkSession:
@@ -42,3 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, so that what follows starts from files.
+
+    For tables that many passes read (training sets, numbered rows): a lost
+    executor costs a re-read, not the whole history.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
