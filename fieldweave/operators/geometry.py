@@ -26,38 +26,53 @@ def scan_lines(rings: DataFrame, xy: str, y0, step, rows: int) -> DataFrame:
     """Inside spans (row, xa, xb) of each ring on the centre lines of a grid.
 
     Row i lies at ``y0 + (i + 0.5) * step``; step may be negative (rows downward).
-    Only rows a ring reaches are exploded. Spans come from paired crossings, so a
-    ring that crosses itself fills by the even-odd rule.
+    Only rows a ring reaches are exploded. Edges are turned once per ring into line
+    units (start row, end row, x, x per row), so a row costs two comparisons and
+    one multiplication per edge. Spans come from paired crossings: a ring that
+    crosses itself fills by the even-odd rule.
     """
-    y0, step = _c(y0) if not isinstance(y0, float) else F.lit(y0), _c(step) if not isinstance(step, float) else F.lit(step)
-    ys = F.transform(xy, lambda p: (p["y"] - y0) / step)
-    r = rings.withColumns({"__lo": F.array_min(ys), "__hi": F.array_max(ys)})
-    first = F.greatest(F.lit(0), F.ceil(F.col("__lo") - 0.5).cast("int"))
-    last = F.least(F.lit(rows - 1), F.floor(F.col("__hi") - 0.5).cast("int"))
-    r = r.withColumns({"__a": first, "__b": last}).filter(F.col("__a") <= F.col("__b"))
-    r = r.withColumn("row", F.explode(F.sequence("__a", "__b"))).drop("__lo", "__hi", "__a", "__b")
-    r = r.withColumn("__x", G.crossings(xy, y0 + (F.col("row") + 0.5) * step)).drop(xy)
-    pair = F.explode_outer(F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("__x") / 2).cast("int")),
-        lambda i: F.struct(F.get("__x", 2 * i).alias("xa"), F.get("__x", 2 * i + 1).alias("xb"))))
-    return r.withColumn("__p", pair).filter(F.col("__p.xb").isNotNull() & (F.col("__p.xb") > F.col("__p.xa"))).select(
-        *[c for c in r.columns if c != "__x"], F.col("__p.xa").alias("xa"), F.col("__p.xb").alias("xb"))
+    y0, step = (F.lit(v) if isinstance(v, float) else _c(v) for v in (y0, step))
+    rest = [c for c in rings.columns if c != xy]
+
+    def line_edges(r):
+        u = F.transform(r, lambda p: F.struct(p["x"].alias("x"), ((p["y"] - y0) / step - 0.5).alias("y")))
+
+        def edges(v):
+            nxt = F.concat(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1))
+            return F.filter(
+                F.zip_with(v, nxt, lambda a, b: F.struct(
+                    a["y"].alias("y1"), b["y"].alias("y2"), a["x"].alias("x"), F.try_divide(b["x"] - a["x"], b["y"] - a["y"]).alias("k"))),
+                lambda e: e["k"].isNotNull())
+
+        return G.bind(u, edges)
+
+    # a ring becomes many rows: spread the rings first, evenly, whatever image they belong to
+    r = rings.repartition(F.xxhash64(xy)).select(*rest, line_edges(F.col(xy)).alias("__edges"))
+    lo = F.array_min(F.transform("__edges", lambda e: F.least(e["y1"], e["y2"])))
+    hi = F.array_max(F.transform("__edges", lambda e: F.greatest(e["y1"], e["y2"])))
+    r = r.withColumns({"__a": F.greatest(F.lit(0), F.ceil(lo).cast("int")), "__z": F.least(F.lit(rows - 1), F.floor(hi).cast("int"))})
+    # outer explodes: the inner form adds a filter that repeats these expressions below
+    r = r.withColumn("row", F.explode_outer(F.when(F.col("__a") <= F.col("__z"), F.sequence("__a", "__z")))).filter(F.col("row").isNotNull())
+    line = F.col("row")
+    hit = F.filter("__edges", lambda e: (e["y1"] <= line) != (e["y2"] <= line))
+    r = r.select(*rest, "row", F.sort_array(F.transform(hit, lambda e: e["x"] + (line - e["y1"]) * e["k"])).alias("__x"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.expr("size(__x) div 2").cast("int")),
+        lambda i: F.struct(F.get("__x", 2 * i).alias("xa"), F.get("__x", 2 * i + 1).alias("xb")))
+    return r.select(*rest, "row", F.explode_outer(pairs).alias("__p")).filter(F.col("__p.xb") > F.col("__p.xa")).select(*rest, "row", "__p.xa", "__p.xb")
 
 
 def covered_lengths(spans: DataFrame, keys: Sequence[str], layers: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
     """Length along each scan line where a condition on layer depths holds.
 
     ``layers`` are 0/1 columns of the spans. Every span adds +1 at its start and -1
-    at its end; equal points are summed before the shuffle, one running sum per
-    line gives the depth of each layer, and ``measures`` are conditions on those
-    depths. Unions, intersections and any mix come out of this one pass, and the
-    window only ever holds one line of one image.
+    at its end; one running sum per line gives the depth of each layer, and
+    ``measures`` are conditions on those depths. Unions, intersections and any mix
+    come out of one shuffle, and the window only ever holds one line of one image.
     """
-    ends = F.array(
-        F.struct(F.col("xa").alias("x"), *[F.col(c).cast("long").alias(c) for c in layers]),
-        F.struct(F.col("xb").alias("x"), *[(-F.col(c)).cast("long").alias(c) for c in layers]))
-    ev = spans.select(*keys, "row", F.explode(ends).alias("e")).select(*keys, "row", "e.*")
-    ev = ev.groupBy(*keys, "row", "x").agg(*[F.sum(c).alias(c) for c in layers])
+    ends = F.array(F.struct(F.col("xa").alias("x"), F.lit(1).alias("s")), F.struct(F.col("xb").alias("x"), F.lit(-1).alias("s")))
+    ev = spans.select(*keys, "row", *layers, F.explode(ends).alias("e")).select(
+        *keys, "row", F.col("e.x").alias("x"), *[(F.col(c) * F.col("e.s")).alias(c) for c in layers])
     w = Window.partitionBy(*keys, "row").orderBy("x")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.select(*keys, "row", (F.lead("x").over(w) - F.col("x")).alias("__len"), *[F.sum(c).over(run).alias(c) for c in layers])
@@ -134,8 +149,9 @@ def burn(rings: DataFrame, height: int, width: int, xy: str = "xy") -> DataFrame
     """Pixels whose centre lies in each ring: one row per ring and pixel."""
     s = scan_lines(rings, xy, 0.0, 1.0, height)
     s = s.withColumns({"__c0": F.greatest(F.lit(0), F.ceil(F.col("xa") - 0.5).cast("int")),
-                       "__c1": F.least(F.lit(width - 1), (F.ceil(F.col("xb") - 0.5) - 1).cast("int"))}).filter("__c0 <= __c1")
-    return s.withColumn("col", F.explode(F.sequence("__c0", "__c1"))).drop("__c0", "__c1", "xa", "xb")
+                       "__c1": F.least(F.lit(width - 1), (F.ceil(F.col("xb") - 0.5) - 1).cast("int"))}).drop("xa", "xb")
+    cells = F.when(F.col("__c0") <= F.col("__c1"), F.sequence("__c0", "__c1"))
+    return s.withColumn("col", F.explode_outer(cells)).filter(F.col("col").isNotNull()).drop("__c0", "__c1")
 
 
 def coverage_percent(rings: DataFrame, keys: Sequence[str], height: int, width: int, fine: int = 10, xy: str = "xy") -> DataFrame:
