@@ -100,20 +100,20 @@ def _(spark, d):
 
 def _box_sql(src, key, val):
     return f"""q AS (SELECT {key}, quantile_cont({val}, 0.25) AS q1, quantile_cont({val}, 0.5) AS q2, quantile_cont({val}, 0.75) AS q3 FROM {src} GROUP BY 1)
-SELECT {key}, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3,
- round(min({val}) FILTER ({val} >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max({val}) FILTER ({val} <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+SELECT {key}, round(q1, 9) AS q1, round(q2, 9) AS q2, round(q3, 9) AS q3,
+ round(min({val}) FILTER ({val} >= q1 - 1.5 * (q3 - q1)), 9) AS whisker_low, round(max({val}) FILTER ({val} <= q3 + 1.5 * (q3 - q1)), 9) AS whisker_high,
  count(*) FILTER ({val} < q1 - 1.5 * (q3 - q1) OR {val} > q3 + 1.5 * (q3 - q1)) AS outliers FROM {src} JOIN q USING ({key}) GROUP BY {key}, q1, q2, q3"""
 
 
 @query("A10_coverage_box", "WITH " + IMAGES_SQL + ", " + _box_sql("images", "operator_initials", "percent_coverage"))
 def _(spark, d):
-    return rounded(P.box_statistics(images(spark, d), ["operator_initials"], "percent_coverage"))
+    return rounded(P.box_statistics(images(spark, d), ["operator_initials"], "percent_coverage"), 9)
 
 
 @query("A10_size_box", "WITH z AS (SELECT l_returnflag, sqrt(l_extendedprice * l_quantity) AS s FROM lineitem), " + _box_sql("z", "l_returnflag", "s"))
 def _(spark, d):
     z = table(spark, d, "lineitem").select("l_returnflag", F.sqrt(F.col("l_extendedprice") * F.col("l_quantity")).alias("s"))
-    return rounded(P.box_statistics(z, ["l_returnflag"], "s"))
+    return rounded(P.box_statistics(z, ["l_returnflag"], "s"), 9)
 
 
 @query("A11_outlier_shares", "WITH " + IMAGES_SQL + """, p AS (SELECT operator_initials, count(*) FILTER (percent_coverage > 35) AS n, count(*) AS a FROM images GROUP BY 1)
