@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import harmonic, safe_div
-from .ranking import first_per_key
 
 
 def nearest_date_matches(rows: DataFrame, reference: str, others: Sequence[str] | None = None, tolerance: int = 1,
@@ -218,6 +217,3 @@ def polygons_near_date(images: DataFrame, polygons: DataFrame, tolerance: int =
         "__n").groupBy("site_id", "image_date").agg(F.sum("__n").alias("n_polygons"))
     return images.join(spread, ["site_id", "image_date"], "left").fillna(0, ["n_polygons"])
 
-
-def best_image_row(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    return first_per_key(df, keys, order)

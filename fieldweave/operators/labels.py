@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import final_operator, image_id, site_number, ymd_date
+from ..functions.keys import final_operator, image_id, site_number
 from ..functions.values import contains_any
 from .ranking import by_priority, first_per_key
 
@@ -73,7 +73,7 @@ def consistency_issues(rows: DataFrame) -> DataFrame:
 
 
 def issue_message(row: str = "line") -> Column:
-    """Report line of a broken rule."""
+    """Report line of a broken rule; the wording, spelling included, is a fixed value of the report format."""
     where = F.format_string("Row %d (internal_id %d, %d/%d/%d): ", F.col(row), "internal_id", "day", "month", "year")
     code = F.col("irrigation").cast("string")
     n = F.coalesce(F.col("n_polygons"), F.lit(0)).cast("string")
@@ -181,6 +181,3 @@ def rule_split(rows: DataFrame, ps_surveys: Sequence[str], extra_surveys: Sequen
         out = part if out is None else out.unionByName(part)
     return out
 
-
-def survey_date() -> Column:
-    return ymd_date()

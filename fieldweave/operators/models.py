@@ -214,6 +214,15 @@ def top_features(model: PipelineModel, names: Sequence[str], n: int = 15) -> Dat
     return importances(model, names).orderBy(F.desc("importance"), "pos").limit(n)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Overwrites; the folder holds every stage and can be read by any Spark session."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def cluster_series(df: DataFrame, vector: str, k: int = 4, seed: int = 42) -> DataFrame:
     """Cluster of every full series."""
     data = with_vector(df, vector)

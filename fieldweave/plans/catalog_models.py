@@ -253,6 +253,13 @@ def _(spark, d):
     return M.score(M.fit(data.filter("split = 'train'"), "gradient_boosting", {"maxIter": 5, "maxDepth": 3}, balanced=False), data.filter("split = 'test'")).select("id", "y", "p")
 
 
+@query("M3_model_choice")
+def _(spark, d):
+    """A tree by name; the forest parameter in the list is not one of its own and is left out."""
+    data = _vec(spark, d)
+    return M.score(M.fit(data.filter("split = 'train'"), "decision_tree", {"maxDepth": 4, "numTrees": 99}), data.filter("split = 'test'")).select("id", "y", "p")
+
+
 @query("M4_compare_models")
 def _(spark, d):
     data = _vec(spark, d)
