@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, token_store
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -19,3 +20,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     both = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_token_store")
+def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    store = token_store.write(docs, TOKENIZER)
+    rows = token_store.lookup(docs.select("doc_id"), store)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
