@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_store
+from . import byte_bpe, decontaminate, token_store
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -28,3 +28,13 @@ def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
     store = token_store.write(docs, TOKENIZER)
     rows = token_store.lookup(docs.select("doc_id"), store)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    marked = decontaminate.overlaps(docs.select("doc_id", "text"), items, window=10)
+    n_hit = decontaminate.hit_words()
+    return marked.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
