@@ -21,7 +21,7 @@ from .common import RollingHash, byte_codes, byte_column, slices
 from .learning import fit_logistic, labelled_sample, sigmoid
 
 #: Bytes of the word beginnings that are pattern voters.
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
 WHOLE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -74,8 +74,12 @@ def vote_matrix(batch: pa.RecordBatch, text: str, voters: np.ndarray) -> np.ndar
     votes = np.zeros((len(batch), len(voters)), bool)
     if not len(voters):
         return votes
+    some = np.zeros(1 << 16, bool)
+    some[voters >> np.uint64(48)] = True
     for low, high in slices(offsets):
         hashes, row, _, _ = votes_of(body[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+        near = np.flatnonzero(some[hashes >> np.uint64(48)])
+        hashes, row = hashes[near], row[near]
         at = np.minimum(np.searchsorted(voters, hashes), len(voters) - 1)
         hit = voters[at] == hashes
         votes[row[hit] + low, at[hit]] = True
