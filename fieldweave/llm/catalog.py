@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, quality, token_store, toxicity
+from . import byte_bpe, chat, decontaminate, quality, token_store, toxicity, vector_graph
 from .common import table
 from .learning import id_remainder
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -83,3 +83,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit(docs, table(spark, folder, "labels"), id_remainder("doc_id", 3) != 1)
     scored = quality.score(docs, model).withColumn("held_out", id_remainder("doc_id", 3) == 1)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_vector_graph")
+def op3_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    index = vector_graph.build_index(vectors, top=20)
+    return vector_graph.search(index, vectors.where(F.col("vec_id") % 20 == 0), top=20)
