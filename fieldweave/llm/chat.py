@@ -49,11 +49,11 @@ def jump_tables(messages: DataFrame) -> list[DataFrame]:
     # Jumps double; no path is longer than its tree has messages.
     most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while 1 << (len(tables) - 1) < most:
-        a, b = tables[-1].alias("a"), tables[-1].alias("b")
+        # Only rows that have not met their root jump on; the rest stay as they are.
+        a, b = tables[-1].where(F.col("up").isNotNull()).alias("a"), tables[-1].alias("b")
         on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.id"))
-        tables.append(stored(a.join(b, on, "left").select(
-            "a.tree", "a.id", "b.up", (F.col("a.hops") + F.coalesce(F.col("b.hops"), F.lit(0))).alias("hops"),
-            (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total")), "jumps"))
+        further = a.join(b, on).select("a.tree", "a.id", "b.up", (F.col("a.hops") + F.col("b.hops")).alias("hops"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        tables.append(stored(tables[-1].where(F.col("up").isNull()).unionByName(further), "jumps"))
     return tables
 
 
