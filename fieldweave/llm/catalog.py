@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, quality, token_store, toxicity, vector_graph
+from . import byte_bpe, chat, decontaminate, jaccard_join, quality, token_store, toxicity, vector_graph
 from .common import table
 from .learning import id_remainder
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -90,3 +90,9 @@ def op3_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     index = vector_graph.build_index(vectors, top=20)
     return vector_graph.search(index, vectors.where(F.col("vec_id") % 20 == 0), top=20)
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.near_copies(docs, words=4, percent=85)
