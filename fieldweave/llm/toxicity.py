@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import RollingHash, byte_codes, byte_column, slices
-from .learning import fit_logistic, labelled_sample, sigmoid
+from .learning import fit_logistic, labelled_sample, sample_of, sigmoid
 
 #: Bytes of the word beginnings that are pattern voters.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
@@ -157,12 +157,12 @@ def repetition(v: np.ndarray, posterior: np.ndarray, rates: np.ndarray) -> np.nd
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", rows: int = 20_000, unlabelled: int = 5_000, voters: int = 384, least: int = 5) -> VoterModel:
     """A model from at most ``rows`` labelled and ``unlabelled`` other documents; the driver gets their votes (bits) only.
 
-    Unlabelled rows are those with the least hash of the text; a labelled row may be among them, then without its label.
+    Both are the rows with the least hash of the id; a labelled row may be among the unlabelled ones, then without its label.
     No labelled rows or no voters: every score is the smoothed share of label 1.
     """
     sample = labelled_sample(docs, labels, label, allowed, rows)
     hashes, patterns = find_voters(sample, voters, least)
-    more = docs.select(F.col("text").alias("body")).where(F.col("body").isNotNull()).orderBy(F.xxhash64("body")).limit(unlabelled).select(F.lit(-1).alias("label"), "body")
+    more = sample_of(docs, unlabelled).select(F.lit(-1).alias("label"), "body")
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
