@@ -19,7 +19,7 @@ def least_hashes(ids: DataFrame, rows: int) -> DataFrame:
     """
     n = ids.count()
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    bound = int(min(1.0, (1.5 * rows + 100) / max(n, 1)) * ((1 << 63) - 1))
+    bound = min((1 << 63) - 1, int((1.5 * rows + 100) / max(n, 1) * (1 << 63)))
     return ids.where(place <= bound).orderBy(place, "doc_id").limit(rows)
 
 
