@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, jaccard_join, quality, repeat_spans, token_store, toxicity, vector_graph
+from . import byte_bpe, chat, decontaminate, jaccard_join, line_dedup, quality, repeat_spans, token_store, toxicity, vector_graph
 from .common import table
 from .learning import id_remainder
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -105,3 +105,9 @@ def op9_repeat_spans(spark: SparkSession, folder: str) -> DataFrame:
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return cut.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, edits=2, least=32).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
