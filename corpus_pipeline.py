@@ -17,9 +17,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def recounted(docs: DataFrame, before: DataFrame) -> DataFrame:
-    """``docs`` in the columns of ``before``, with ``n_chars`` counted anew; texts that are empty now go."""
-    n_chars = F.length("text").cast(before.schema["n_chars"].dataType)
-    return docs.withColumn("n_chars", n_chars).where(F.col("n_chars") > 0).select(*before.columns)
+    """``docs`` in the columns of ``before``, with ``n_chars`` counted anew."""
+    return docs.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType)).select(*before.columns)
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +28,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of 32 characters or more that an earlier place has, up to two edits; documents left without text go."""
-    return recounted(line_dedup.dedup_lines(docs, edits=2, least=32), docs)
+    """Without lines of 32 characters or more that an earlier place has, up to two edits; documents that lose their last line go."""
+    left = line_dedup.dedup_lines(docs, edits=2, least=32)
+    return recounted(left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

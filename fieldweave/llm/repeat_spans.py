@@ -42,7 +42,7 @@ def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, strings, step, times, anchor hash, content hash): stretches of strings with one anchor.
+    """(text, place of the first string in ``body``, strings, step, times, anchor hash, content hash): stretches of strings with one anchor.
 
     In periodic text a stretch repeats at a fixed step; such runs are one row with ``times`` > 1.
     """
@@ -70,8 +70,7 @@ def stretches(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     head = np.flatnonzero(~go_on)
     times = np.diff(np.r_[head, len(low)])
     step = np.where(times > 1, gap[np.minimum(head + 1, len(low) - 1)], 0)
-    first = low[head] - offsets[of[head]]
-    return of[head], first, count[head], step, times, key[head], content[head]
+    return of[head], low[head], count[head], step, times, key[head], content[head]
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -93,10 +92,10 @@ def all_stretches(rows: DataFrame, length: int) -> DataFrame:
                 part = 1 << (PLACE_BITS - 1)
                 for at in range(0, max(1, len(own) - length + 1), part):
                     piece = own[at:at + part + length - 1]
-                    text, first, strings, step, times, key, content = stretches(piece, np.clip(base - at, 0, len(piece)), length)
-                    shift = at if high - low == 1 else 0
+                    text, place, strings, step, times, key, content = stretches(piece, np.clip(base - at, 0, len(piece)), length)
+                    first = place + at - base[text]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[text + low]), pa.array(k2[text + low]), *(pa.array(x.astype(np.int32)) for x in (first + shift, strings, step, times)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
+                        [pa.array(k1[text + low]), pa.array(k2[text + low]), *(pa.array(x.astype(np.int32)) for x in (first, strings, step, times)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
                         ["k1", "k2", "first", "strings", "step", "times", "anchor", "content"])
 
     return rows.mapInArrow(find, STRETCHES)
