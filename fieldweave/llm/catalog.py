@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, jaccard_join, line_dedup, quality, repeat_spans, token_store, toxicity, vector_graph
+from . import byte_bpe, chat, check_sql, decontaminate, jaccard_join, line_dedup, quality, repeat_spans, token_store, toxicity, vector_graph
 from .common import table
 from .learning import id_remainder
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -31,7 +31,7 @@ def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", check_sql.WINDOWS)
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     marked = decontaminate.overlaps(docs.select("doc_id", "text"), items, window=10)
@@ -92,7 +92,7 @@ def op3_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
     return vector_graph.search(index, vectors.where(F.col("vec_id") % 20 == 0), top=20)
 
 
-@query("op7_jaccard_join")
+@query("op7_jaccard_join", check_sql.GROUPS)
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return jaccard_join.near_copies(docs, words=4, percent=85)
@@ -107,7 +107,7 @@ def op9_repeat_spans(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", check_sql.LINES)
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, edits=2, least=32).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
