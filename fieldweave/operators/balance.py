@@ -34,14 +34,15 @@ def nearest_neighbours(points: DataFrame, key: str, vector: str, k: int = 5, blo
         x, y = np.stack(a["v"].to_numpy()), np.stack(c["rv"].to_numpy())
         ids, others = a["id"].to_numpy(), c["rid"].to_numpy()
         parts = []
-        for i in range(0, len(x), 512):
-            d = ((x[i:i + 512, None, :] - y[None, :, :]) ** 2).sum(-1) if x.shape[1] * len(y) < 300_000 else (
-                (x[i:i + 512] ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * x[i:i + 512] @ y.T)
-            d[ids[i:i + 512, None] == others[None, :]] = np.inf
+        # Squared differences, never norms and products: those lose the digits of narrow data. About 32 MB at a time.
+        rows = max(1, 4_000_000 // max(1, y.size))
+        for i in range(0, len(x), rows):
+            d = ((x[i:i + rows, None, :] - y[None, :, :]) ** 2).sum(-1)
+            d[ids[i:i + rows, None] == others[None, :]] = np.inf
             take = min(k, d.shape[1])
             near = np.argpartition(d, take - 1, axis=1)[:, :take]
             parts.append(pd.DataFrame({
-                "id": np.repeat(ids[i:i + 512], take), "neighbour": others[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
+                "id": np.repeat(ids[i:i + rows], take), "neighbour": others[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
         out = pd.concat(parts)
         return out[np.isfinite(out["d"])]
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import settled
 from . import evaluation as E
 from .balance import oversample
-from .sampling import downsample_zero
+from .sampling import downsample_zero, group_splits
 
 BUILDERS = {
     "random_forest": RandomForestClassifier,
@@ -24,9 +24,17 @@ BUILDERS = {
     "decision_tree": DecisionTreeClassifier,
     "logistic_regression": LogisticRegression,
 }
-# The comparison set: three forests, boosting, one tree, one linear model.
+# Defaults of the published models, fixed values. Their forests and trees grow without limit; 30 is the deepest Spark grows.
+DEFAULTS = {
+    "random_forest": {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt"},
+    "gradient_boosting": {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1},
+    "decision_tree": {"maxDepth": 30},
+    "logistic_regression": {},
+}
+EXPERIMENT_TREES = 200
+# The comparison set, fixed values: three forests, boosting, one tree, one linear model.
 COMPARISON = {
-    "forest_full": ("random_forest", {"numTrees": 400, "featureSubsetStrategy": "sqrt"}),
+    "forest_full": ("random_forest", {"numTrees": 400, "maxDepth": 30, "featureSubsetStrategy": "sqrt"}),
     "forest_small": ("random_forest", {"numTrees": 50, "maxDepth": 8, "featureSubsetStrategy": "sqrt"}),
     "forest_tiny": ("random_forest", {"numTrees": 15, "maxDepth": 6, "featureSubsetStrategy": "sqrt"}),
     "boosting": ("gradient_boosting", {"maxIter": 200, "maxDepth": 3}),
@@ -36,12 +44,12 @@ COMPARISON = {
 
 
 def build(kind: str, params: Mapping | None = None, target: str = "y", weight: str | None = "w", seed: int = 42) -> Estimator:
-    """A model by name; parameters it does not have are left out."""
+    """A model by name with the published defaults; parameters it does not have are left out."""
     if kind not in BUILDERS:
         raise ValueError(f"unknown model {kind!r}")
     est = BUILDERS[kind](featuresCol="x", labelCol=target)
     extra = {"seed": seed, **({"weightCol": weight} if weight else {})}
-    known = {k: v for k, v in {**extra, **(params or {})}.items() if est.hasParam(k)}
+    known = {k: v for k, v in {**extra, **DEFAULTS[kind], **(params or {})}.items() if est.hasParam(k)}
     return est.setParams(**known)
 
 
@@ -101,8 +109,8 @@ def compare_models(train: DataFrame, test: DataFrame, models: Mapping | None = N
 
 
 def train_fold(train: DataFrame, val: DataFrame, kind: str = "random_forest", params: Mapping | None = None, ratio: float = 3.0,
-               smote: bool = False, key: str = "id", vector: str = "v", seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """Down-sample, optionally over-sample, scale, fit, score, pick the best threshold, measure.
+               smote: bool = True, key: str = "id", vector: str = "v", seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """Down-sample, over-sample (unless told not to), scale, fit, score, pick the best threshold, measure.
 
     Returns the model and one row of metrics.
     """
@@ -129,6 +137,23 @@ def cross_validate(rows: DataFrame, folds: Sequence[int], **options) -> DataFram
     return reduce(DataFrame.unionByName, out)
 
 
+def experiment(rows: DataFrame, config: Mapping) -> DataFrame:
+    """Summary of a cross-validated experiment described by a config.
+
+    ``model`` = {type, params}, ``sampling`` = {target_ratio, use_smote}, ``seed``, ``metrics``; all but ``folds`` have defaults. Unknown
+    parameters of the model are left out.
+    """
+    model, sampling = config.get("model", {}), config.get("sampling", {})
+    folds = cross_validate(
+        rows, config["folds"], kind=model.get("type", "random_forest"), params=model.get("params"), ratio=sampling.get("target_ratio", 3.0),
+        smote=sampling.get("use_smote", True), seed=config.get("seed", 42))
+    return E.fold_summary(folds, config.get("metrics", ["accuracy", "precision", "recall", "f1_score", "average_precision", "roc_auc"]))
+
+
+#: Shares of the training rows of a learning curve: six even steps from a tenth to all, fixed values.
+SHARES = (0.1, 0.28, 0.46, 0.64, 0.82, 1.0)
+
+
 def learning_curve(rows: DataFrame, shares: Sequence[float], folds: Sequence[int], key: str = "id", kind: str = "random_forest",
                    params: Mapping | None = None, vector: str = "v", seed: int = 42) -> DataFrame:
     """Train and validation F1 by share of the training rows; shares are nested by hash."""
@@ -148,9 +173,31 @@ def learning_curve(rows: DataFrame, shares: Sequence[float], folds: Sequence[int
     return t.groupBy("share", "part").agg(F.avg("f1_score").alias("mean"), F.stddev_pop("f1_score").alias("std"))
 
 
-def leave_group_out(rows: DataFrame, group: str, groups: Sequence[str], kind: str = "random_forest", params: Mapping | None = None) -> DataFrame:
-    """Train on all other groups, test on one; ``groups`` come from ``sampling.group_splits``."""
+#: Levels of the robustness sweeps, fixed values: share of steps dropped, deviation of the noise.
+DROPS, NOISES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6), (0.0, 0.02, 0.05, 0.08, 0.12, 0.16, 0.2)
+
+
+def robustness(models: Mapping[str, PipelineModel], test: DataFrame, key: str = "id", vector: str = "v", drops: Sequence[float] = DROPS,
+               noises: Sequence[float] = NOISES, seed: int = 42) -> DataFrame:
+    """(model, sweep, level, metrics) of trained models on degraded test series.
+
+    ``vector`` is the raw series: its own gaps and the dropped steps are filled together. Every series is degraded to every level in one pass.
+    """
+    from ..functions.series import degrade
+
+    levels = [("drop", float(d), float(d), 0.0) for d in drops] + [("noise", float(n), 0.0, float(n)) for n in noises]
+    level = F.explode(F.array(*[F.struct(F.lit(s).alias("sweep"), F.lit(x).alias("level"), F.lit(d).alias("drop"), F.lit(n).alias("noise")) for s, x, d, n in levels]))
+    each = test.withColumn("__l", level).select("*", "__l.*").drop("__l")
+    bad = settled(with_vector(each.withColumn(vector, degrade(vector, [key], F.col("drop"), F.col("noise"), seed)), vector))
+    rows = [E.metrics_at(score(m, bad), "y", "p", keys=["sweep", "level"]).select(F.lit(name).alias("model"), "*") for name, m in models.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def leave_group_out(rows: DataFrame, group: str, groups: Sequence[str] | None = None, kind: str = "random_forest", params: Mapping | None = None) -> DataFrame:
+    """Train on all other groups, test on one; without ``groups``, those that ``sampling.group_splits`` finds large enough (a group is a model, so they are few)."""
     rows = settled(rows)
+    if groups is None:
+        groups = [r[0] for r in group_splits(rows, group, "y").select(group).orderBy(group).collect()]
     out = []
     for g in groups:
         model = fit(rows.filter(F.col(group) != g), kind, params)
@@ -159,12 +206,13 @@ def leave_group_out(rows: DataFrame, group: str, groups: Sequence[str], kind: st
 
 
 def year_transfer(rows: DataFrame, year: str, cut: int, kind: str = "random_forest", params: Mapping | None = None) -> DataFrame:
-    """Early years to late years and back."""
+    """Early years to late years and back, next to the shared split (``split`` = train / test), which mixes years."""
     rows = settled(rows)
     early, late = rows.filter(F.col(year) <= cut), rows.filter(F.col(year) > cut)
+    shared = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     out = [
         E.metrics_at(score(fit(a, kind, params), b), "y", "p").select(F.lit(n).alias("setting"), "*")
-        for n, a, b in (("early_to_late", early, late), ("late_to_early", late, early))
+        for n, a, b in (("in_distribution", *shared), ("early_to_late", early, late), ("late_to_early", late, early))
     ]
     return reduce(DataFrame.unionByName, out)
 
@@ -178,7 +226,8 @@ def run_experiment(rows: DataFrame, columns: Sequence[str] | str, label: str, pa
                    strata: Sequence[str] = ("smallholder", "medium", "large"), threshold: float = 0.5) -> DataFrame:
     """One row: metrics and recall per stratum of a forest on a shared split (``split`` = train / test)."""
     data = with_vector(rows, columns)
-    model = fit(data.filter("split = 'train'"), "random_forest", params, extra_weight=extra_weight)
+    forest = {"numTrees": EXPERIMENT_TREES, **(params or {})}
+    model = fit(data.filter("split = 'train'"), "random_forest", forest, extra_weight=extra_weight)
     scored = score(model, data.filter("split = 'test'")).withColumn("guess", (F.col("p") >= threshold).cast("int"))
     return experiment_row(scored, label, strata, 1 if isinstance(columns, str) else len(columns))
 
@@ -201,6 +250,16 @@ def out_of_fold(rows: DataFrame, folds: Sequence[int], params: Mapping | None =
     return reduce(DataFrame.unionByName, parts)
 
 
+def stratum_experiment(rows: DataFrame, label: str, folds: Sequence[int], params: Mapping | None = None, strata: Sequence[str] = ("smallholder", "medium", "large")) -> DataFrame:
+    """Thresholds per stratum from out-of-fold scores of the training rows (``fold`` by site), a refit on all of them, and one row for the test split."""
+    forest = {"numTrees": EXPERIMENT_TREES, **(params or {})}
+    rows = settled(rows)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    best = settled(E.stratum_thresholds(out_of_fold(train, folds, forest), "stratum", "y", "p", strata))
+    scored = E.apply_thresholds(score(fit(train, "random_forest", forest), test), best, "stratum", "p")
+    return experiment_row(scored, label, strata, 1)
+
+
 def importances(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     """(pos, feature, importance) of the tree model of a pipeline; one row per feature."""
     from pyspark.sql import SparkSession
@@ -223,11 +282,19 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def cluster_series(df: DataFrame, vector: str, k: int = 4, seed: int = 42) -> DataFrame:
-    """Cluster of every full series."""
-    data = with_vector(df, vector)
+def cluster_series(df: DataFrame, vector: str, k: int = 4, seed: int = 42, least_valid: float = 0.5) -> DataFrame:
+    """Cluster of every series with at least ``least_valid`` of its steps present; gaps are filled, then smoothed. Adds ``cluster`` and ``curve``."""
+    from ..functions.series import interpolate, smooth
+
+    present = F.size(F.filter(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
+    usable = df.filter(present >= least_valid * F.size(vector)).withColumn("curve", smooth(interpolate(vector)))
+    data = with_vector(usable, "curve")
     return KMeans(k=k, seed=seed, featuresCol="x", predictionCol="cluster").fit(data).transform(data).drop("x")
 
 
-def cluster_report(clustered: DataFrame, irrigated: str) -> DataFrame:
-    return clustered.groupBy("cluster").agg(F.count("*").alias("n_pixels"), F.avg(F.col(irrigated).cast("double")).alias("frac_irrigated"))
+def cluster_report(clustered: DataFrame, irrigated: str, curve: str = "curve") -> DataFrame:
+    """Size, share irrigated and mean curve of each cluster."""
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n_pixels"), F.avg(F.col(irrigated).cast("double")).alias("frac_irrigated"))
+    steps = clustered.select("cluster", F.posexplode(curve).alias("step", "value")).groupBy("cluster", "step").agg(F.avg("value").alias("mean"))
+    means = steps.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "mean"))), lambda s: s["mean"]).alias("mean_curve"))
+    return sizes.join(means, "cluster")

@@ -137,9 +137,11 @@ def full_grid(files: DataFrame, height: int, width: int, keys: Sequence[str] = (
 
 def rebuild_mask(guesses: DataFrame, files: DataFrame, height: int, width: int, value: str, fill: int = -1,
                  keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Full grid from guesses on valid pixels only."""
-    g = full_grid(files, height, width, keys)
-    return g.join(guesses.select(*keys, "row", "col", value), [*keys, "row", "col"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+    """Full grid from guesses on valid pixels only; a guess outside the grid is an error."""
+    g = full_grid(files, height, width, keys).withColumn("__cell", F.lit(True))
+    both = g.join(guesses.select(*keys, "row", "col", value), [*keys, "row", "col"], "full")
+    inside = F.when(F.col("__cell").isNull(), F.raise_error(F.lit("a guess lies outside the grid")).cast("int")).otherwise(F.coalesce(value, F.lit(fill)))
+    return both.withColumn(value, inside).drop("__cell")
 
 
 def crop_or_pad(px: DataFrame, height: int, width: int, target: int, bands: Sequence[str], keys: Sequence[str] = ("file_id", "t")) -> DataFrame:
