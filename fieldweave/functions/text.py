@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from .keys import _c
 
-# The uncertainty phrases and the synonym table of the label guide.
-UNCERTAINTY_PHRASES = [
-    "unclear signs of agriculture",
-    "only slightly green",
-    "uneven",
-    "may naturally be green",
-    "may be a fishpond",
-]
+# The phrase of each uncertainty flag and the synonym table of the label guide.
+FLAG_PHRASES = {
+    "unclear": "unclear signs of agriculture",
+    "slightly_green": "only slightly green",
+    "uneven": "uneven",
+    "natural": "may naturally be green",
+    "fishpond": "may be a fishpond",
+}
+UNCERTAINTY_PHRASES = list(FLAG_PHRASES.values())
 CATEGORY_SYNONYMS = {
     "tree_crop": ["agroforestry", "plantation", "tree crop"],
     "industrial": ["industrial", "commercial"],

@@ -75,7 +75,7 @@ def area_category(category="category", area="polygon_area_m2") -> Column:
 def farm_class_m2(size, small: float = 500.0, medium: float = 5000.0) -> Column:
     s = _c(size)
     return (
-        F.when(s.isNull() | F.isnan(s), "none").when(s < small, "smallholder")
+        F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), "none").when(s < small, "smallholder")
         .when(s < medium, "medium").otherwise("large")
     )
 

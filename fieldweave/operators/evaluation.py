@@ -7,19 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FLAG_PHRASES
 from ..functions.values import safe_div
 from .ranking import running_totals
 from .reports import class_report
 
 # Class names and the factor categories of the metric document.
 BINARY = {0: "non_irrigated", 1: "irrigated"}
-UNCERTAINTY = {
-    "unclear": "unclear_signs_of_agriculture",
-    "slightly_green": "only_slightly_green",
-    "uneven": "uneven",
-    "natural": "may_naturally_be_green",
-    "fishpond": "may_be_a_fishpond",
-}
+CATEGORY_CLASSES = {0: "non_irrigated", 1: "small-scale", 2: "tree_crop", 3: "industrial", 4: "lawn", 5: "covered"}
+UNCERTAINTY = {flag: phrase.replace(" ", "_") for flag, phrase in FLAG_PHRASES.items()}
 MONTHS = {6: "june", 7: "july", 8: "august", 9: "september", 10: "october"}
 YEARS = range(2016, 2026)
 EPS = 1e-8
@@ -69,8 +65,8 @@ def factor_rows(truth: str, guess: str) -> tuple[Column, list[tuple[str, str]]]:
 FACTOR_COLUMNS = [*UNCERTAINTY, "certainty", "month", "year", "water_source"]
 
 
-def metrics_by_factor(rows: DataFrame, truth: str, guess: str) -> DataFrame:
-    """Class report per factor and category; empty categories show zeros.
+def metrics_by_factor(rows: DataFrame, truth: str, guess: str, classes: Mapping[int, str] = BINARY) -> DataFrame:
+    """Class report per factor and category; empty categories show zeros. ``classes`` names the codes, two or more.
 
     Rows are counted per combination of factor columns first, so the explode runs
     over some thousands of combinations instead of every pixel.
@@ -78,19 +74,20 @@ def metrics_by_factor(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     combos = rows.groupBy(*FACTOR_COLUMNS, truth, guess).agg(F.count("*").alias("__n"))
     which, cats = factor_rows(truth, guess)
     long = combos.select(F.explode(which).alias("f"), truth, guess, "__n").select("f.factor", "f.category", truth, guess, "__n")
-    got = class_report(long, ["factor", "category"], truth, guess, BINARY, "__n")
-    options = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(c).alias("category"), F.lit(k).alias("class")) for f, c in cats for k in BINARY.values()])
+    got = class_report(long, ["factor", "category"], truth, guess, classes, "__n")
+    options = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(c).alias("category"), F.lit(k).alias("class")) for f, c in cats for k in classes.values()])
     grid = rows.sparkSession.range(1).select(F.explode(options).alias("g")).select("g.*")
     return grid.join(got, ["factor", "category", "class"], "left").fillna(0)
 
 
-def class_presence(px: DataFrame, keys: Sequence[str], truth: str, guess: str, thresholds: Mapping[int, tuple[int, int]] | None = None) -> DataFrame:
+def class_presence(px: DataFrame, keys: Sequence[str], truth: str, guess: str, thresholds: Mapping[int, tuple[int, int]] | None = None,
+                   classes: Mapping[int, str] = BINARY) -> DataFrame:
     """Image-level presence of each class (at least n pixels, truth and guess) and its metrics."""
-    th = thresholds or {c: (1, 1) for c in BINARY}
+    th = thresholds or {c: (1, 1) for c in classes}
     per = px.groupBy(*keys).agg(*[
         F.array(F.count_if(F.col(truth) == c) >= a, F.count_if(F.col(guess) == c) >= b).alias(f"__{c}") for c, (a, b) in th.items()])
     long = per.select(F.explode(F.array(*[
-        F.struct(F.lit(BINARY[c]).alias("class"), F.col(f"__{c}")[0].cast("int").alias("t"), F.col(f"__{c}")[1].cast("int").alias("g")) for c in th])).alias("x")).select("x.*")
+        F.struct(F.lit(classes[c]).alias("class"), F.col(f"__{c}")[0].cast("int").alias("t"), F.col(f"__{c}")[1].cast("int").alias("g")) for c in th])).alias("x")).select("x.*")
     c = long.groupBy("class").agg(*_counts("t", "g"))
     return c.select("class", *_prf(), (F.col("tp") + F.col("fn")).alias("support"))
 

@@ -9,17 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions.keys import _c
+from ..functions.text import FLAG_PHRASES
 from ..functions.values import CATEGORIES
 
-# Pixel codes of the categories and the phrase of each flag band.
+# Pixel codes of the categories.
 CATEGORY_CODES = {"small-scale": 1, "tree_crop": 2, "industrial": 3, "lawn": 4, "covered": 5}
-FLAG_PHRASES = {
-    "unclear": "unclear signs of agriculture",
-    "slightly_green": "only slightly green",
-    "uneven": "uneven",
-    "natural": "may naturally be green",
-    "fishpond": "may be a fishpond",
-}
 
 
 def scan_lines(rings: DataFrame, xy: str, y0, step, rows: int) -> DataFrame:

@@ -77,17 +77,23 @@ def _(spark, d):
 
 
 @query("P8_internal_id_by_line", """
-WITH s AS (SELECT 'id_' || p_partkey AS id, row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey) AS line_no FROM part WHERE p_partkey % 7 <> 3)
-SELECT o_orderkey, s.line_no AS internal_id FROM orders JOIN s ON 'id_' || o_custkey = s.id""")
+WITH s AS (SELECT 'id_' || p_partkey AS id, 'f_' || p_partkey // 25 AS plot_file, row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey) AS line_no FROM part WHERE p_partkey % 7 <> 3),
+t AS (SELECT * FROM s UNION ALL SELECT id, 'other', line_no + 40 FROM s WHERE line_no % 2 = 0)
+SELECT o_orderkey, t.line_no AS internal_id FROM orders JOIN t ON 'id_' || o_custkey = t.id AND CASE WHEN o_orderkey % 3 = 0 THEN 'other' ELSE 'f_' || o_custkey // 25 END = t.plot_file""")
 def _(spark, d):
+    """Every second site is in two sample files, on different lines."""
     from ..sources.surveys import internal_ids
 
     sample = table(spark, d, "part").filter("p_partkey % 7 <> 3").select(
         F.concat(F.lit("id_"), F.col("p_partkey").cast("string")).alias("id"), F.expr("p_partkey div 25").alias("file"), "p_partkey")
-    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("id_"), F.col("o_custkey").cast("string")).alias("site_id"))
+    own = F.concat(F.lit("f_"), F.expr("o_custkey div 25").cast("string"))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("id_"), F.col("o_custkey").cast("string")).alias("site_id"), F.when(F.col("o_orderkey") % 3 == 0, "other").otherwise(own).alias("plot_file"))
     from pyspark.sql import Window
     line = F.row_number().over(Window.partitionBy("file").orderBy("p_partkey")).cast("long")
-    return internal_ids(rows, sample.withColumn("line_no", line).select("id", "line_no")).select("o_orderkey", "internal_id")
+    first = sample.withColumn("line_no", line).select("id", F.concat(F.lit("f_"), F.col("file").cast("string")).alias("plot_file"), "line_no")
+    second = first.filter("line_no % 2 = 0").select("id", F.lit("other").alias("plot_file"), (F.col("line_no") + 40).alias("line_no"))
+    return internal_ids(rows, first.unionByName(second)).select("o_orderkey", "internal_id")
 
 
 @query("P9_image_and_file_ids", "WITH " + IMAGES_SQL + """

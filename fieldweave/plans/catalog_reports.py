@@ -401,11 +401,17 @@ def _(spark, d):
     return report_lines(i.select("source_file").distinct(), bad)
 
 
-@query("W5_metric_documents", "WITH " + SCORES_SQL + """, m AS (SELECT fold, count(*) AS n, round(avg(CAST(y = pred AS INTEGER)), 6) AS accuracy FROM scores GROUP BY 1)
-SELECT fold, '{"fold":' || fold || ',"n":' || n || '}' AS document FROM m""")
+@query("W5_metric_documents", "WITH " + SCORES_SQL + """, m AS (SELECT fold, stratum, pred, count(*) AS n, round(avg(CAST(y = pred AS INTEGER)), 3) AS acc FROM scores GROUP BY ALL),
+c AS (SELECT fold, stratum, string_agg('"' || pred || '":{"accuracy":' || CAST(acc AS VARCHAR) || ',"n":' || CAST(n::DOUBLE AS VARCHAR) || '}', ',' ORDER BY pred) AS j FROM m GROUP BY ALL)
+SELECT fold, '{"stratum":{' || string_agg('"' || stratum || '":{' || j || '}', ',' ORDER BY stratum) || '}}' AS document FROM c GROUP BY fold""")
 def _(spark, d):
-    m = scores(spark, d).groupBy("fold").agg(F.count("*").alias("n"))
-    return m.select("fold", F.to_json(F.struct("fold", "n")).alias("document"))
+    from ..sources.sinks import metric_documents
+
+    m = scores(spark, d).groupBy("fold", "stratum", "pred").agg(F.count("*").cast("double").alias("n"), F.round(F.avg((F.col("y") == F.col("pred")).cast("double")), 3).alias("accuracy"))
+    long = m.select(
+        "fold", F.lit("stratum").alias("factor"), F.col("stratum").alias("category"), F.col("pred").cast("string").alias("class"),
+        F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("n", "accuracy")])))
+    return metric_documents(long, "fold")
 
 
 @query("A31_importance_by_band", """

@@ -13,6 +13,7 @@ from ..operators import tagging as TG
 from ..sources import placemarks as PM
 from ..sources import sinks as SK
 from ..sources import surveys as SV
+from ..session import scratch
 from ..sources import tables as TB
 from .registry import IMAGES_SQL, images, polygons, query, table
 
@@ -101,16 +102,19 @@ def _(spark, d):
     p = lambda x, y: F.struct(F.lit(x).cast("double").alias("lon") if not hasattr(x, "cast") else x.alias("lon"), F.lit(float(y)).alias("lat"))
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("k"), F.concat(F.lit("Customer "), _s("c_custkey")).alias("name"), F.array(p(0.5, 1), p(F.col("c_acctbal"), 2), p(0.5, 1)).alias("ring"))
-    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), SK.geojson_feature(["k", "name"]), F.lit("]}"))
-    f = PM.parse_geojson(c.select(text.alias("json")))
+    folder = scratch(spark, "geojson")
+    SK.write_geojson(c, folder, ["k", "name"])
+    f = PM.read_geojson(spark, folder)
     return f.select(F.col("properties")["k"].cast("bigint").alias("k"), F.col("properties")["name"].alias("name"), F.round(F.col("ring")[1]["lon"], 2).alias("lon1"), F.size("ring").alias("n_points"))
 
 
 @query("S7_csv_rows", "SELECT o_orderkey AS unique_id, 'id_' || o_custkey AS site_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 4 END AS INTEGER) AS irrigation FROM orders")
 def _(spark, d):
-    line = F.to_csv(F.struct(F.col("o_orderkey"), F.concat(F.lit("id_"), _s("o_custkey")), F.when(F.col("o_orderkey") % 3 != 0, 4)))
-    got = F.from_csv(line, F.lit("unique_id bigint, site_id string, irrigation int"), {"mode": "FAILFAST"})
-    return table(spark, d, "orders").select(got.alias("r")).select("r.*")
+    """Written as CSV files with a header and read back by the table reader."""
+    folder = scratch(spark, "csv")
+    k = F.col("o_orderkey")
+    table(spark, d, "orders").select(k.alias("unique_id"), F.concat(F.lit("id_"), _s("o_custkey")).alias("site_id"), F.when(k % 3 != 0, 4).alias("irrigation")).write.option("header", True).csv(folder)
+    return TB.read_table(spark, folder, "unique_id bigint, site_id string, irrigation int")
 
 
 @query("S8_union_parts", "WITH " + IMAGES_SQL + " SELECT unique_id, source_file, CASE WHEN irrigation >= 3 THEN percent_coverage END AS percent_coverage FROM images")

@@ -65,9 +65,18 @@ def placemark_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Collections (one document per file) to feature rows."""
+    """Feature rows from either layout: one feature a line (as ``write_geojson`` makes) or one collection a file. Anything else is an error.
+
+    The first line that is not blank tells the layout, so files of both kinds are read apart.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.get_json_object("value", "$.type").alias("kind")).first()
+    if first is not None and first["kind"] == "Feature":
+        rows = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", FEATURE).alias("f"))
+        good = F.when(F.col("f.type") == "Feature", F.col("f")).otherwise(F.raise_error(F.lit("a line is no GeoJSON feature")).cast(FEATURE))
+        return feature_columns(rows.select(good.alias("f")))
     docs = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", True).json(path)
-    return feature_rows(docs)
+    good = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(F.raise_error(F.lit("a file is no GeoJSON collection")).cast(f"array<{FEATURE}>"))
+    return feature_rows(docs.withColumn("features", good))
 
 
 def parse_geojson(df: DataFrame, text: str = "json") -> DataFrame:
@@ -77,6 +86,10 @@ def parse_geojson(df: DataFrame, text: str = "json") -> DataFrame:
 def feature_rows(docs: DataFrame) -> DataFrame:
     """Properties (a text map) and the outer ring of every feature."""
     rest = [c for c in docs.columns if c not in ("type", "features")]
-    f = docs.select(*rest, F.explode("features").alias("f"))
+    return feature_columns(docs.select(*rest, F.explode("features").alias("f")))
+
+
+def feature_columns(f: DataFrame) -> DataFrame:
+    rest = [c for c in f.columns if c != "f"]
     ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
     return f.select(*rest, F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("geometry_type"), ring.alias("ring"))

@@ -50,10 +50,14 @@ def write_report(lines: DataFrame, path: str, key: str = "source_file", mode: st
 
 
 def metric_documents(metrics: DataFrame, level: str = "level") -> DataFrame:
-    """Long metric rows (level, factor, category, class, metric, value) to one JSON text per level."""
-    leaf = metrics.groupBy(level, "factor", "category", "class").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
-    cls = leaf.groupBy(level, "factor", "category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", F.to_json("m").alias("j"))))).alias("c"))
-    return cls.select(level, "factor", "category", F.to_json("c").alias("document"))
+    """Long metric rows (level, factor, category, class, metric, value) to one nested JSON document per level, keys in order."""
+    names = ["factor", "category", "class", "metric"]
+    rows = metrics.select(level, *names, F.col("value").alias("inner"))
+    for depth in range(len(names), 0, -1):
+        # Keys of a level are unique, so the order never reaches the values.
+        entries = F.array_sort(F.collect_list(F.struct(F.col(names[depth - 1]).alias("key"), "inner")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        rows = rows.groupBy(level, *names[:depth - 1]).agg(F.map_from_entries(entries).alias("inner"))
+    return rows.select(level, F.to_json("inner").alias("document"))
 
 
 def write_split(manifest: DataFrame, path: str, mode: str = "overwrite") -> None:

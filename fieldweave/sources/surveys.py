@@ -101,9 +101,13 @@ def valid_date(year: str, month: str, day: str):
 
 
 def internal_ids(rows: DataFrame, sample: DataFrame) -> DataFrame:
-    """Internal id = line number of the site in its sample file; unknown sites are dropped."""
-    first = sample.groupBy("id").agg(F.min("line_no").alias("internal_id"))
-    return rows.join(first, rows["site_id"] == first["id"]).drop("id")
+    """Internal id = line number of the site in its sample file; unknown sites are dropped.
+
+    With ``plot_file`` in the sample, a site is looked up in the file that its row names; without it, the sample is one file.
+    """
+    own = ["plot_file"] if "plot_file" in sample.columns else []
+    first = sample.groupBy(F.col("id").alias("site_id"), *own).agg(F.min("line_no").alias("internal_id"))
+    return rows.join(first, ["site_id", *own]).select(*rows.columns, "internal_id")
 
 
 def internal_id_from_name(path: str = "path"):

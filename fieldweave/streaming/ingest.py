@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ingest_new_files(
@@ -14,15 +16,18 @@ def ingest_new_files(
     """Run ``transform`` over files not seen before and append rows whose keys the target lacks.
 
     The file source remembers what it has read (``checkpoint``); the anti join on the
-    finished keys makes a repeated micro-batch harmless. Ends when nothing is left.
+    finished keys makes a repeated micro-batch harmless. Of rows with equal keys in one batch the least (by the other
+    columns, in order) stays, the same one in every run. Ends when nothing is left.
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        rows = transform(batch).dropDuplicates(keys)
+        made = transform(batch)
+        rest = [c for c in made.columns if c not in keys]
+        rows = made.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least")).select(*keys, "least.*") if rest else made.distinct()
         try:
             done = batch.sparkSession.read.parquet(target).select(*keys)
-        except Exception as e:  # noqa: BLE001 - first run: nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # first run: nothing written yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             done = None
         todo = rows if done is None else rows.join(done, keys, "left_anti")
