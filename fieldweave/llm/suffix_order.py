@@ -28,9 +28,30 @@ def suffix_order(symbols: np.ndarray) -> list[int]:
     end = n - 1
     while end >= 0:
         start = group[order[end]]
+        if start == end:  # one suffix: at most one moves, to the end of its group
+            suffix = order[end]
+            end -= 1
+            before = suffix - 1
+            while before >= 0 and group[before] >= start:
+                before = lower[before]
+            lower[suffix] = before
+            if before >= 0:
+                own = group[before]
+                to = last[own]
+                if own != to:
+                    at = place[before]
+                    if at != to:
+                        other = order[to]
+                        order[at] = other
+                        place[other] = at
+                        order[to] = before
+                        place[before] = to
+                    last[own] = to - 1
+                    last[to] = to
+                    group[before] = to
+            continue
         members = order[start:end + 1]
-        if start < end:
-            members.sort()
+        members.sort()
         met: dict[int, int] = {}
         for suffix in members:
             before = suffix - 1
