@@ -14,33 +14,37 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bits of a filter that is sent to every task: 4 MB, whatever the input.
+#: Bits of a filter that is sent to every task, as at most 2 ** 19 rows of 64 bits, whatever the input.
 FILTER_BITS = 25
-#: Bits of one row of a filter, as bitmap_construct_agg has them.
-ROW_BITS = 32_768
+
+
+def cell_of(column: str) -> tuple[Column, Column]:
+    """(word, bit) of a hash in a filter."""
+    cell = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+    return F.shiftright(cell, 6), cell.bitwiseAND(63).cast("int")
 
 
 def hash_filter(keys: DataFrame, column: str) -> DataFrame:
-    """(row, bits): a bit for each cell that a key falls in; at most 2 ** FILTER_BITS / ROW_BITS rows of 4 KB."""
-    cell = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
-    return keys.groupBy((cell / ROW_BITS).cast("int").alias("row")).agg(F.bitmap_construct_agg(cell % ROW_BITS).alias("bits"))
+    """(filter_word, filter_bits): a bit for each cell that a key falls in."""
+    word, bit = cell_of(column)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    return keys.groupBy(word.alias("filter_word")).agg(F.bit_or(one).alias("filter_bits"))
 
 
 def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``maybe``: false only where no key has the value; some others share its cell. The filter has a fixed bound, so it is broadcast."""
-    cell = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
-    placed = rows.withColumn("filter_row", (cell / ROW_BITS).cast("int")).withColumn("filter_at", (cell % ROW_BITS).cast("int"))
-    bits = hash_filter(keys, key).select(F.col("row").alias("filter_row"), F.col("bits").alias("filter_bits"))
-    byte = F.conv(F.hex(F.expr("substring(filter_bits, filter_at div 8 + 1, 1)")), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, filter_at % 8)")) != 0
-    return placed.join(F.broadcast(bits), "filter_row", "left").withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("filter_row", "filter_at", "filter_bits")
+    word, bit = cell_of(column)
+    met = rows.withColumn("filter_word", word).join(F.broadcast(hash_filter(keys, key)), "filter_word", "left")
+    found = F.call_function("shiftright", F.col("filter_bits"), bit).bitwiseAND(1) == 1
+    return met.withColumn("maybe", F.coalesce(found, F.lit(False))).drop("filter_word", "filter_bits")
 
 
-def segment_keys(line: Column, size: Column, edits: int) -> Column:
-    """Array of (key, own): hashes of (length, segment number, substring); ``own`` marks the line's own segments."""
+def segment_keys(line: Column, size: Column, edits: int, own: bool) -> Column:
+    """Array of keys, hashes of (length, segment number, substring): the line's own segments, or its other substrings that
+    could be a segment of a line of its length or up to ``edits`` shorter. Null where a substring does not fit."""
     parts = edits + 1
     keys = []
-    for shorter in range(edits + 1):
+    for shorter in range(1 if own else edits + 1):
         length = size - shorter
         base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
         for i in range(parts):
@@ -50,10 +54,11 @@ def segment_keys(line: Column, size: Column, edits: int) -> Column:
             # i edits at most before the segment, the others after it.
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
-                part = F.substring(line, start + (shift + 1), width)
-                fits = (start + shift >= 0) & (start + shift + width <= size)
-                keys.append(F.when(fits, F.struct(F.xxhash64(length, F.lit(i), part).alias("key"), F.lit(shorter == 0 and shift == 0).alias("own"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+                if own and shift or not own and not (shorter or shift):
+                    continue
+                key = F.xxhash64(length, F.lit(i), F.substring(line, start + (shift + 1), width))
+                keys.append(F.when((start + shift >= 0) & (start + shift + width <= size), key))
+    return F.array(*keys)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -84,8 +89,10 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): ids of distinct ``lines`` (id, line, size) within ``edits`` edits, a < b. Lines need more than ``edits`` characters."""
-    keyed = lines.select("id", F.inline(segment_keys(F.col("line"), F.col("size"), edits)))
-    index, probes = keyed.where("own").select("key", F.col("id").alias("x")), keyed.select("key", F.col("id").alias("y"))
+    index = lines.select(F.col("id").alias("x"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=True)).alias("key"))
+    others = lines.select(F.col("id").alias("y"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=False)).alias("key")).where("key is not null")
+    # Most substrings are no line's segment: they are left out before the shuffle.
+    probes = may_hold(others, "key", index, "key").where("maybe").select("y", "key").unionByName(index.select(F.col("x").alias("y"), "key"))
     met = index.join(probes, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = stored(met, "line-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
@@ -106,16 +113,16 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str =
         raise ValueError("lines must be longer than their segments")
     plain = docs.drop("n_lines", "n_removed")
     rows = plain.select(
-        F.struct(*(F.col(c) for c in plain.columns)).alias("doc"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("who"),
+        F.struct(*(F.col(c) for c in plain.columns if c != text)).alias("doc"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("who"),
         F.xxhash64(F.col(doc_id), F.xxhash64(text)).alias("cell"), F.split(text, "\n").alias("lines"))
-    long = rows.select("who", "cell", F.posexplode("lines").alias("at", "line")).withColumn("size", F.length("line")).where(F.col("size") >= least)
-    marks = long.select("who", "cell", "at", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
+    long = rows.select("who", F.posexplode("lines").alias("at", "line")).withColumn("size", F.length("line")).where(F.col("size") >= least)
+    marks = long.select("who", "at", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
 
     # Equal lines: all places but the first.
     again = stored(marks.groupBy("l1", "l2").agg(F.min(F.struct("who", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "equal-lines")
     late = may_hold(marks, "l1", again, "l1").where("maybe").join(again.select("l1", "l2", "first"), ["l1", "l2"])
     late = late.where(F.struct("who", "at") != F.col("first"))
-    once = stored(without(rows, late.select("who", "cell", "at")), "lines-once")
+    once = stored(without(rows, late.select("who", F.xxhash64("who.id", "who.h").alias("cell"), "at")), "lines-once")
 
     # Near lines: every line left is distinct.
     left = once.select("who", "cell", F.posexplode("kept").alias("at", "line")).where("line is not null").withColumn("size", F.length("line")).where(F.col("size") >= least)

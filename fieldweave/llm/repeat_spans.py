@@ -41,12 +41,11 @@ def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     return (keyed & low).astype(np.int64)
 
 
-def stretches(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def stretches(body: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(text, place of the first string in ``body``, strings, step, times, anchor hash, content hash): stretches of strings with one anchor.
 
     In periodic text a stretch repeats at a fixed step; such runs are one row with ``times`` > 1.
     """
-    anchor = max(1, int(length * ANCHOR_SHARE))
     none = tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),) * 2
     if len(body) < length:
         return none
@@ -82,6 +81,8 @@ STRETCHES = "k1 long, k2 long, first int, strings int, step int, times int, anch
 
 
 def all_stretches(rows: DataFrame, length: int) -> DataFrame:
+    anchor = max(1, int(length * ANCHOR_SHARE))
+
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = byte_column(batch.column("body"))
@@ -92,7 +93,7 @@ def all_stretches(rows: DataFrame, length: int) -> DataFrame:
                 part = 1 << (PLACE_BITS - 1)
                 for at in range(0, max(1, len(own) - length + 1), part):
                     piece = own[at:at + part + length - 1]
-                    text, place, strings, step, times, key, content = stretches(piece, np.clip(base - at, 0, len(piece)), length)
+                    text, place, strings, step, times, key, content = stretches(piece, np.clip(base - at, 0, len(piece)), length, anchor)
                     first = place + at - base[text]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k1[text + low]), pa.array(k2[text + low]), *(pa.array(x.astype(np.int32)) for x in (first, strings, step, times)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
