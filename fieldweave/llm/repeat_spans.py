@@ -21,7 +21,7 @@ from .jaccard_join import filter_of, passes
 from .suffix_order import suffix_order
 
 #: Bytes of an anchor, as a share of the length: long ones let few unlike stretches meet, short ones make few anchors.
-ANCHOR_SHARE = 0.6
+ANCHOR_SHARE = 0.7
 #: Different stretches of one anchor that one suffix array takes, and bytes that share one. Larger groups are compared string by string.
 GROUP, BLOCK = 2_048, 1 << 18
 PLACE_BITS = 23
