@@ -67,21 +67,30 @@ def numbered(df: DataFrame, order: Sequence[str], id_col: str = "unique_id", sta
 
 
 def hashed_sample(
-    df: DataFrame, keys: Sequence[str], quota, seed: int, ids: Sequence[str], prefix: int = 3
+    df: DataFrame, keys: Sequence[str], quota, seed: int, ids: Sequence[str], prefixes: Sequence[int] = (3, 7)
 ) -> DataFrame:
     """Exactly the ``quota`` rows of each key with the smallest hash.
 
     ``quota`` is a number or a column of ``df`` that is constant per key. Rows are
     counted per hash prefix; whole prefixes below the cut are kept by a filter
-    alone and only the one prefix that crosses the cut is ranked, so a key with a
-    third of all rows is never sorted in one task.
+    alone, and the one prefix that crosses the cut is cut again by the next, longer
+    prefix. Only rows that share the longest one, 7 hex digits or one row in 268
+    million, are ranked, so neither a hot key nor a whole table is ever sorted in one task.
     """
     q = F.lit(quota) if isinstance(quota, int) else _c(quota)
-    marked = df.withColumn("__h", hash_key(seed, *ids)).withColumn("__b", F.substring("__h", 1, prefix))
-    counts = marked.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), F.max(q).cast("long").alias("__q"))
+    marked = df.withColumn("__h", hash_key(seed, *ids)).withColumn("__q", q.cast("long"))
+    return _cut_sample(marked, keys, ids, list(prefixes)).drop("__h", "__q")
+
+
+def _cut_sample(marked: DataFrame, keys: Sequence[str], ids: Sequence[str], prefixes: list[int]) -> DataFrame:
+    if not prefixes:
+        rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__h", *ids))
+        return marked.withColumn("__rn", rank).filter(F.col("__rn") <= F.col("__q")).drop("__rn")
+    marked = marked.withColumn("__b", F.substring("__h", 1, prefixes[0]))
+    counts = marked.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), F.max("__q").alias("__most"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
-    cut_at = F.min(F.when(F.col("__cum") > F.col("__q"), F.struct(
-        F.col("__b").alias("b"), (F.col("__q") - F.col("__cum") + F.col("__n")).alias("left"))))
+    cut_at = F.min(F.when(F.col("__cum") > F.col("__most"), F.struct(
+        F.col("__b").alias("b"), (F.col("__most") - F.col("__cum") + F.col("__n")).alias("left"))))
     edge = counts.withColumn("__cum", F.sum("__n").over(w)).groupBy(*keys).agg(cut_at.alias("__cut"))
     if keys:
         edge = edge.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cut")
@@ -89,10 +98,9 @@ def hashed_sample(
         near = marked.join(edge, cond).drop(*[f"__k_{k}" for k in keys])
     else:
         near = marked.withColumn("__cut", edge.scalar())
-    whole = near.filter(F.col("__cut").isNull() | (F.col("__b") < F.col("__cut.b")))
-    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__h", *ids))
-    part = near.filter(F.col("__b") == F.col("__cut.b")).withColumn("__rn", rank).filter(F.col("__rn") <= F.col("__cut.left")).drop("__rn")
-    return whole.unionByName(part).drop("__h", "__b", "__cut")
+    whole = near.filter(F.col("__cut").isNull() | (F.col("__b") < F.col("__cut.b"))).drop("__b", "__cut")
+    part = near.filter((F.col("__b") == F.col("__cut.b")) & (F.col("__cut.left") > 0)).withColumn("__q", F.col("__cut.left")).drop("__b", "__cut")
+    return whole.unionByName(_cut_sample(part, keys, ids, prefixes[1:]))
 
 
 def hashed_first(df: DataFrame, n: int, seed: int, ids: Sequence[str]) -> DataFrame:

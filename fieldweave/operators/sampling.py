@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .ranking import hashed_first, hashed_sample
+from ..functions.keys import hash_key
+from .ranking import first_per_key, hashed_first, hashed_sample
 
 SEED = 42
 
@@ -30,8 +31,8 @@ def sample_name(country: str, threshold: float, already: int, n: int) -> str:
 
 
 def pixels_per_image(px: DataFrame, n: int, ids: Sequence[str], key: str = "file_id", seed: int = SEED) -> DataFrame:
-    """Up to n pixels of each image; whole rank groups are never sorted (see hashed_sample)."""
-    return hashed_sample(px, [key], n, seed, [key, *ids])
+    """Up to n pixels of each image: one scan, one shuffle, n rows per image and task (see first_per_key)."""
+    return first_per_key(px, [key], [hash_key(seed, key, *ids), *ids], n)
 
 
 def pick_images(rows: DataFrame, n: int, irrigation: bool = True, certainty: int | None = 1, seed: int = SEED) -> DataFrame:

@@ -101,10 +101,20 @@ def _(spark, d):
     return rounded(triangles(spark, d).select("poly_order", "file_id", "operator", G.shoelace("xy").alias("area")))
 
 
-@query("G5_ring_area_m2")
+def _ring_utm_sql():
+    f = " + ".join(f"({a!r}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(G._FWD, 1))
+    g = " + ".join(f"({a!r}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(G._FWD, 1))
+    return TRI_SQL + f""", v AS (SELECT rid, poly_order, file_id, operator, unnest([1, 2, 3]) AS k, unnest([x1, x2, x3]) AS x, unnest([y1, y2, y3]) AS y FROM t3),
+ z AS (SELECT *, sin(radians(-15.0 + y / 1000.0)) AS sp, radians(27.0 + x / 1000.0 - ({G.AREA_ZONE} * 6 - 183)) AS dl FROM v), q AS (SELECT *, atanh(sp) - {G._ECC!r} * atanh({G._ECC!r} * sp) AS psi FROM z),
+ r AS (SELECT *, atan2((exp(psi) - exp(-psi)) / 2, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + ((exp(psi) - exp(-psi)) / 2) ** 2)) AS eta FROM q),
+ m AS (SELECT rid, poly_order, file_id, operator, k, {G.K0 * G._RECT!r} * (eta + {f}) AS e, {G.K0 * G._RECT!r} * (xi + {g}) AS n FROM r),
+ w AS (SELECT a.poly_order, a.file_id, a.operator, b.e - a.e AS e2, b.n - a.n AS n2, c.e - a.e AS e3, c.n - a.n AS n3 FROM m a JOIN m b ON a.rid = b.rid AND b.k = 2 JOIN m c ON a.rid = c.rid AND c.k = 3 WHERE a.k = 1)"""
+
+
+@query("G5_ring_area_m2", "WITH " + _ring_utm_sql() + " SELECT poly_order, file_id, operator, round(abs(e2 * n3 - e3 * n2) / 2, 1) AS area_m2 FROM w")
 def _(spark, d):
     ring = F.transform("xy", lambda p: G.point(F.lit(27.0) + p["x"] / 1000.0, F.lit(-15.0) + p["y"] / 1000.0))
-    return rounded(triangles(spark, d).select("poly_order", "file_id", "operator", G.shoelace(G.ring_to_utm(ring)).alias("area_m2")), 3)
+    return rounded(triangles(spark, d).select("poly_order", "file_id", "operator", G.shoelace(G.ring_to_utm(ring)).alias("area_m2")), 1)
 
 
 @query("G9_burn_rings", "WITH " + CELLS_SQL + " SELECT file_id, row, col, max_by(certainty, poly_order) AS certainty, count(*) AS n FROM hit GROUP BY 1, 2, 3")
