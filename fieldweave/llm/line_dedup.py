@@ -14,58 +14,64 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bits of a filter that is sent to every task, as at most 2 ** 19 rows of 64 bits, whatever the input.
-FILTER_BITS = 25
+#: Bits of the filters that are sent to every task, as rows of 64 bits: at most 2 ** 18 for segment keys, 2 ** 16 for others, whatever the input.
+KEY_BITS, FILTER_BITS = 24, 22
 
 
-def cell_of(column: str) -> tuple[Column, Column]:
+def cell_of(column: str, size: int) -> tuple[Column, Column]:
     """(word, bit) of a hash in a filter."""
-    cell = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+    cell = F.col(column).bitwiseAND((1 << size) - 1)
     return F.shiftright(cell, 6), cell.bitwiseAND(63).cast("int")
 
 
-def hash_filter(keys: DataFrame, column: str) -> DataFrame:
+def hash_filter(keys: DataFrame, column: str, size: int) -> DataFrame:
     """(filter_word, filter_bits): a bit for each cell that a key falls in."""
-    word, bit = cell_of(column)
+    word, bit = cell_of(column, size)
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
     return keys.groupBy(word.alias("filter_word")).agg(F.bit_or(one).alias("filter_bits"))
 
 
-def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str, size: int = FILTER_BITS) -> DataFrame:
     """``rows`` with ``maybe``: false only where no key has the value; some others share its cell. The filter has a fixed bound, so it is broadcast."""
-    word, bit = cell_of(column)
-    met = rows.withColumn("filter_word", word).join(F.broadcast(hash_filter(keys, key)), "filter_word", "left")
+    word, bit = cell_of(column, size)
+    met = rows.withColumn("filter_word", word).join(F.broadcast(hash_filter(keys, key, size)), "filter_word", "left")
     found = F.call_function("shiftright", F.col("filter_bits"), bit).bitwiseAND(1) == 1
     return met.withColumn("maybe", F.coalesce(found, F.lit(False))).drop("filter_word", "filter_bits")
 
 
 def segment_keys(line: Column, size: Column, edits: int, own: bool) -> Column:
     """Array of keys, hashes of (length, segment number, substring): the line's own segments, or its other substrings that
-    could be a segment of a line of its length or up to ``edits`` shorter. Null where a substring does not fit."""
+    could be a segment of a line of its length or up to ``edits`` shorter. A window over the end of the line gives a string
+    that is too short to be a segment."""
     parts = edits + 1
     keys = []
     for shorter in range(1 if own else edits + 1):
-        length = size - shorter
-        base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+        # Whole numbers: every segment has ``base`` characters, the last ``rest`` ones one more.
+        base, rest = F.get(f"sizes_{shorter}", F.lit(0)), F.get(f"sizes_{shorter}", F.lit(1))
         for i in range(parts):
-            longer = F.lit(i) >= F.lit(parts) - rest
-            width = base + longer.cast("int")
-            start = base * i + F.greatest(F.lit(0), F.lit(i - parts) + rest)
+            longer = F.when(rest > parts - 1 - i, 1).otherwise(0)
+            start = base * i + F.greatest(F.lit(0), rest + (i - parts))
             # i edits at most before the segment, the others after it.
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
                 if own and shift or not own and not (shorter or shift):
                     continue
-                key = F.xxhash64(length, F.lit(i), F.substring(line, start + (shift + 1), width))
-                keys.append(F.when((start + shift >= 0) & (start + shift + width <= size), key))
+                keys.append(F.xxhash64(F.lit(i), size - shorter, F.substring(line, start + (shift + 1), base + longer)))
     return F.array(*keys)
 
 
+def with_sizes(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` with (segment length, longer segments) for a partner of the same length and each shorter one."""
+    sizes = {f"sizes_{k}": F.expr(f"array(int((size - {k}) div {edits + 1}), (size - {k}) % {edits + 1})") for k in range(edits + 1)}
+    return lines.withColumns(sizes)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two lines is at most ``edits``.
 
     State e is a word with one bit for each of the 2 * edits + 1 diagonals next to the main one: the cells of the current column that e edits reach.
-    A character of b moves all diagonals at once: match, substitution, insertion, and deletion within the column.
+    A character of b moves all diagonals at once: match, substitution, insertion, and deletion within the column. Once no cell is left,
+    the rest of b is passed over.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
@@ -83,16 +89,18 @@ def within(a: Column, b: Column, edits: int) -> Column:
         return F.array(*rows)
 
     n_a, n_b = F.size("chars_a"), F.size("chars_b")
-    last = F.aggregate(F.sequence(F.lit(0), n_b - 1), first, step)
+    living = lambda state, j: F.when(F.get(state, F.lit(edits)) == 0, state).otherwise(step(state, j))
+    last = F.aggregate(F.sequence(F.lit(0), n_b - 1), first, living)
     return (F.abs(n_a - n_b) <= edits) & (F.shiftright(F.get(last, F.lit(edits)), 0).bitwiseAND(F.expr(f"shiftleft(1, cast(size(chars_a) - size(chars_b) + {edits} as int))")) != 0)
 
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): ids of distinct ``lines`` (id, line, size) within ``edits`` edits, a < b. Lines need more than ``edits`` characters."""
+    lines = with_sizes(lines, edits)
     index = lines.select(F.col("id").alias("x"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=True)).alias("key"))
-    others = lines.select(F.col("id").alias("y"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=False)).alias("key")).where("key is not null")
+    others = lines.select(F.col("id").alias("y"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=False)).alias("key"))
     # Most substrings are no line's segment: they are left out before the shuffle.
-    probes = may_hold(others, "key", index, "key").where("maybe").select("y", "key").unionByName(index.select(F.col("x").alias("y"), "key"))
+    probes = may_hold(others, "key", index, "key", KEY_BITS).where("maybe").select("y", "key").unionByName(index.select(F.col("x").alias("y"), "key"))
     met = index.join(probes, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = stored(met, "line-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
