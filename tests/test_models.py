@@ -50,3 +50,26 @@ def test_oversample_stays_between(rows):
 def test_cross_validation_rows(rows):
     got = M.cross_validate(rows, [0, 1], params={"numTrees": 3, "maxDepth": 3}).collect()
     assert [r["fold"] for r in got] == [0, 1] and all(0 <= r["average_precision"] <= 1 for r in got)
+
+
+def test_published_defaults_and_grid_errors(spark):
+    from fieldweave.operators.raster import rebuild_mask
+
+    assert M.build("random_forest").getMaxDepth() == 30 and M.build("random_forest").getNumTrees() == 100
+    guesses = spark.createDataFrame([(1, 0, 0, 1), (1, 5, 0, 1)], "file_id int, row int, col int, guess int")
+    assert rebuild_mask(guesses.filter("row = 0"), guesses, 2, 2, "guess").count() == 4
+    with pytest.raises(Exception, match="outside the grid"):
+        rebuild_mask(guesses, guesses, 2, 2, "guess").collect()
+
+
+def test_narrow_neighbours_keep_their_digits(spark):
+    from fieldweave.operators.balance import nearest_neighbours
+
+    rng = np.random.default_rng(1)
+    x = 10_000 + rng.normal(size=(60, 3)) * 0.001
+    wide = np.c_[x, np.zeros((60, 300))]
+    got = []
+    for v in (x, wide):
+        points = spark.createDataFrame([(i, [float(t) for t in row]) for i, row in enumerate(v)], "id long, v array<double>")
+        got.append(sorted(tuple(r) for r in nearest_neighbours(points, "id", "v", 3).select("id", "neighbour", "rank").collect()))
+    assert got[0] == got[1]

@@ -67,6 +67,9 @@ def test_survey_folder_and_zip(spark, folder):
     sample = spark.createDataFrame([("id_9", 1), ("id_500", 2)], "id string, line_no int")
     rows = SV.answer_rows(SV.read_surveys(spark, str(folder / "raw" / "*" / "1" / "*.xml")))
     assert {x["internal_id"] for x in SV.internal_ids(rows, sample).collect()} == {2}
+    files = rows.select("plot_file").distinct().collect()
+    two = spark.createDataFrame([("id_500", files[0][0], 9), ("id_500", "another.csv", 1)], "id string, plot_file string, line_no int")
+    assert {x["internal_id"] for x in SV.internal_ids(rows, two).collect()} == {9}
 
 
 def test_placemarks(spark, folder):
@@ -82,6 +85,11 @@ def test_geojson_round_trip(spark, tmp_path):
     SK.write_geojson(df, str(tmp_path / "g"), ["name", "certainty"])
     lines = [json.loads(x) for f in os.listdir(tmp_path / "g") if f.endswith(".txt") for x in open(tmp_path / "g" / f)]
     assert {x["properties"]["name"] for x in lines} == {"a", "b"} and "certainty" in lines[0]["properties"]
+    lined = {r["properties"]["name"]: r for r in PM.read_geojson(spark, str(tmp_path / "g")).collect()}
+    assert set(lined) == {"a", "b"} and [tuple(p) for p in lined["b"]["ring"]] == ring
+    (tmp_path / "bad.json").write_text('{"type": "Point"}')
+    with pytest.raises(Exception, match="GeoJSON"):
+        PM.read_geojson(spark, str(tmp_path / "bad.json")).collect()
     (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": lines}, indent=2))
     back = {r["properties"]["name"]: r for r in PM.read_geojson(spark, str(tmp_path / "c.geojson")).collect()}
     assert back["a"]["properties"]["certainty"] == "3" and [tuple(p) for p in back["b"]["ring"]] == ring
@@ -145,7 +153,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "man")).count() == 2
     m = spark.createDataFrame([("pixel", "overall", "overall", "irrigated", "f1", 0.5), ("pixel", "overall", "overall", "irrigated", "recall", 0.25)],
                               "level string, factor string, category string, class string, metric string, value double")
-    assert json.loads(json.loads(SK.metric_documents(m).first()["document"])["irrigated"]) == {"f1": 0.5, "recall": 0.25}
+    assert json.loads(SK.metric_documents(m).first()["document"]) == {"overall": {"overall": {"irrigated": {"f1": 0.5, "recall": 0.25}}}}
 
 
 def test_label_tables_end_to_end(spark, folder):
