@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bits of the filters that are sent to every task, as rows of 64 bits: at most 2 ** 18 for segment keys, 2 ** 16 for others, whatever the input.
-KEY_BITS, FILTER_BITS = 24, 22
+#: Bits of the filters that are sent to every task, as rows of 64 bits: at most 2 ** 19 for segment keys, 2 ** 16 for others, whatever the input.
+KEY_BITS, FILTER_BITS = 25, 22
 
 
 def cell_of(column: str, size: int) -> tuple[Column, Column]:
@@ -94,14 +94,33 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(n_a - n_b) <= edits) & (F.shiftright(F.get(last, F.lit(edits)), 0).bitwiseAND(F.expr(f"shiftleft(1, cast(size(chars_a) - size(chars_b) + {edits} as int))")) != 0)
 
 
+#: Characters that a line's profile counts, up to 255 each.
+PROFILED = "eantiors"
+
+
+def profile(line: Column) -> Column:
+    """How often a line has each of PROFILED, a byte each."""
+    parts = [
+        F.shiftleft(F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint"), 8 * k) for k, c in enumerate(PROFILED)]
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def profiles_near(a: Column, b: Column, edits: int) -> Column:
+    """False only for lines more than ``edits`` apart: an edit changes two counts by one at most."""
+    part = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(255)
+    return reduce(lambda x, y: x + y, (F.abs(part(a, k) - part(b, k)) for k in range(len(PROFILED)))) <= 2 * edits
+
+
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): ids of distinct ``lines`` (id, line, size) within ``edits`` edits, a < b. Lines need more than ``edits`` characters."""
-    lines = with_sizes(lines, edits)
-    index = lines.select(F.col("id").alias("x"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=True)).alias("key"))
-    others = lines.select(F.col("id").alias("y"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=False)).alias("key"))
+    lines = with_sizes(lines, edits).withColumn("profile", profile(F.col("line")))
+    index = lines.select(F.col("id").alias("x"), F.col("profile").alias("px"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=True)).alias("key"))
+    others = lines.select(F.col("id").alias("y"), F.col("profile").alias("py"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=False)).alias("key"))
     # Most substrings are no line's segment: they are left out before the shuffle.
-    probes = may_hold(others, "key", index, "key", KEY_BITS).where("maybe").select("y", "key").unionByName(index.select(F.col("x").alias("y"), "key"))
-    met = index.join(probes, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    probes = may_hold(others, "key", index, "key", KEY_BITS).where("maybe").select("y", "py", "key").unionByName(index.select(F.col("x").alias("y"), F.col("px").alias("py"), "key"))
+    i, p = index.alias("i"), probes.alias("p")
+    on = (F.col("i.key") == F.col("p.key")) & (F.col("x") != F.col("y")) & profiles_near(F.col("px"), F.col("py"), edits)
+    met = i.join(p, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = stored(met, "line-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     texts = stored(may_hold(lines.select("id", "line"), "id", named, "name").where("maybe").select("id", "line"), "pair-lines")

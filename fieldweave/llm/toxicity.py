@@ -116,7 +116,7 @@ def find_voters(sample: DataFrame, voters: int, least: int) -> tuple[np.ndarray,
     return hashes[order], [bytes(best[k].example).decode("utf-8", "replace") for k in order]
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30, human: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 120, human: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each row, firing rates by class, share of its own evidence that each voter keeps).
 
     The given labels (-1: none) are one more voter of accuracy ``human``. Voters that fire together within a class repeat each other, so
