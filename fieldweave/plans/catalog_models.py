@@ -16,7 +16,7 @@ from ..operators import sampling as N
 from ..operators import stacks as ST
 from ..operators import timeseries as TS
 from ..functions import values as V
-from ..session import settled
+from ..session import scratch, settled
 from ..sources import sinks as SK
 from .catalog_labels import _case, rounded
 from .registry import IMAGES_SQL, PIXELS_SQL, SCORES_SQL, images, pixels, polygons, query, scores, series, table
@@ -269,6 +269,15 @@ def _(spark, d):
     return _guesses(spark, d, "random_forest")
 
 
+@query("W8_save_model", GUESS_SQL)
+def _(spark, d):
+    """Saved, loaded and scored."""
+    data = _vec(spark, d)
+    folder = scratch(spark, "model")
+    M.save_model(M.fit(data.filter("split = 'train'"), "random_forest"), folder)
+    return M.score(M.load_model(folder), data.filter("split = 'test'")).select("id", "y", (F.col("p") >= 0.5).cast("int").alias("guess"))
+
+
 @query("M2_gradient_boosting", GUESS_SQL)
 def _(spark, d):
     return _guesses(spark, d, "gradient_boosting", balanced=False)

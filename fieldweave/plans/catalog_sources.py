@@ -205,3 +205,22 @@ def _(spark, d):
 def _(spark, d):
     doc = table(spark, d, "documents").select("doc_id", F.col("text").alias("description"))
     return TG.describe_polygons(doc).drop("description")
+
+
+@query("W1_save_table", "SELECT o_orderkey AS k, o_custkey AS site, 'orders by site' AS description, 'csv' AS file_format FROM orders")
+def _(spark, d):
+    """Saved as CSV with its side record, both read back."""
+    folder = scratch(spark, "table")
+    SK.save_table(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("site")), folder, "orders by site", "test tables", "csv")
+    record = spark.read.json(folder + "_metadata").select("description", "file_format")
+    return TB.read_table(spark, folder, "k bigint, site bigint").join(record, how="cross")
+
+
+@query("W7_label_pixels", """SELECT l_orderkey AS file_id, l_returnflag AS operator, l_linenumber AS "row", CAST(l_partkey % 5 + 1 AS INTEGER) AS category, '1 small-scale, 2 tree crop, 3 industrial, 4 lawn, 5 covered' AS comment FROM lineitem""")
+def _(spark, d):
+    """Written by labeler, read back with the comment of a band."""
+    folder = scratch(spark, "labels")
+    SK.write_label_pixels(table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("operator"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 5 + 1).cast("int").alias("category")), folder)
+    back = spark.read.parquet(folder)
+    return back.withColumn("comment", F.lit(back.schema["category"].metadata["comment"]))
