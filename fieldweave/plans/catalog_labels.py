@@ -327,13 +327,6 @@ def _(spark, d):
     return L.consistency_issues(rows).select("unique_id", "rule", L.issue_message("unique_id").alias("message"))
 
 
-@query("F8_unmatched_polygons", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1")
-def _(spark, d):
-    o = table(spark, d, "orders").filter("o_orderstatus <> 'P'")
-    li = table(spark, d, "lineitem").select("l_orderkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey, "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
 @query("F10_surveys_with_warnings", "WITH " + RULE_SQL + """
 SELECT i.source_file, count(*) AS n_warnings FROM broken b JOIN images i USING (unique_id) WHERE contains(i.source_file, '_v2_') GROUP BY 1""")
 def _(spark, d):
@@ -418,6 +411,15 @@ def _(spark, d):
     return _matches(spark, d)
 
 
+@query("F8_unmatched_polygons", "WITH " + J1_SQL.replace("FROM orders),\npg", "FROM orders WHERE o_orderstatus <> 'P'),\npg") + " SELECT DISTINCT pid FROM pg WHERE pid NOT IN (SELECT pid FROM m)")
+def _(spark, d):
+    """Polygons that no survey row matches by date and id or site number; orders of one status are not surveyed."""
+    surveyed = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("sid"))
+    polygons_drawn = _polygon_side(spark, d)
+    matches = L.survey_polygon_matches(_survey_side(spark, d).join(surveyed, "sid", "left_semi"), polygons_drawn, "sid", "pid")
+    return polygons_drawn.join(matches, "pid", "left_anti").select("pid").distinct()
+
+
 @query("J2_polygon_site", "WITH " + J1_SQL + ", k AS (SELECT pid, max(sid) AS sid FROM m GROUP BY 1) SELECT pid, 'id_' || site_no AS site_id FROM k JOIN sv USING (sid)")
 def _(spark, d):
     return L.polygon_site(_matches(spark, d), _survey_side(spark, d), "sid", "pid", "line")
