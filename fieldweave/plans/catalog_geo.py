@@ -53,9 +53,20 @@ def _(spark, d):
     return u.select("c_custkey", F.round("e", 3).alias("e"), F.round("n", 3).alias("n"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
 
 
-@query("G4_metric_box")
+def _box_sql():
+    """Both corners of a box of 1,000 m, back to degrees by the inverse series."""
+    back = lambda f, g: " + ".join(f"({b!r}) * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, b in enumerate(G._INV, 1))
+    lat = " + ".join(f"({d!r}) * sin({2 * j} * chi)" for j, d in enumerate(G._LAT, 1))
+    scale = G.K0 * G._RECT
+    return _utm_sql() + f""", c AS (SELECT c_custkey, x AS lon0, y AS lat0, k, (e + k * 500.0 - 500000) / {scale!r} AS eta, (n + k * 500.0 - CASE WHEN y < 0 THEN 10000000 ELSE 0 END) / {scale!r} AS xi FROM utm, (SELECT unnest([-1, 1]) AS k)),
+ d AS (SELECT c_custkey, k, floor((lon0 + 180) / 6) + 1 AS zone, xi - ({back('sin', 'cosh')}) AS xi2, eta - ({back('cos', 'sinh')}) AS eta2 FROM c),
+ f AS (SELECT *, asin(sin(xi2) / cosh(eta2)) AS chi FROM d),
+ g AS (SELECT c_custkey, k, degrees(atan2((exp(eta2) - exp(-eta2)) / 2, cos(xi2))) + zone * 6 - 183 AS lon, degrees(chi + {lat}) AS lat FROM f)"""
+
+
+@query("G4_metric_box", "WITH " + _box_sql() + " SELECT c_custkey, round(max(lon) FILTER (k = -1), 8) AS minx, round(max(lat) FILTER (k = -1), 8) AS miny, round(max(lon) FILTER (k = 1), 8) AS maxx, round(max(lat) FILTER (k = 1), 8) AS maxy FROM g GROUP BY 1")
 def _(spark, d):
-    return rounded(points(spark, d).withColumn("b", G.metric_box("x", "y")).select("c_custkey", "b.*"), 9)
+    return rounded(points(spark, d).withColumn("b", G.metric_box("x", "y")).select("c_custkey", "b.*"), 8)
 
 
 @query("G13_centred_grid", "WITH " + _utm_sql() + " SELECT c_custkey, round(e - 501, 3) AS x0, round(n + 501, 3) AS y0, 3.0::DOUBLE AS cell, CAST(334 AS INTEGER) AS height, CAST(334 AS INTEGER) AS width FROM utm")

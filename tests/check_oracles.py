@@ -64,9 +64,10 @@ def compare(spark_df, con, sql):
 
 
 def main():
-    from fieldweave.plans.catalog import ORACLES, QUERIES
+    import __spark_entry__
     from fieldweave.session import local_session
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()  # noqa: N806
     args = sys.argv[1:]
     folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     spark = local_session()
