@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,9 +138,7 @@ def pieces(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame
     dealt = rows.mapInArrow(split, schema).repartition("doc", "k")
     marked_schema = T.StructType([*schema, T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("tail", T.ArrayType(T.IntegerType()))])
     marked = dealt.mapInArrow(boundaries, marked_schema)
-    # Window over the chunks of one document, which were one row before.
-    from pyspark.sql import Window
-
+    # Windows over the chunks of one document, which were one row before.
     in_doc = Window.partitionBy("doc").orderBy("k")
     start = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(in_doc))))
     cut = marked.withColumn("start", start).withColumn("whole", F.count_if(F.col("start").isNull()).over(Window.partitionBy("doc")) > 0)
@@ -149,9 +147,8 @@ def pieces(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame
         "doc", "copies", "k",
         F.when(F.col("next").isNull(), F.expr("substring(chunk, start + 1)"))
         .otherwise(F.expr(f"substring(chunk, start + 1, {chunk} + next - start)")).alias("piece"))
-    last = F.max(F.struct("k", "chunk")).alias("last")
     parts = F.sort_array(F.collect_list(F.struct("k", F.substring("chunk", 1, chunk).alias("own"))))
-    whole = cut.where("whole").groupBy("doc", "copies").agg(last, F.array_join(F.transform(parts, lambda part: part["own"]), "").alias("piece"))
+    whole = cut.where("whole").groupBy("doc", "copies").agg(F.array_join(F.transform(parts, lambda part: part["own"]), "").alias("piece"))
     return agreed.unionByName(whole.select("doc", "copies", F.lit(0).alias("k"), "piece"))
 
 

@@ -82,8 +82,8 @@ def batch_sets(batch: pa.RecordBatch, text: str, words: int) -> Iterator[tuple[i
 
 # --- fixed-size summaries -------------------------------------------------------------------------------------------
 
-def summed(parts: DataFrame, dtype: str, combine: str) -> np.ndarray:
-    """One array from rows (row, cells): rows with equal number are added or or-ed, a few at a time."""
+def summed(parts: DataFrame, dtype: str, combine: str) -> dict[int, np.ndarray]:
+    """Cells by row number from (row, cells): rows with equal number are added or or-ed, a few at a time."""
     def add(part: pa.Table) -> pa.Table:
         total = None
         for cells in part.column("cells"):
