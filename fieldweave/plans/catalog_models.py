@@ -236,62 +236,97 @@ SCORES_ONE = ["precision", "recall", "f1_score", "average_precision", "roc_auc"]
 STRATA = ("smallholder", "medium", "large")
 
 
-def _rule_rows(spark, d, steps: int = 42):
+def _marked(rows, v):
     """id, y, raw series ``v`` (null where missing), site fold, year, stratum, split by site."""
     k = F.col("vec_id")
-    level = 10.0 * F.col("label") + F.when(F.col("label") >= 7, 100.0).otherwise(0.0)
-    v = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.when((k * 7 + i * 3) % 5 != 0, level))
-    return table(spark, d, "embeddings").select(
+    return rows.select(
         k.alias("id"), (F.col("label") >= 7).cast("int").alias("y"), v.alias("v"), F.expr("cast(vec_id div 4 % 5 as int)").alias("fold"), (2016 + k % 10).cast("int").alias("year"),
         F.element_at(F.array(*[F.lit(x) for x in STRATA]), (k % 3 + 1).cast("int")).alias("stratum"),
         F.when(F.expr("vec_id div 4 % 4 = 0"), "test").otherwise("train").alias("split"))
 
 
-def _filled(spark, d):
-    return _rule_rows(spark, d).withColumn("v", SR.interpolate("v"))
+def _rule_rows(spark, d, steps: int = 42):
+    k = F.col("vec_id")
+    level = 10.0 * F.col("label") + F.when(F.col("label") >= 7, 100.0).otherwise(0.0)
+    v = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.when((k * 7 + i * 3) % 5 != 0, level))
+    return _marked(table(spark, d, "embeddings"), v)
+
+
+def _series_rows(spark, d):
+    """The embedding series themselves, 64 steps with their gaps."""
+    return _marked(series(spark, d), F.col("v"))
+
+
+def _filled(spark, d, rows=_rule_rows):
+    return rows(spark, d).withColumn("v", SR.interpolate("v"))
+
+
+def _vec(spark, d, rows=_rule_rows):
+    return M.with_vector(_filled(spark, d, rows), "v")
+
+
+def model_query(name, sql, series_sql, scores):
+    """A query over the made-up rows and, as ``name_series``, over the embedding series. There SQL gives rows and counts; the ``scores`` are only bounded."""
+    def register(made):
+        query(name, sql)(lambda spark, d: made(spark, d, _rule_rows))
+        query(f"{name}_series", series_sql)(lambda spark, d: bounded(made(spark, d, _series_rows), scores))
+        return made
+
+    return register
 
 
-def _vec(spark, d):
-    return M.with_vector(_filled(spark, d), "v")
+def bounded(rows, scores):
+    """``rows`` with, for each of the ``scores``, whether it is a number from 0 (correlations and lifts: -1) to 1."""
+    low = lambda c: -1 if c.startswith(("mcc", "lift")) else 0
+    return rows.withColumns({c: F.coalesce(F.col(c).between(low(c), 1), F.lit(False)) for c in scores})
 
 
-def _guesses(spark, d, kind, params=None, balanced=True):
-    data = _vec(spark, d)
+def bounds_sql(scores):
+    return ", ".join(f"true AS {c}" for c in scores)
+
+
+def _guesses(spark, d, rows, kind, params=None, balanced=True):
+    data = _vec(spark, d, rows)
     s = M.score(M.fit(data.filter("split = 'train'"), kind, params, balanced=balanced), data.filter("split = 'test'"))
     return s.select("id", "y", (F.col("p") >= 0.5).cast("int").alias("guess"))
 
 
 GUESS_SQL = "WITH " + RULE_SQL + " SELECT id, y, y AS guess FROM r WHERE split = 'test'"
+GUESSED_SQL = "WITH " + RULE_SQL + " SELECT id, y, true AS guess FROM r WHERE split = 'test'"
+BOUNDS = bounds_sql(SCORES_ONE)
 
 
-@query("M1_random_forest", GUESS_SQL)
-def _(spark, d):
-    return _guesses(spark, d, "random_forest")
+@model_query("M1_random_forest", GUESS_SQL, GUESSED_SQL, ["guess"])
+def _(spark, d, rows):
+    return _guesses(spark, d, rows, "random_forest")
 
 
-@query("W8_save_model", GUESS_SQL)
-def _(spark, d):
+@model_query("W8_save_model", GUESS_SQL, GUESSED_SQL, ["guess"])
+def _(spark, d, rows):
     """Saved, loaded and scored."""
-    data = _vec(spark, d)
+    data = _vec(spark, d, rows)
     folder = scratch(spark, "model")
     M.save_model(M.fit(data.filter("split = 'train'"), "random_forest"), folder)
     return M.score(M.load_model(folder), data.filter("split = 'test'")).select("id", "y", (F.col("p") >= 0.5).cast("int").alias("guess"))
 
 
-@query("M2_gradient_boosting", GUESS_SQL)
-def _(spark, d):
-    return _guesses(spark, d, "gradient_boosting", balanced=False)
+@model_query("M2_gradient_boosting", GUESS_SQL, GUESSED_SQL, ["guess"])
+def _(spark, d, rows):
+    return _guesses(spark, d, rows, "gradient_boosting", balanced=False)
 
 
-@query("M3_model_choice", GUESS_SQL)
-def _(spark, d):
+@model_query("M3_model_choice", GUESS_SQL, GUESSED_SQL, ["guess"])
+def _(spark, d, rows):
     """A tree by name; the forest parameter in the list is not one of its own and is left out."""
-    return _guesses(spark, d, "decision_tree", {"numTrees": 99})
+    return _guesses(spark, d, rows, "decision_tree", {"numTrees": 99})
 
 
-@query("M4_compare_models", f"SELECT unnest(['forest_full', 'forest_small', 'forest_tiny', 'boosting', 'tree', 'linear']) AS model, {ONES}")
-def _(spark, d):
-    data = _vec(spark, d)
+MODELS_SQL = "SELECT unnest(['forest_full', 'forest_small', 'forest_tiny', 'boosting', 'tree', 'linear']) AS model, "
+
+
+@model_query("M4_compare_models", MODELS_SQL + ONES, MODELS_SQL + BOUNDS, SCORES_ONE)
+def _(spark, d, rows):
+    data = _vec(spark, d, rows)
     return rounded(M.compare_models(data.filter("split = 'train'"), data.filter("split = 'test'")).select("model", *SCORES_ONE))
 
 
@@ -307,59 +342,91 @@ def _(spark, d):
 @query("M8_train_fold", "WITH " + RULE_SQL + """, t AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM r WHERE fold = 0)
 SELECT 1.0::DOUBLE AS threshold, 0::BIGINT AS tp, 0::BIGINT AS fp, pos AS fn, neg AS tn, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 1.0::DOUBLE AS average_precision, 1.0::DOUBLE AS roc_auc, round(pos / (pos + neg)::DOUBLE, 6) AS irrigation_ratio FROM t""")
 def _(spark, d):
-    data = _filled(spark, d)
+    return _fold(spark, d, _rule_rows)
+
+
+def _fold(spark, d, rows):
+    data = _filled(spark, d, rows)
     m = M.train_fold(data.filter("fold <> 0"), data.filter("fold = 0"))[1]
     return rounded(m.select("threshold", "tp", "fp", "fn", "tn", "precision", "recall", "average_precision", "roc_auc", "irrigation_ratio"))
 
 
-M9_METRICS = ["accuracy", "precision", "recall", "f1_score", "average_precision", "roc_auc", "mcc", "balanced_accuracy"]
+FOLD_SCORES = ["threshold", "precision", "recall", "average_precision", "roc_auc"]
 
 
-@query("M9_cross_validate", "WITH " + RULE_SQL + ", f AS (SELECT fold, avg(CAST(y = 0 AS DOUBLE)) AS a FROM r GROUP BY 1) SELECT round(avg(a), 6) AS accuracy_mean, round(stddev_pop(a), 6) AS accuracy_std, " + ", ".join(
-    f"{v}::DOUBLE AS {m}_mean, 0.0::DOUBLE AS {m}_std" for m, v in (("precision", 0.0), ("recall", 0.0), ("f1_score", 0.0), ("average_precision", 1.0), ("roc_auc", 1.0), ("mcc", 0.0), ("balanced_accuracy", 0.5))) + ", count(*) AS n_folds FROM f")
+@query("M8_train_fold_series", "WITH " + RULE_SQL + ", t AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM r WHERE fold = 0) SELECT pos, neg, " + bounds_sql(FOLD_SCORES) + ", round(pos / (pos + neg)::DOUBLE, 6) AS irrigation_ratio FROM t")
 def _(spark, d):
+    m = _fold(spark, d, _series_rows).select((F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"), *FOLD_SCORES, "irrigation_ratio")
+    return bounded(m, FOLD_SCORES)
+
+
+M9_METRICS = ["accuracy", "precision", "recall", "f1_score", "average_precision", "roc_auc", "mcc", "balanced_accuracy"]
+M9_BOUNDS = [f"{m}_{part}" for m in M9_METRICS for part in ("mean", "std")]
+
+
+@model_query("M9_cross_validate", "WITH " + RULE_SQL + ", f AS (SELECT fold, avg(CAST(y = 0 AS DOUBLE)) AS a FROM r GROUP BY 1) SELECT round(avg(a), 6) AS accuracy_mean, round(stddev_pop(a), 6) AS accuracy_std, " + ", ".join(
+    f"{v}::DOUBLE AS {m}_mean, 0.0::DOUBLE AS {m}_std" for m, v in (("precision", 0.0), ("recall", 0.0), ("f1_score", 0.0), ("average_precision", 1.0), ("roc_auc", 1.0), ("mcc", 0.0), ("balanced_accuracy", 0.5))) + ", count(*) AS n_folds FROM f",
+    f"SELECT {bounds_sql(M9_BOUNDS)}, 5::BIGINT AS n_folds", M9_BOUNDS)
+def _(spark, d, rows):
     config = {"folds": [0, 1, 2, 3, 4], "model": {"type": "random_forest", "params": {"min_samples_leaf": 1}}, "sampling": {"target_ratio": 3.0, "use_smote": True}, "metrics": M9_METRICS}
-    return rounded(M.experiment(_filled(spark, d), config))
+    return rounded(M.experiment(_filled(spark, d, rows), config))
 
 
-@query("M10_learning_curve", "SELECT unnest([0.1, 0.28, 0.46, 0.64, 0.82, 1.0])::DOUBLE AS share, part, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std FROM (SELECT unnest(['train', 'validation']) AS part)")
-def _(spark, d):
-    return rounded(M.learning_curve(_filled(spark, d), M.SHARES, [0, 1, 2, 3, 4]))
+CURVE_ROWS_SQL = "SELECT unnest([0.1, 0.28, 0.46, 0.64, 0.82, 1.0])::DOUBLE AS share, part, {} FROM (SELECT unnest(['train', 'validation']) AS part)"
 
 
-@query("M12_robustness", f"""WITH l AS (SELECT 'drop' AS sweep, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])::DOUBLE AS level UNION ALL SELECT 'noise', unnest([0.0, 0.02, 0.05, 0.08, 0.12, 0.16, 0.2])::DOUBLE)
-SELECT model, sweep, level, {ONES} FROM l, (SELECT unnest(['forest_full', 'forest_small']) AS model)""")
-def _(spark, d):
+@model_query("M10_learning_curve", CURVE_ROWS_SQL.format("1.0::DOUBLE AS mean, 0.0::DOUBLE AS std"), CURVE_ROWS_SQL.format("true AS mean, true AS std"), ["mean", "std"])
+def _(spark, d, rows):
+    return rounded(M.learning_curve(_filled(spark, d, rows), M.SHARES, [0, 1, 2, 3, 4]))
+
+
+LEVELS_SQL = """WITH l AS (SELECT 'drop' AS sweep, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])::DOUBLE AS level UNION ALL SELECT 'noise', unnest([0.0, 0.02, 0.05, 0.08, 0.12, 0.16, 0.2])::DOUBLE)
+SELECT model, sweep, level, {} FROM l, (SELECT unnest(['forest_full', 'forest_small']) AS model)"""
+
+
+@model_query("M12_robustness", LEVELS_SQL.format(ONES), LEVELS_SQL.format(BOUNDS), SCORES_ONE)
+def _(spark, d, rows):
     """Both forests at all 14 levels; the raw test series are degraded, gaps included."""
-    train = _vec(spark, d).filter("split = 'train'")
+    train = _vec(spark, d, rows).filter("split = 'train'")
     models = {name: M.fit(train, *M.COMPARISON[name]) for name in ("forest_full", "forest_small")}
-    return rounded(M.robustness(models, _rule_rows(spark, d).filter("split = 'test'").select("id", "y", "v")).select("model", "sweep", "level", *SCORES_ONE))
+    return rounded(M.robustness(models, rows(spark, d).filter("split = 'test'").select("id", "y", "v")).select("model", "sweep", "level", *SCORES_ONE))
 
 
-@query("M13_year_transfer", f"SELECT unnest(['in_distribution', 'early_to_late', 'late_to_early']) AS setting, {ONES}")
-def _(spark, d):
-    return rounded(M.year_transfer(_vec(spark, d), "year", 2020, *M.COMPARISON["forest_small"]).select("setting", *SCORES_ONE))
+SETTINGS_SQL = "SELECT unnest(['in_distribution', 'early_to_late', 'late_to_early']) AS setting, "
 
 
-@query("M13_leave_group_out", "WITH " + RULE_SQL + f", g AS (SELECT stratum FROM r GROUP BY 1 HAVING count(*) >= 20 AND sum(y) >= 5) SELECT stratum, {ONES} FROM g")
-def _(spark, d):
-    return rounded(M.leave_group_out(_vec(spark, d), "stratum", None, *M.COMPARISON["forest_small"]).select("stratum", *SCORES_ONE))
+@model_query("M13_year_transfer", SETTINGS_SQL + ONES, SETTINGS_SQL + BOUNDS, SCORES_ONE)
+def _(spark, d, rows):
+    return rounded(M.year_transfer(_vec(spark, d, rows), "year", 2020, *M.COMPARISON["forest_small"]).select("setting", *SCORES_ONE))
+
+
+GROUPS_SQL = "WITH " + RULE_SQL + ", g AS (SELECT stratum FROM r GROUP BY 1 HAVING count(*) >= 20 AND sum(y) >= 5) SELECT stratum, {} FROM g"
+
+
+@model_query("M13_leave_group_out", GROUPS_SQL.format(ONES), GROUPS_SQL.format(BOUNDS), SCORES_ONE)
+def _(spark, d, rows):
+    return rounded(M.leave_group_out(_vec(spark, d, rows), "stratum", None, *M.COMPARISON["forest_small"]).select("stratum", *SCORES_ONE))
 
 
 EXPERIMENTS = {
     "E0 baseline": ("full_mean", "full_p90"), "E2 centre": ("center_mean",), "E3 20 m": ("d20m_mean",), "E3 30 m": ("d30m_mean",),
     "E4 max": ("full_max", "full_mean"), "E4 share": ("full_frac_high", "full_mean"), "E5 x3": ("full_mean", "full_p90"), "E5 x5": ("full_mean", "full_p90")}
 VARIANTS = ("full_mean", "full_p90", "center_mean", "d20m_mean", "d30m_mean", "full_max", "full_frac_high")
+STRATUM_SCORES = ["precision", "recall", "f1_score", "auprc", *[f"recall_{s}" for s in STRATA]]
+COUNTED_SQL = bounds_sql(STRATUM_SCORES) + ", " + ", ".join(f"count(*) FILTER (y = 1 AND stratum = '{s}') AS n_{s}" for s in STRATA) + " FROM r WHERE split = 'test'"
 STRATUM_COUNTS_SQL = "1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1_score, 1.0::DOUBLE AS auprc, " + ", ".join(
     f"1.0::DOUBLE AS recall_{s}, count(*) FILTER (y = 1 AND stratum = '{s}') AS n_{s}" for s in STRATA) + " FROM r WHERE split = 'test'"
 
 
-@query("M14_experiments", "WITH " + RULE_SQL + ", x AS (SELECT " + STRATUM_COUNTS_SQL + "), l AS (SELECT unnest([" + ", ".join(
+EXPERIMENTS_SQL = "WITH " + RULE_SQL + ", x AS (SELECT " + STRATUM_COUNTS_SQL + "), l AS (SELECT unnest([" + ", ".join(
     [f"{{'label': '{k}', 'n': {len(v) * 3}}}" for k, v in EXPERIMENTS.items()] + ["{'label': 'E6 thresholds', 'n': 1}"]) + """]) AS e)
-SELECT e.label AS label, CAST(e.n AS INTEGER) AS n_feats, x.*, 0.0::DOUBLE AS lift_recall_smallholder FROM l, x""")
-def _(spark, d):
+SELECT e.label AS label, CAST(e.n AS INTEGER) AS n_feats, x.*, 0.0::DOUBLE AS lift_recall_smallholder FROM l, x"""
+
+
+@model_query("M14_experiments", EXPERIMENTS_SQL, EXPERIMENTS_SQL.replace(STRATUM_COUNTS_SQL, COUNTED_SQL).replace("0.0::DOUBLE AS lift", "true AS lift"), [*STRATUM_SCORES, "lift_recall_smallholder"])
+def _(spark, d, source):
     """All nine experiments on one shared split; columns are the spatial variants of three steps."""
-    rows = _filled(spark, d)
+    rows = _filled(spark, d, source)
     columns = [f"ndvi_{v}_t{t:02d}" for v in VARIANTS for t in range(3)]
     wide = settled(rows.select("*", *[F.col("v")[int(c[-2:])].alias(c) for c in columns]))
     out = []
@@ -372,11 +439,14 @@ def _(spark, d):
     return rounded(E.lift_over(reduce(DataFrame.unionByName, out).select(*names), "E0 baseline", ["recall_smallholder"]))
 
 
-@query("M15_out_of_fold_thresholds", "WITH " + RULE_SQL + " SELECT 'E6' AS label, " + STRATUM_COUNTS_SQL)
-def _(spark, d):
+E6_SQL = "WITH " + RULE_SQL + " SELECT 'E6' AS label, "
+
+
+@model_query("M15_out_of_fold_thresholds", E6_SQL + STRATUM_COUNTS_SQL, E6_SQL + COUNTED_SQL, STRATUM_SCORES)
+def _(spark, d, rows):
     """Thresholds from site folds of the training rows, refit, held-out test."""
     names = ["label", "precision", "recall", "f1_score", "auprc", *[f"{p}_{s}" for s in STRATA for p in ("recall", "n")]]
-    return rounded(M.stratum_experiment(_vec(spark, d), "E6", [0, 1, 2, 3, 4]).select(*names))
+    return rounded(M.stratum_experiment(_vec(spark, d, rows), "E6", [0, 1, 2, 3, 4]).select(*names))
 
 
 @query("M17_top_features", "SELECT CAST(i AS INTEGER) AS pos, 'v_t' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, CASE WHEN i = 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM (SELECT unnest(range(0, 42)) AS i) ORDER BY importance DESC, i LIMIT 15")
@@ -387,14 +457,34 @@ def _(spark, d):
     return rounded(M.top_features(model, [f"v_t{i:02d}" for i in range(42)], 15))
 
 
-@query("M18_predict_grid", "WITH " + RULE_SQL + """, p AS (SELECT id % 7 AS file_id, CAST(id // 7 // 50 AS INTEGER) AS "row", CAST(id // 7 % 50 AS INTEGER) AS col, y FROM r WHERE id % 3 <> 1), h AS (SELECT max("row") AS top FROM p),
+@query("M17_top_features_series", "SELECT 15::BIGINT AS n, true AS importance, true AS falling")
+def _(spark, d):
+    """All 64 steps of the series."""
+    model = M.fit(_vec(spark, d, _series_rows), "random_forest")
+    top = M.top_features(model, [f"v_t{i:02d}" for i in range(64)], 15).agg(F.count("*").alias("n"), F.collect_list("importance").alias("all"))
+    return top.select("n", F.forall("all", lambda x: (x > 0) & (x < 1)).alias("importance"), (F.sort_array("all", asc=False) == F.col("all")).alias("falling"))
+
+
+GRID_SQL = "WITH " + RULE_SQL + """, p AS (SELECT id % 7 AS file_id, CAST(id // 7 // 50 AS INTEGER) AS "row", CAST(id // 7 % 50 AS INTEGER) AS col, y FROM r WHERE id % 3 <> 1), h AS (SELECT max("row") AS top FROM p),
 g AS (SELECT file_id, CAST(a AS INTEGER) AS "row", CAST(b AS INTEGER) AS col FROM (SELECT DISTINCT file_id FROM p), (SELECT unnest(range(0, (SELECT top FROM h) + 1)) AS a), (SELECT unnest(range(0, 50)) AS b))
-SELECT g.file_id, g."row", g.col, CAST(coalesce(y, -1) AS INTEGER) AS guess FROM g LEFT JOIN p ON g.file_id = p.file_id AND g."row" = p."row" AND g.col = p.col""")
+SELECT g.file_id, g."row", g.col, CAST(coalesce(y, -1) AS INTEGER) AS guess FROM g LEFT JOIN p ON g.file_id = p.file_id AND g."row" = p."row" AND g.col = p.col"""
+
+
+@query("M18_predict_grid", GRID_SQL)
 def _(spark, d):
+    return _grid(spark, d, _rule_rows)
+
+
+@query("M18_predict_grid_series", GRID_SQL.replace("coalesce(y, -1)", "CASE WHEN y IS NULL THEN -1 ELSE 1 END"))
+def _(spark, d):
+    return _grid(spark, d, _series_rows).withColumn("guess", F.when(F.col("guess").isin(0, 1), 1).otherwise(F.col("guess")))
+
+
+def _grid(spark, d, rows):
     """Every image as high as the data need; pixels without a guess (every third id) are -1."""
     from ..operators.raster import rebuild_mask
 
-    data = _vec(spark, d)
+    data = _vec(spark, d, rows)
     model = M.fit(data.filter("split = 'train'"), "random_forest")
     guesses = settled(M.score(model, data.filter("id % 3 <> 1")).select(
         (F.col("id") % 7).alias("file_id"), F.expr("cast(id div 7 div 50 as int)").alias("row"), F.expr("cast(id div 7 % 50 as int)").alias("col"), (F.col("p") >= 0.5).cast("int").alias("guess")))
@@ -412,6 +502,14 @@ def _(spark, d):
     return rounded(report.select("n_pixels", "frac_irrigated", F.col("mean_curve")[0].alias("first_mean"), F.element_at("mean_curve", -1).alias("last_mean"), F.size("mean_curve").alias("steps")))
 
 
+@query("T14_cluster_series_series", "SELECT CAST(count(*) AS BIGINT) AS n_pixels, CAST(count(*) FILTER (label >= 7) AS BIGINT) AS n_irrigated, 4::BIGINT AS clusters, 64 AS steps FROM embeddings WHERE vec_id % 97 <> 5")
+def _(spark, d):
+    """The embedding series; those that miss all their steps take no part."""
+    report = M.cluster_report(M.cluster_series(_series_rows(spark, d), "v", 4), "y")
+    return report.agg(
+        F.sum("n_pixels").alias("n_pixels"), F.round(F.sum(F.col("n_pixels") * F.col("frac_irrigated"))).cast("bigint").alias("n_irrigated"), F.count("*").alias("clusters"), F.max(F.size("mean_curve")).alias("steps"))
+
+
 @query("N10_nearest_neighbours", """WITH p AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE label >= 7), j AS (SELECT a.id, b.id AS neighbour, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)) AS d FROM p a JOIN p b ON a.id <> b.id)
 SELECT id, neighbour, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rn FROM j) WHERE rn <= 5""")
 def _(spark, d):
