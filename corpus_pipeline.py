@@ -28,8 +28,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of 32 characters or more that an earlier place has, up to two edits; documents that lose their last line go."""
-    left = line_dedup.dedup_lines(docs, edits=2, least=32)
+    """Without lines that an earlier place has, from 32 characters on up to two edits; documents that lose their last line go."""
+    left = line_dedup.dedup_lines(docs, edits=2, least=32, least_equal=1)
     return recounted(left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs)
 
 

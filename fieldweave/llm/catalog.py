@@ -111,3 +111,10 @@ def op9_repeat_spans(spark: SparkSession, folder: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, edits=2, least=32).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op1_line_dedup_all", check_sql.LINES_ALL)
+def op1_line_dedup_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Short lines too, where they are equal."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, edits=2, least=32, least_equal=1).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -16,6 +16,9 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+#: Equal lines of any length but none; near ones from 32 characters on.
+LINES_ALL = LINES.replace("WHERE length(line) >= 32", "WHERE length(line) >= 1").replace("WHERE levenshtein", "WHERE a.size >= 32 AND b.size >= 32 AND levenshtein")
+
 WINDOWS = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -128,22 +128,25 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return both.where(within(F.col("chars_a"), F.col("chars_b"), edits)).select("a", "b").distinct()
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str = "doc_id", text: str = "text", least_equal: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines of ``text`` taken out, and ``n_lines`` and ``n_removed``.
 
-    Lines end at line feeds. Of equal lines of at least ``least`` characters the first stays: the order is by document id (null first), text hash and
-    line number. A distinct line also goes, wherever it stands, if one with an earlier first place is within ``edits`` edits of it. Shorter
-    lines always stay. Null text stays null and has no lines; a text that loses all its lines is empty. Rows with equal ids and texts are
+    Lines end at line feeds. Of equal lines of at least ``least_equal`` characters (``least`` if not given) the first stays: the order is by document id
+    (null first), text hash and line number. A distinct line of at least ``least`` characters also goes, wherever it stands, if such a line with an earlier
+    first place is within ``edits`` edits of it. Shorter lines always stay. Null text stays null and has no lines; a text that loses all its lines is empty. Rows with equal ids and texts are
     one document and keep the same lines. Columns named ``n_lines`` or ``n_removed`` are replaced; the others pass through.
     """
     if least <= 2 * edits + 1:
         raise ValueError("lines must be longer than their segments")
+    least_equal = least if least_equal is None else least_equal
+    if least_equal > least:
+        raise ValueError("near lines must be distinct")
     plain = docs.drop("n_lines", "n_removed")
     rows = plain.select(
         F.struct(*(F.col(c) for c in plain.columns if c != text)).alias("doc"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("who"),
         F.xxhash64(F.col(doc_id), F.xxhash64(text)).alias("cell"), F.split(text, "\n").alias("lines"))
-    long = rows.select("who", F.posexplode("lines").alias("at", "line")).withColumn("size", F.length("line")).where(F.col("size") >= least)
-    marks = long.select("who", "at", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
+    each = rows.select("who", F.posexplode("lines").alias("at", "line")).where(F.length("line") >= least_equal)
+    marks = each.select("who", "at", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"))
 
     # Equal lines: all places but the first.
     again = stored(marks.groupBy("l1", "l2").agg(F.min(F.struct("who", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "equal-lines")
@@ -151,7 +154,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str =
     late = late.where(F.struct("who", "at") != F.col("first"))
     once = stored(without(rows, late.select("who", F.xxhash64("who.id", "who.h").alias("cell"), "at")), "lines-once")
 
-    # Near lines: every line left is distinct.
+    # Near lines: every line left of this length is distinct.
     left = once.select("who", "cell", F.posexplode("kept").alias("at", "line")).where("line is not null").withColumn("size", F.length("line")).where(F.col("size") >= least)
     left = left.withColumn("id", F.xxhash64("line"))
     pairs = stored(near_pairs(left.select("id", "line", "size"), edits), "near-lines")
