@@ -6,7 +6,7 @@ Folder layout:
   16 bits (vocabularies of up to 65,536 ids) or 32 bits; ``shard-00000.npz``: its keys and n + 1 id offsets.
 * ``index-00000.npz``: for the keys of one hash bucket, a minimal perfect hash (levels of bit arrays with ranks) and, at each key's
   slot, a 32-bit fingerprint, the shard, the row in it and the number of rows with that key.
-* ``manifest.json``: id width, end id, number of buckets, ids before each shard.
+* ``manifest.json``: id width, end id, number of buckets, ids before each shard, rows without a key at the beginning of a shard.
 
 A lookup costs one bucket, a bounded number of levels, one fingerprint, one offset: constant time, whatever the size.
 Each file is written under a name of its own attempt and moved into place, so lost tasks can run again.
@@ -82,9 +82,7 @@ def unpacked(body: bytes) -> dict[str, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=1)
@@ -143,6 +141,9 @@ class Encoder:
         plain = json.loads(self.library.to_str())
         # The split that word_starts() knows; any other tokenizer encodes whole texts.
         self.by_word = plain["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not plain["normalizer"]
+        # The library cuts added tokens out before words: a text that holds one goes through it whole.
+        added = [t for t in plain["added_tokens"] if t["content"]]
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.letters = byte_letters()
         self.ids: dict[str, bytes] = {}
 
@@ -160,7 +161,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
-        plain = [self.by_word and len(p) > 0 and int(p.max()) < CLASSED for p in points]
+        plain = [self.by_word and len(p) > 0 and int(p.max()) < CLASSED and not (self.added and self.added.search(t)) for t, p in zip(texts, points, strict=True)]
         parts: list[np.ndarray] = [np.zeros(0, self.width)] * len(texts)
         whole = [k for k, (p, ok) in enumerate(zip(points, plain, strict=True)) if len(p) and not ok]
         for k, coded in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
@@ -257,7 +258,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
     """Write the ids of ``docs`` in ascending key order, ``end_id`` after each text; return the folder.
 
     ``key`` must be integral; the key of each row is read as a 64-bit integer. A null key sorts first: such rows are stored and come
-    back from ``scan``, and no key finds them. Rows with equal keys are all stored, ordered by text, and one key finds them all.
+    back from ``scan`` and ``unkeyed``, and no key finds them. Rows with equal keys are all stored, ordered by text, and one key finds them all.
     Null and empty texts have the end id only. An empty table gives an empty store. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -297,7 +298,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
 
     entries = stored(ordered.mapInArrow(write_shard, ENTRIES), "token-entries")
     # One row a shard on the driver.
-    totals = {r.shard: (r.n, r.rows) for r in entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    sums = entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key").isNull()).alias("unkeyed")).collect()
+    totals = {r.shard: (r.n, r.rows) for r in sums}
     before, base = {}, 0
     for shard in sorted(totals):
         before[shard] = base
@@ -320,7 +322,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
     width = encoder(tokenizer_path).width
     put(folder, "manifest.json", json.dumps({
         "id_dtype": width.str, "end_id": end_id, "buckets": buckets, "n_keys": indexed, "n_rows": sum(rows for _, rows in totals.values()), "n_tokens": base,
-        "ids_before_shard": before}).encode())
+        "ids_before_shard": before, "unkeyed": {r.shard: r.unkeyed for r in sums if r.unkeyed}}).encode())
     return folder
 
 
@@ -384,6 +386,13 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return payload(shards.repartition(max(1, len(about["ids_before_shard"])), "shard"), folder, about)
 
 
+def unkeyed(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored rows with a null key, in the columns of ``lookup``. They come first in their shards, so nothing else is read."""
+    about = manifest(folder)
+    shards = spark.createDataFrame([(None, int(s), -1, n) for s, n in about["unkeyed"].items()], FOUND)
+    return payload(shards.repartition(max(1, len(about["unkeyed"])), "shard"), folder, about)
+
+
 def payload(places: DataFrame, folder: str, about: dict) -> DataFrame:
     width = np.dtype(about["id_dtype"])
     before = {int(s): n for s, n in about["ids_before_shard"].items()}
@@ -400,7 +409,7 @@ def payload(places: DataFrame, folder: str, about: dict) -> DataFrame:
                 of = shards == shard
                 first, n = rows[of], runs[of]
                 if len(first) and first[0] < 0:
-                    first, n = np.zeros(1, np.int64), np.array([len(side["keys"])])
+                    first, n = np.zeros(1, np.int64), np.array([n[0] or len(side["keys"])])
                 else:
                     asked = batch.column("key").to_numpy()[of]
                     own = side["valid"][first] & (side["keys"][first] == asked)
