@@ -86,7 +86,7 @@ def vote_matrix(batch: pa.RecordBatch, text: str, voters: np.ndarray) -> np.ndar
     return votes
 
 
-def find_voters(sample: DataFrame, voters: int, least: int) -> tuple[np.ndarray, list[str]]:
+def find_voters(sample: DataFrame, voters: int, least: int) -> tuple[np.ndarray, list[bytes]]:
     """The patterns that speak most for label 1: at least ``least`` documents with it, ordered by smoothed share of label 1."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,14 +113,26 @@ def find_voters(sample: DataFrame, voters: int, least: int) -> tuple[np.ndarray,
     best = counted.where((F.col("positive") >= least) & (speak > 0.5)).orderBy(speak.desc(), F.desc("positive"), "h").limit(voters).collect()
     hashes = np.array([r.h for r in best], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], [bytes(best[k].example).decode("utf-8", "replace") for k in order]
+    return hashes[order], [bytes(best[k].example) for k in order]
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 120, human: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def families(hashes: np.ndarray, patterns: list[bytes]) -> np.ndarray:
+    """Which voters may repeat each other: word beginnings of one word. A whole word is a family of its own, so it keeps its evidence."""
+    def whole(voter: np.uint64, pattern: bytes) -> bool:
+        found = votes_of(np.frombuffer(pattern, np.uint8), np.array([0, len(pattern)]))[0]
+        return len(found) > 0 and found[0] == voter
+
+    words = [whole(h, p) for h, p in zip(hashes, patterns, strict=True)]
+    same = [[not (words[i] or words[j]) and (a.startswith(b) or b.startswith(a)) for j, b in enumerate(patterns)] for i, a in enumerate(patterns)]
+    return np.array(same, bool).reshape(len(patterns), len(patterns)) | np.eye(len(patterns), dtype=bool)
+
+
+def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 120, human: float = 0.98, family: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each row, firing rates by class, share of its own evidence that each voter keeps).
 
     The given labels (-1: none) are one more voter of accuracy ``human``. Voters that fire together within a class repeat each other, so
-    each one's log likelihood ratio is divided by the sum of its positive correlations, itself included.
+    each one's log likelihood ratio is divided by the sum of its positive correlations, itself included, with the voters of its
+    ``family`` (one row of bits a voter; without it, all voters).
     """
     known = label >= 0
     prior = (label[known].sum() + 1.0) / (known.sum() + 2.0)
@@ -132,7 +144,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 120, human:
         rates = np.stack([((w @ v) + 0.5 * prior) / (w.sum() + 1.0) for w in (1 - posterior, posterior)])
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
         if turn % 10 == 0:
-            share = 1.0 / repetition(v, posterior, rates)
+            share = 1.0 / repetition(v, posterior, rates, family)
         on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         evidence = v @ ((on - off) * share) + (off * share).sum()
         after = sigmoid(evidence + voice + np.log(prior / (1 - prior)))
@@ -143,15 +155,15 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 120, human:
     return posterior, rates, share
 
 
-def repetition(v: np.ndarray, posterior: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """For each voter, the sum of its correlations with all voters in class 1, where they are at least 0.2."""
+def repetition(v: np.ndarray, posterior: np.ndarray, rates: np.ndarray, family: np.ndarray | None = None) -> np.ndarray:
+    """For each voter, the sum of its correlations with the voters of its family in class 1, where they are at least 0.2."""
     weight = posterior / max(posterior.sum(), 1e-9)
     centred = (v - rates[1]) * np.sqrt(weight)[:, None]
     cov = centred.T @ centred
     scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     correlation = cov / scale[:, None] / scale
     np.fill_diagonal(correlation, 1.0)
-    return np.where(correlation >= 0.2, correlation, 0.0).sum(0)
+    return np.where((correlation >= 0.2) & (True if family is None else family), correlation, 0.0).sum(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", rows: int = 20_000, unlabelled: int = 5_000, voters: int = 384, least: int = 5) -> VoterModel:
@@ -178,9 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     prior = (known.sum() + 1.0) / (len(known) + 2.0)
     if not len(hashes):
         return VoterModel(hashes, [], np.zeros((2, 0)), np.zeros(0), np.zeros(0), float(np.log(prior / (1 - prior))))
-    posterior, rates, share = label_model(matrix, target)
+    posterior, rates, share = label_model(matrix, target, family=families(hashes, patterns))
     weights, intercept = fit_logistic(matrix, posterior, penalty=0.3)
-    return VoterModel(hashes, patterns, rates, share, weights, intercept)
+    return VoterModel(hashes, [p.decode("utf-8", "replace") for p in patterns], rates, share, weights, intercept)
 
 
 def score(docs: DataFrame, model: VoterModel, text: str = "text", output: str = "score") -> DataFrame:
