@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, check_sql, decontaminate, jaccard_join, line_dedup, quality, repeat_spans, token_store, toxicity, vector_graph
+from . import (
+    byte_bpe,
+    chat,
+    check_sql,
+    conversation_repair,
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    quality,
+    ranked_search,
+    repeat_spans,
+    secret_scan,
+    token_store,
+    toxicity,
+    vector_graph,
+)
 from .common import table
 from .learning import id_remainder
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -120,3 +135,39 @@ def op1_line_dedup_all(spark: SparkSession, folder: str) -> DataFrame:
     """Short lines too, where they are equal."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, edits=2, least=32, least_equal=1).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_secret_scan", check_sql.secrets(secret_scan.BASE_RULES, secret_scan.MORE_RULES))
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs)
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = [rule.kind for rule in secret_scan.BASE_RULES]
+    return found.select(
+        "doc_id", *(F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in base), F.sha2(secret_scan.written(of(*base)), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
+@query("op12_ranked_search", check_sql.RANKED)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"), top=50)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows dropped, emptied, cut, repeated or given to the user, by a hash of their place; nulls are one space."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    code, text = F.crc32(name) % 20, F.coalesce("text", space)
+    return rows.where(code != 0).select(
+        "conv_id", "turn", F.when(code == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(code == 3, 2).otherwise(1)))).drop("col")
+
+
+@query("op13_conversation_repair", check_sql.REPAIRED)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    audits, repaired = conversation_repair.repair(damaged(rows))
+    lines = conversation_repair.digests(repaired)
+    every = rows.select(F.col("conv_id").alias("own")).distinct()
+    met = every.join(audits, F.col("own").eqNullSafe(F.col("conv_id")), "left").join(lines, F.col("own").eqNullSafe(F.col("conv")), "left")
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return met.select(F.col("own").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
