@@ -151,13 +151,13 @@ def ordered_turns(rows: DataFrame) -> DataFrame:
 
 
 def segments(ordered: DataFrame) -> DataFrame:
-    """One row for what each part has of a conversation: counts, ends, and its lightest derivations as (before, after, cost, audit)."""
+    """One row for what each part has of a conversation: counts, ends, whether other parts may have more of it, and its lightest derivations as (before, after, cost, audit)."""
     conv, turn = ordered.schema["conv"].dataType, T.LongType()
     span = T.StructType([T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("cost", T.LongType()), T.StructField("audit", T.StringType())])
     counts = ["blank", "duplicate", "truncated", "illegal", "turns"]
     schema = T.StructType([
         T.StructField("conv", conv), T.StructField("part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, turn) for c in ("low", "high")),
-        *(T.StructField(c, T.StringType()) for c in ("head", "tail")), T.StructField("spans", T.ArrayType(span))])
+        *(T.StructField(c, T.StringType()) for c in ("head", "tail")), T.StructField("shared", T.BooleanType()), T.StructField("spans", T.ArrayType(span))])
     arrow = to_arrow_schema(schema)
     light = ordered.select("part", "at", "conv", F.col("turn").cast("bigint").alias("turn"), "initial", "fault")
     n = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -172,7 +172,7 @@ def segments(ordered: DataFrame) -> DataFrame:
         return {
             "conv": name, "part": part, "blank": faults.count(BLANK), "duplicate": faults.count(DUPLICATE), "truncated": faults.count(TRUNCATED),
             "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:], strict=False)), "turns": len(set(turns)), "low": min(turns, default=None), "high": max(turns, default=None),
-            "head": initials[0], "tail": initials[-1], "spans": [{"before": q, "after": to, "cost": cost, "audit": audit} for q, ends in spans.items() for to, (cost, audit) in ends.items()]}
+            "head": initials[0], "tail": initials[-1], "shared": first or last, "spans": [{"before": q, "after": to, "cost": cost, "audit": audit} for q, ends in spans.items() for to, (cost, audit) in ends.items()]}
 
     def derive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -197,7 +197,10 @@ def segments(ordered: DataFrame) -> DataFrame:
 
 
 def chosen(parts: DataFrame) -> DataFrame:
-    """For each conversation a row with ``part`` null: counts, cost, audit; and a row for each part: the state before it and its part of the audit."""
+    """For each conversation a row with ``part`` null: counts, cost, audit; and a row for each part: the state before it and its part of the audit.
+
+    Nearly all conversations lie in one part and are done; only the first and the last one of a part meet others.
+    """
     names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     schema = T.StructType([
         T.StructField("conv", parts.schema["conv"].dataType), T.StructField("part", T.IntegerType()), T.StructField("before", T.IntegerType()), T.StructField("audit", T.StringType()),
@@ -232,7 +235,12 @@ def chosen(parts: DataFrame) -> DataFrame:
             made.append({"conv": row["conv"], "part": row["part"], "before": before, "audit": own, **dict.fromkeys(names)})
         return pa.Table.from_pylist(made, arrow)
 
-    return stored(parts.groupBy("conv").applyInArrow(combine, schema), "turn-edits")
+    goal = F.array_min(F.transform(F.filter("spans", lambda s: s["after"].isin(*ACCEPTED)), lambda s: F.struct(s["cost"], s["audit"])))
+    alone = parts.where("not shared").withColumn("goal", goal).withColumn("gaps", F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0))).select("*", "goal.*")
+    counts = [F.col(c) for c in names]
+    totals = alone.select("conv", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("before"), "audit", *counts)
+    own = alone.select("conv", "part", F.lit(START).alias("before"), "audit", *(F.lit(None).cast("bigint").alias(c) for c in names))
+    return stored(totals.unionByName(own).unionByName(parts.where("shared").groupBy("conv").applyInArrow(combine, schema)), "turn-edits")
 
 
 def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,8 @@
 
 Of ``edits`` + 1 segments of a line, an edit distance of at most ``edits`` leaves one whole. So each line is indexed by its segments, with its
 length, and probes the few substrings of itself that could be a segment of a line that is up to ``edits`` characters shorter
-(the windows that any alignment of the whole segment allows). Candidates are verified by a banded bit-parallel automaton.
+(the windows that any alignment of the whole segment allows). Candidates are verified by a banded bit-parallel automaton. A line goes if any earlier one is near, so
+lines meet the first line of a key before all others, and keys that many lines share are cut finer by the same argument.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -39,33 +41,6 @@ def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str, size: int
     return met.withColumn("maybe", F.coalesce(found, F.lit(False))).drop("filter_word", "filter_bits")
 
 
-def segment_keys(line: Column, size: Column, edits: int, own: bool) -> Column:
-    """Array of keys, hashes of (length, segment number, substring): the line's own segments, or its other substrings that
-    could be a segment of a line of its length or up to ``edits`` shorter. A window over the end of the line gives a string
-    that is too short to be a segment."""
-    parts = edits + 1
-    keys = []
-    for shorter in range(1 if own else edits + 1):
-        # Whole numbers: every segment has ``base`` characters, the last ``rest`` ones one more.
-        base, rest = F.get(f"sizes_{shorter}", F.lit(0)), F.get(f"sizes_{shorter}", F.lit(1))
-        for i in range(parts):
-            longer = F.when(rest > parts - 1 - i, 1).otherwise(0)
-            start = base * i + F.greatest(F.lit(0), rest + (i - parts))
-            # i edits at most before the segment, the others after it.
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                if own and shift or not own and not (shorter or shift):
-                    continue
-                keys.append(F.xxhash64(F.lit(i), size - shorter, F.substring(line, start + (shift + 1), base + longer)))
-    return F.array(*keys)
-
-
-def with_sizes(lines: DataFrame, edits: int) -> DataFrame:
-    """``lines`` with (segment length, longer segments) for a partner of the same length and each shorter one."""
-    sizes = {f"sizes_{k}": F.expr(f"array(int((size - {k}) div {edits + 1}), (size - {k}) % {edits + 1})") for k in range(edits + 1)}
-    return lines.withColumns(sizes)
-
-
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two lines is at most ``edits``.
 
@@ -111,21 +86,122 @@ def profiles_near(a: Column, b: Column, edits: int) -> Column:
     return reduce(lambda x, y: x + y, (F.abs(part(a, k) - part(b, k)) for k in range(len(PROFILED)))) <= 2 * edits
 
 
-def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): ids of distinct ``lines`` (id, line, size) within ``edits`` edits, a < b. Lines need more than ``edits`` characters."""
-    lines = with_sizes(lines, edits).withColumn("profile", profile(F.col("line")))
-    index = lines.select(F.col("id").alias("x"), F.col("profile").alias("px"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=True)).alias("key"))
-    others = lines.select(F.col("id").alias("y"), F.col("profile").alias("py"), F.explode(segment_keys(F.col("line"), F.col("size"), edits, own=False)).alias("key"))
-    # Most substrings are no line's segment: they are left out before the shuffle.
-    probes = may_hold(others, "key", index, "key", KEY_BITS).where("maybe").select("y", "py", "key").unionByName(index.select(F.col("x").alias("y"), F.col("px").alias("py"), "key"))
-    i, p = index.alias("i"), probes.alias("p")
-    on = (F.col("i.key") == F.col("p.key")) & (F.col("x") != F.col("y")) & profiles_near(F.col("px"), F.col("py"), edits)
-    met = i.join(p, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = stored(met, "line-pairs")
+def windows(edits: int, longer: int) -> list[tuple[int, int]]:
+    """(segment number, shift) at which a text that is ``longer`` (or shorter) than its partner may hold one of the partner's ``edits`` + 1 segments whole: i edits at
+    most before segment i, the others after it. Without edits there is nothing to look for: (-1, 0)."""
+    if not edits:
+        return [(-1, 0)]
+    return [(i, shift) for i in range(edits + 1) for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1)]
+
+
+def own_windows(edits: int) -> list[tuple[int, int]]:
+    return [(i, 0) for i in range(edits + 1)] if edits else [(-1, 0)]
+
+
+def segment(size: Column, parts, number) -> tuple[Column, Column]:
+    """(start, length) of a segment: whole numbers, the last segments one character longer where need be."""
+    base, rest = F.floor(size / parts).cast("int"), size % parts
+    return base * number + F.greatest(F.lit(0), rest + (number - parts)), base + (rest + number - parts >= 0).cast("int")
+
+
+#: A key's kind: segment number, how much shorter the partner is, and the shift at which the segment is looked for; a line's own segments have no shift.
+KIND = ["i", "shorter", "shift"]
+
+
+def segment_rows(lines: DataFrame, edits: int, own: bool) -> DataFrame:
+    """(id, order, key, KIND) of ``lines``: the line's own segments, or its other substrings that could be a segment of a line of its length or up to ``edits`` shorter.
+    Keys are hashes of (segment number, partner's length, substring)."""
+    kinds = [(i, k, shift) for k in range(1 if own else edits + 1) for i, shift in (own_windows(edits) if own else windows(edits, k)) if own or k or shift]
+    rows = lines.select("id", "order", "line", "size", F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(kind, KIND, strict=True))) for kind in kinds))))
+    partner = F.col("size") - F.col("shorter")
+    start, length = segment(partner, edits + 1, F.col("i"))
+    return rows.select("id", "order", F.xxhash64("i", partner, F.substring("line", start + F.col("shift") + 1, length)).alias("key"), *KIND)
+
+
+def finer_rows(rows: DataFrame, lines: DataFrame, edits: int, own: bool) -> DataFrame:
+    """(id, order, key) of ``rows`` (id, order, key, KIND) whose keys hold too many lines: what is left of the line on both sides of the segment is cut again. Segment i leaves
+    i edits on its left and the others on its right, so each side is looked at with fewer edits; the finer key adds one segment of either side."""
+    kinds = []
+    for i, shorter, shift in {(i, k, s) for k in range(edits + 1) for i, s in windows(edits, k)}:
+        if not own or not (shorter or shift):
+            left = own_windows(i) if own else windows(i, shift)
+            right = own_windows(edits - i) if own else windows(edits - i, shorter - shift)
+            kinds += [(i, shorter, shift, jl, sl, jr, sr) for jl, sl in left for jr, sr in right]
+    names = [*KIND, "left", "left_shift", "right", "right_shift"]
+    table = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(kind, names, strict=True))) for kind in sorted(kinds)))
+    mine = F.filter(table, lambda t: (t["i"] == F.col("i")) & (t["shorter"] == F.col("shorter")) & (t["shift"] == F.col("shift")))
+    texts = may_hold(lines.select("id", "line", "size"), "id", rows, "id").where("maybe").select("id", "line", "size")
+    each = rows.join(texts, "id").select("id", "order", "key", "line", "size", F.explode(mine).alias("t")).select("id", "order", "key", "line", "size", "t.*")
+    partner = F.col("size") - F.col("shorter")
+    start, length = segment(partner, edits + 1, F.col("i"))
+    left_start, left_length = segment(start, F.greatest(F.col("i") + 1, F.lit(1)), F.col("left"))
+    after = start + length
+    right_start, right_length = segment(partner - after, F.greatest(edits + 1 - F.col("i"), F.lit(1)), F.col("right"))
+    piece = lambda number, at, long: F.when(number >= 0, F.substring("line", at + 1, long)).otherwise("")
+    return each.select("id", "order", F.xxhash64(
+        "key", "left", piece(F.col("left"), left_start + F.col("left_shift"), left_length), "right", piece(F.col("right"), after + F.col("shift") + right_start + F.col("right_shift"), right_length)).alias("key"))
+
+
+#: Lines of one key that are compared without finer keys.
+LIST = 16
+
+
+def later_lines(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(id, who, cell, at) of the later line of each of the ``pairs`` (a, b) within ``edits`` edits."""
+    pairs = stored(pairs.distinct(), "line-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = stored(may_hold(lines.select("id", "line"), "id", named, "name").where("maybe").select("id", "line"), "pair-lines")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.split("line", "").alias("chars_a")), "a").join(texts.select(F.col("id").alias("b"), F.split("line", "").alias("chars_b")), "b")
-    return both.where(within(F.col("chars_a"), F.col("chars_b"), edits)).select("a", "b").distinct()
+    texts = may_hold(lines, "id", named, "name").where("maybe")
+    texts = stored(texts.select("id", "line", profile(F.col("line")).alias("profile"), F.struct("who", "at", "cell").alias("place")), "pair-lines")
+    side = lambda s: texts.select(F.col("id").alias(s), F.split("line", "").alias(f"chars_{s}"), F.col("profile").alias(f"profile_{s}"), F.col("place").alias(f"place_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(profiles_near(F.col("profile_a"), F.col("profile_b"), edits))
+    near = both.where(within(F.col("chars_a"), F.col("chars_b"), edits))
+    later = F.when(F.col("place_a") < F.col("place_b"), F.struct(F.col("b").alias("id"), F.col("place_b").alias("p"))).otherwise(F.struct(F.col("a").alias("id"), F.col("place_a").alias("p")))
+    return stored(near.select(later.alias("x")).select("x.id", "x.p.who", "x.p.cell", "x.p.at").distinct(), "later-lines")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """(a, b) of each row with the first line of its key."""
+    return met.where(F.col("id") != F.col("head.id")).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
+
+
+def other_pairs(met: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b) of each row with the lines of its key in ``index`` that do not stand behind it, but the first one and itself."""
+    x, y = index.select("key", F.col("id").alias("x"), F.col("order").alias("x_order")), met.select("key", F.col("id").alias("y"), F.col("order").alias("y_order"), F.col("head.id").alias("head"))
+    found = x.join(y, "key").where((F.col("x") != F.col("y")) & (F.col("x") != F.col("head")) & (F.col("x_order") <= F.col("y_order")))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def with_heads(rows: DataFrame, index: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose key is in ``index``, with the key's first line and number of lines."""
+    heads = stored(index.groupBy("key").agg(F.min(F.struct("order", "id")).alias("head"), F.count(F.lit(1)).alias("n")), name)
+    return rows.join(heads, "key")
+
+
+def near_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, who, cell, at) of the ``lines`` (id, order, who, cell, at, line, size; distinct) that have an earlier one within ``edits`` edits. ``order`` agrees with (who, at).
+
+    What is asked is whether there is one, not which ones there are. So each line meets the first line of each of its keys; the ones that are near it are done. The others meet the rest
+    of a key that few lines share; where many share it, finer keys take its place, again first lines first.
+    """
+    own = segment_rows(lines, edits, own=True)
+    heads = stored(own.groupBy("key").agg(F.min(F.struct("order", "id")).alias("head"), F.count(F.lit(1)).alias("n")), "line-heads")
+    # Most substrings are no line's segment, and most segments no other line's: both are left out before the shuffle.
+    probes = may_hold(segment_rows(lines, edits, own=False), "key", heads, "key", KEY_BITS).where("maybe")
+    shared = may_hold(own, "key", heads.where("n > 1"), "key").where("maybe")
+    columns = ["id", "order", "key", *KIND]
+    met = stored(probes.select(*columns).unionByName(shared.select(*columns)).join(heads, "key"), "line-meetings")
+    done = later_lines(first_pairs(met), lines, edits)
+
+    several = met.where("n > 1")
+    index, left = several.where("shorter = 0 and shift = 0"), several.join(done.select("id"), "id", "left_anti")
+    few, many = F.col("n") <= LIST, F.col("n") > LIST
+    finer_index = stored(finer_rows(index.where(many).select(*columns), lines, edits, own=True), "finer-index")
+    finer = with_heads(finer_rows(left.where(many).select(*columns), lines, edits, own=False), finer_index, "finer-heads")
+    finer = stored(finer, "finer-meetings")
+    second = later_lines(first_pairs(finer).unionByName(other_pairs(left.where(few), index.where(few))), lines, edits)
+    rest = finer.where("n > 1").join(second.select("id"), "id", "left_anti")
+    third = later_lines(other_pairs(rest, finer_index), lines, edits)
+    return done.unionByName(second).unionByName(third).distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str = "doc_id", text: str = "text", least_equal: int | None = None) -> DataFrame:
@@ -156,14 +232,10 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str =
 
     # Near lines: every line left of this length is distinct.
     left = once.select("who", "cell", F.posexplode("kept").alias("at", "line")).where("line is not null").withColumn("size", F.length("line")).where(F.col("size") >= least)
-    left = left.withColumn("id", F.xxhash64("line"))
-    pairs = stored(near_pairs(left.select("id", "line", "size"), edits), "near-lines")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    places = stored(may_hold(left.select("who", "cell", "at", "id"), "id", named, "name").where("maybe").select("id", "cell", F.struct("who", "at").alias("place")), "near-places")
-    ends = pairs.join(places.select(F.col("id").alias("a"), F.col("place").alias("p"), F.col("cell").alias("cell_a")), "a").join(
-        places.select(F.col("id").alias("b"), F.col("place").alias("q"), F.col("cell").alias("cell_b")), "b")
-    later = ends.select(F.when(F.col("p") < F.col("q"), F.struct("q", "cell_b")).otherwise(F.struct(F.col("p").alias("q"), F.col("cell_a").alias("cell_b"))).alias("x"))
-    done = without(once.withColumn("lines", F.col("kept")), later.select("x.q.who", F.col("x.cell_b").alias("cell"), "x.q.at").distinct())
+    # Whole-number ids also stand for the order, as far as they tell lines apart.
+    order = F.coalesce(F.col("who.id").cast("bigint"), F.lit(-(1 << 63))) if isinstance(docs.schema[doc_id].dataType, T.IntegralType) else F.lit(0).cast("bigint")
+    gone = near_lines(left.withColumn("id", F.xxhash64("line")).withColumn("order", order), edits)
+    done = without(once.withColumn("lines", F.col("kept")), gone.select("who", "cell", "at"))
     stay = F.filter("kept", lambda line: line.isNotNull())
     body = F.when(F.col("kept").isNotNull(), F.array_join(stay, "\n"))
     n_lines = F.coalesce(F.size("kept"), F.lit(0))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from functools import lru_cache
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm import conversation_repair as cr
 
+sys.setrecursionlimit(20_000)  # of the brute force
 SPACE = " \t\n\x0b\x0c\r"
 
 
