@@ -69,21 +69,23 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(n_a - n_b) <= edits) & (F.shiftright(F.get(last, F.lit(edits)), 0).bitwiseAND(F.expr(f"shiftleft(1, cast(size(chars_a) - size(chars_b) + {edits} as int))")) != 0)
 
 
-#: Characters that a line's profile counts, up to 255 each.
-PROFILED = "eantiors"
+#: Characters that a line's profile counts, up to 255 each, eight to a number.
+PROFILED = "eantiors", "hdlucmgp"
 
 
 def profile(line: Column) -> Column:
     """How often a line has each of PROFILED, a byte each."""
-    parts = [
-        F.shiftleft(F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint"), 8 * k) for k, c in enumerate(PROFILED)]
-    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+    def counts(letters: str) -> Column:
+        parts = [F.shiftleft(F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("bigint"), 8 * k) for k, c in enumerate(letters)]
+        return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+    return F.struct(*(counts(letters).alias(f"p{n}") for n, letters in enumerate(PROFILED)))
 
 
 def profiles_near(a: Column, b: Column, edits: int) -> Column:
     """False only for lines more than ``edits`` apart: an edit changes two counts by one at most."""
-    part = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(255)
-    return reduce(lambda x, y: x + y, (F.abs(part(a, k) - part(b, k)) for k in range(len(PROFILED)))) <= 2 * edits
+    part = lambda x, n, k: F.shiftright(x[f"p{n}"], 8 * k).bitwiseAND(255)
+    return reduce(lambda x, y: x + y, (F.abs(part(a, n, k) - part(b, n, k)) for n in range(len(PROFILED)) for k in range(8))) <= 2 * edits
 
 
 def windows(edits: int, longer: int) -> list[tuple[int, int]]:
@@ -119,7 +121,7 @@ def segment_rows(lines: DataFrame, edits: int, own: bool) -> DataFrame:
 
 
 def finer_rows(rows: DataFrame, lines: DataFrame, edits: int, own: bool) -> DataFrame:
-    """(id, order, key) of ``rows`` (id, order, key, KIND) whose keys hold too many lines: what is left of the line on both sides of the segment is cut again. Segment i leaves
+    """(id, order, key, profile) of ``rows`` (id, order, key, KIND) whose keys hold too many lines: what is left of the line on both sides of the segment is cut again. Segment i leaves
     i edits on its left and the others on its right, so each side is looked at with fewer edits; the finer key adds one segment of either side."""
     kinds = []
     for i, shorter, shift in {(i, k, s) for k in range(edits + 1) for i, s in windows(edits, k)}:
@@ -130,15 +132,15 @@ def finer_rows(rows: DataFrame, lines: DataFrame, edits: int, own: bool) -> Data
     names = [*KIND, "left", "left_shift", "right", "right_shift"]
     table = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(kind, names, strict=True))) for kind in sorted(kinds)))
     mine = F.filter(table, lambda t: (t["i"] == F.col("i")) & (t["shorter"] == F.col("shorter")) & (t["shift"] == F.col("shift")))
-    texts = may_hold(lines.select("id", "line", "size"), "id", rows, "id").where("maybe").select("id", "line", "size")
-    each = rows.join(texts, "id").select("id", "order", "key", "line", "size", F.explode(mine).alias("t")).select("id", "order", "key", "line", "size", "t.*")
+    texts = may_hold(lines.select("id", "line", "size"), "id", rows, "id").where("maybe").select("id", "line", "size", profile(F.col("line")).alias("profile"))
+    each = rows.join(texts, "id").select("id", "order", "key", "line", "size", "profile", F.explode(mine).alias("t")).select("id", "order", "key", "line", "size", "profile", "t.*")
     partner = F.col("size") - F.col("shorter")
     start, length = segment(partner, edits + 1, F.col("i"))
     left_start, left_length = segment(start, F.greatest(F.col("i") + 1, F.lit(1)), F.col("left"))
     after = start + length
     right_start, right_length = segment(partner - after, F.greatest(edits + 1 - F.col("i"), F.lit(1)), F.col("right"))
     piece = lambda number, at, long: F.when(number >= 0, F.substring("line", at + 1, long)).otherwise("")
-    return each.select("id", "order", F.xxhash64(
+    return each.select("id", "order", "profile", F.xxhash64(
         "key", "left", piece(F.col("left"), left_start + F.col("left_shift"), left_length), "right", piece(F.col("right"), after + F.col("shift") + right_start + F.col("right_shift"), right_length)).alias("key"))
 
 
@@ -164,11 +166,29 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return met.where(F.col("id") != F.col("head.id")).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
 
 
-def other_pairs(met: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b) of each row with the lines of its key in ``index`` that do not stand behind it, but the first one and itself."""
-    x, y = index.select("key", F.col("id").alias("x"), F.col("order").alias("x_order")), met.select("key", F.col("id").alias("y"), F.col("order").alias("y_order"), F.col("head.id").alias("head"))
-    found = x.join(y, "key").where((F.col("x") != F.col("y")) & (F.col("x") != F.col("head")) & (F.col("x_order") <= F.col("y_order")))
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def still_open(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """``rows`` with ``open``: whether the line is not among the ``done`` ones."""
+    return rows.join(done.select("id", F.lit(False).alias("open")).distinct(), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+
+
+def undecided(met: DataFrame) -> DataFrame:
+    """Rows of ``met`` (with ``open``) of keys that more than their first line keeps open; the first line has met all others of its key."""
+    return met.join(met.where(F.col("open") & (F.col("id") != F.col("head.id"))).select("key").distinct(), "key", "left_semi")
+
+
+def other_pairs(met: DataFrame, index: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of each row with the lines of its key in ``index``, but the first one and itself, where the later line is open and the profiles, if there are some, are not too far off.
+
+    A line looks for shorter ones, so the later line of a pair may be on either side.
+    """
+    known = "profile" in met.columns
+    side = lambda t, s: t.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "order", "open", *(["profile"] if known else []))), *([F.col("head.id").alias("head")] if s == "y" else []))
+    col = F.col
+    asked = (col("y_open") & (col("x_order") <= col("y_order"))) | (col("x_open") & (col("y_order") <= col("x_order")))
+    found = side(index, "x").join(side(met, "y"), "key").where((col("x_id") != col("y_id")) & (col("x_id") != col("head")) & (col("y_id") != col("head")) & asked)
+    if known:
+        found = found.where(profiles_near(col("x_profile"), col("y_profile"), edits))
+    return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
 
 def with_heads(rows: DataFrame, index: DataFrame, name: str) -> DataFrame:
@@ -192,16 +212,17 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     met = stored(probes.select(*columns).unionByName(shared.select(*columns)).join(heads, "key"), "line-meetings")
     done = later_lines(first_pairs(met), lines, edits)
 
-    several = met.where("n > 1")
-    index, left = several.where("shorter = 0 and shift = 0"), several.join(done.select("id"), "id", "left_anti")
+    several = undecided(still_open(met.where("n > 1"), done))
+    index = several.where("shorter = 0 and shift = 0")
     few, many = F.col("n") <= LIST, F.col("n") > LIST
     finer_index = stored(finer_rows(index.where(many).select(*columns), lines, edits, own=True), "finer-index")
-    finer = with_heads(finer_rows(left.where(many).select(*columns), lines, edits, own=False), finer_index, "finer-heads")
-    finer = stored(finer, "finer-meetings")
-    second = later_lines(first_pairs(finer).unionByName(other_pairs(left.where(few), index.where(few))), lines, edits)
-    rest = finer.where("n > 1").join(second.select("id"), "id", "left_anti")
-    third = later_lines(other_pairs(rest, finer_index), lines, edits)
-    return done.unionByName(second).unionByName(third).distinct()
+    finer = stored(with_heads(finer_rows(several.where(many).select(*columns), lines, edits, own=False), finer_index, "finer-heads"), "finer-meetings")
+    first = first_pairs(still_open(finer, done).where(F.col("open") | (F.col("order") <= F.col("head.order"))))
+    second = later_lines(first.unionByName(other_pairs(several.where(few), index.where(few), edits)), lines, edits)
+    both = done.unionByName(second)
+    rest = undecided(still_open(finer.where("n > 1"), both))
+    third = later_lines(other_pairs(rest, still_open(finer_index, both), edits), lines, edits)
+    return both.unionByName(third).distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 32, doc_id: str = "doc_id", text: str = "text", least_equal: int | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 Every string of ``length`` bytes picks an anchor among its inner strings of ANCHOR bytes: the leftmost with the least hash. Equal strings
 pick equal anchors, so a string whose anchor occurs once in the corpus occurs once itself. Neighbouring strings with one anchor form a stretch.
 Stretches whose anchors repeat are compared: where all are equal, all their strings repeat; the others are laid end to end, a suffix array
-of them is built (``suffix_order``), and suffixes that share their first ``length`` bytes with a neighbour in it are the repeats.
+of them is built (``suffix_order``), and suffixes that share their first ``length`` bytes with a neighbour in it are the repeats. Every string of a stretch
+holds the anchor whole, and equal ones hold it at the same place, so the anchor is one symbol there.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(body: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(text, place of the first string in ``body``, strings, step, times, anchor hash, content hash): stretches of strings with one anchor.
+    """(text, place of the first string in ``body``, strings, step, times, bytes before the anchor, anchor hash, content hash): stretches of strings with one anchor.
 
     In periodic text a stretch repeats at a fixed step; such runs are one row with ``times`` > 1.
     """
-    none = tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),) * 2
+    none = tuple(np.zeros(0, np.int64) for _ in range(6)) + (np.zeros(0, np.uint64),) * 2
     if len(body) < length:
         return none
     rolling = RollingHash(byte_codes()[body])
@@ -69,7 +70,7 @@ def stretches(body: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -
     head = np.flatnonzero(~go_on)
     times = np.diff(np.r_[head, len(low)])
     step = np.where(times > 1, gap[np.minimum(head + 1, len(low) - 1)], 0)
-    return of[head], low[head], count[head], step, times, key[head], content[head]
+    return of[head], low[head], count[head], step, times, (place - low)[head], key[head], content[head]
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -77,7 +78,7 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
-STRETCHES = "k1 long, k2 long, first int, strings int, step int, times int, anchor long, content long"
+STRETCHES = "k1 long, k2 long, first int, strings int, step int, times int, inner int, anchor long, content long"
 
 
 def all_stretches(rows: DataFrame, length: int) -> DataFrame:
@@ -93,11 +94,11 @@ def all_stretches(rows: DataFrame, length: int) -> DataFrame:
                 part = 1 << (PLACE_BITS - 1)
                 for at in range(0, max(1, len(own) - length + 1), part):
                     piece = own[at:at + part + length - 1]
-                    text, place, strings, step, times, key, content = stretches(piece, np.clip(base - at, 0, len(piece)), length, anchor)
+                    text, place, strings, step, times, inner, key, content = stretches(piece, np.clip(base - at, 0, len(piece)), length, anchor)
                     first = place + at - base[text]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[text + low]), pa.array(k2[text + low]), *(pa.array(x.astype(np.int32)) for x in (first, strings, step, times)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
-                        ["k1", "k2", "first", "strings", "step", "times", "anchor", "content"])
+                        [pa.array(k1[text + low]), pa.array(k2[text + low]), *(pa.array(x.astype(np.int32)) for x in (first, strings, step, times, inner)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
+                        ["k1", "k2", "first", "strings", "step", "times", "inner", "anchor", "content"])
 
     return rows.mapInArrow(find, STRETCHES)
 
@@ -113,7 +114,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     # Anchors with different stretches: one of each is compared with the others.
     of_content = ["anchor", "content"]
     unlike = hot.where("unlike")
-    one = unlike.groupBy(*of_content).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "first", "strings")).alias("at"))
+    one = unlike.groupBy(*of_content).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "first", "strings", "inner")).alias("at"))
     sizes = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"))
     one = stored(one.join(sizes, "anchor").select("anchor", "content", "n", "members", "at.*"), "one-of-each")
     bodies = stored(with_bytes(one, rows, length), "stretch-bytes")
@@ -134,8 +135,9 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
 
 
 def with_bytes(one: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, n, members, body): the bytes of one stretch of each content."""
-    wanted = one.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "n", "members", "first", "strings")).alias("asked"))
+    """(anchor, content, n, members, inner, body): the bytes of one stretch of each content, without its anchor, which stands after ``inner`` bytes."""
+    anchor = max(1, int(length * ANCHOR_SHARE))
+    wanted = one.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "n", "members", "first", "strings", "inner")).alias("asked"))
     wanted = stored(wanted, "asked")
     bits = filter_of(wanted, "k1")
     picked = rows.mapInArrow(only(bits), rows.schema).join(wanted, ["k1", "k2"])
@@ -147,13 +149,14 @@ def with_bytes(one: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 body = (bodies[at].as_py() or "").encode()
                 some = asked[at].as_py()
                 yield pa.RecordBatch.from_pylist(
-                    [{"anchor": a["anchor"], "content": a["content"], "n": a["n"], "members": a["members"], "body": body[a["first"]:a["first"] + a["strings"] - 1 + length]} for a in some],
+                    [{**{c: a[c] for c in ("anchor", "content", "n", "members", "inner")},
+                      "body": body[a["first"]:a["first"] + a["inner"]] + body[a["first"] + a["inner"] + anchor:a["first"] + a["strings"] - 1 + length]} for a in some],
                     schema=CUT)
 
-    return picked.mapInArrow(cut, "anchor long, content long, n long, members long, body binary").dropDuplicates(["anchor", "content"])
+    return picked.mapInArrow(cut, "anchor long, content long, n long, members long, inner int, body binary").dropDuplicates(["anchor", "content"])
 
 
-CUT = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("members", pa.int64()), ("body", pa.binary())])
+CUT = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("members", pa.int64()), ("inner", pa.int32()), ("body", pa.binary())])
 VERDICTS = "anchor long, content long, parts array<int>"
 
 
@@ -171,48 +174,52 @@ def runs(flags: np.ndarray) -> list[int]:
     return np.c_[np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1].ravel().tolist()
 
 
-def repeats_in(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """For each body, which of its strings of ``length`` bytes start elsewhere too, in any body."""
-    sizes = np.array([len(b) + 1 for b in bodies])
+def repeats_in(bodies: list[tuple[int, int, bytes]], rest: int) -> list[np.ndarray]:
+    """For each body (anchor, bytes before it, bytes without it), which of its strings start elsewhere too, in any body. A string has ``rest`` bytes besides its anchor."""
+    # Each body is its bytes, a symbol for the anchor in its place, and an end.
+    sizes = np.array([len(b) + 2 for _, _, b in bodies])
     symbols = np.empty(sizes.sum(), np.int64)
-    flat = np.zeros(len(symbols), np.uint8)
     base = np.cumsum(sizes) - sizes
-    for k, (at, body) in enumerate(zip(base.tolist(), bodies, strict=True)):
-        raw = np.frombuffer(body, np.uint8)
-        flat[at:at + len(raw)] = raw
-        symbols[at:at + len(raw)] = raw.astype(np.int64) + len(bodies)
-        symbols[at + len(raw)] = len(bodies) - 1 - k  # ends differ, so no match crosses one; the last is the least
-    data = flat.tobytes()
+    count, number = len(bodies), {}
+    for k, (at, (anchor, inner, body)) in enumerate(zip(base.tolist(), bodies, strict=True)):
+        raw = np.frombuffer(body, np.uint8).astype(np.int64) + count
+        symbols[at:at + inner] = raw[:inner]
+        symbols[at + inner] = count + 256 + number.setdefault(anchor, len(number))
+        symbols[at + inner + 1:at + len(raw) + 1] = raw[inner:]
+        symbols[at + len(raw) + 1] = count - 1 - k  # ends differ, so no match crosses one; the last is the least
+    data, width = symbols.tobytes(), 8 * (rest + 1)
     order = np.array(suffix_order(symbols))
     owner = np.searchsorted(base, order, "right") - 1
-    begins = order[order - base[owner] + length < sizes[owner]]
+    begins = order[order - base[owner] + rest + 1 < sizes[owner]]
     repeated = np.zeros(len(symbols), bool)
     for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-        if data[a:a + length] == data[b:b + length]:
+        if data[8 * a:8 * a + width] == data[8 * b:8 * b + width]:
             repeated[a] = repeated[b] = True
-    return [repeated[at:at + max(0, size - length)] for at, size in zip(base.tolist(), sizes.tolist(), strict=True)]
+    return [repeated[at:at + max(0, size - rest - 1)] for at, size in zip(base.tolist(), sizes.tolist(), strict=True)]
 
 
 def by_suffix_array(bodies: DataFrame, length: int) -> DataFrame:
-    """Which strings of each stretch repeat, anchor by anchor; small groups share a suffix array."""
+    """Which strings of each stretch repeat, anchor by anchor; small groups share a suffix array. A byte costs much here, so the number of tasks is given, not left to their size."""
+    rest = length - max(1, int(length * ANCHOR_SHARE))
+    tasks = 4 * int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "body")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "inner", "body")), strict=True):
                 if size >= BLOCK and row[0] != last:
-                    yield verdict(held, length)
+                    yield verdict(held, rest)
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[3]), row[0]
+                size, last = size + len(row[4]), row[0]
         if held:
-            yield verdict(held, length)
+            yield verdict(held, rest)
 
-    return bodies.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(judge, VERDICTS)
+    return bodies.repartition(tasks, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(judge, VERDICTS)
 
 
-def verdict(held: list[tuple[int, int, int, bytes]], length: int) -> pa.RecordBatch:
-    found = repeats_in([row[3] for row in held], length)
+def verdict(held: list[tuple[int, int, int, int, bytes]], rest: int) -> pa.RecordBatch:
+    found = repeats_in([(row[0], row[3], row[4]) for row in held], rest)
     parts = [runs(np.ones(len(flags), bool) if row[2] > 1 else flags) for row, flags in zip(held, found, strict=True)]
     kept = [k for k, p in enumerate(parts) if p]
     return pa.RecordBatch.from_arrays(
@@ -221,10 +228,13 @@ def verdict(held: list[tuple[int, int, int, bytes]], length: int) -> pa.RecordBa
 
 def by_strings(bodies: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many different stretches, without a group: strings are counted by their digest, each stretch's strings packed in one row."""
+    rest = length - max(1, int(length * ANCHOR_SHARE))
+
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, content, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "body")), strict=True):
-                found = [hashlib.blake2b(body[a:a + length], digest_size=16).digest() for a in range(len(body) - length + 1)]
+            for anchor, content, n, inner, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "inner", "body")), strict=True):
+                # The place of the anchor stands for the anchor.
+                found = [hashlib.blake2b(body[a:a + rest], digest_size=16, salt=(inner - a).to_bytes(8, "little")).digest() for a in range(len(body) - rest + 1)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([anchor], pa.int64()), pa.array([content], pa.int64()), pa.array([n], pa.int64()), pa.array([found], pa.list_(pa.binary()))], ["anchor", "content", "n", "digests"])
 
