@@ -168,6 +168,31 @@ def shoelace(xy) -> Column:
     return bind(_c(xy), area)
 
 
+def clipped(xy, axis: str, limit, keep_above: bool) -> Column:
+    """The part of a ring on one side of a line ``axis`` = ``limit``: each edge gives its crossing with the line and its end, where they are on that side.
+
+    One step a vertex. The part of a ring with a dent may run back along the line, which changes no area.
+    """
+    at = _c(limit)
+    inside = (lambda p: p[axis] >= at) if keep_above else (lambda p: p[axis] <= at)
+
+    def corners(a, b):
+        t = F.try_divide(at - a[axis], b[axis] - a[axis])
+        crossing = F.struct(*[(at if c == axis else a[c] + (b[c] - a[c]) * t).cast("double").alias(c) for c in ("x", "y")])
+        end = F.struct(b["x"].cast("double").alias("x"), b["y"].cast("double").alias("y"))
+        return F.filter(F.array(F.when(inside(a) != inside(b), crossing), F.when(inside(b), end)), lambda p: p.isNotNull())
+
+    return bind(_c(xy), lambda r: F.flatten(F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), corners)))
+
+
+def clipped_to_box(xy, west, south, east, north) -> Column:
+    """The part of a ring inside a box; empty if there is none."""
+    part = clipped(xy, "x", west, True)
+    for axis, limit, above in (("x", east, False), ("y", south, True), ("y", north, False)):
+        part = clipped(part, axis, limit, above)
+    return part
+
+
 def _edges(r: Column) -> Column:
     """Array of (x1, y1, x2, y2), the last edge closing the ring."""
     nxt = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))

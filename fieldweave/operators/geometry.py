@@ -1,8 +1,8 @@
-"""Rings on grids: scan lines, covered lengths, coverage, label pixels, zones."""
+"""Rings on grids: scan lines, coverage, label pixels, zones."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..functions import geo as G
 from ..functions.keys import _c
 from ..functions.text import FLAG_PHRASES
 from ..functions.values import CATEGORIES
+from .areas import exact_areas
 
 # Pixel codes of the categories.
 CATEGORY_CODES = {"small-scale": 1, "tree_crop": 2, "industrial": 3, "lawn": 4, "covered": 5}
@@ -56,48 +57,25 @@ def scan_lines(rings: DataFrame, xy: str, y0, step, rows: int) -> DataFrame:
     return r.select(*rest, "row", F.explode_outer(pairs).alias("__p")).filter(F.col("__p.xb") > F.col("__p.xa")).select(*rest, "row", "__p.xa", "__p.xb")
 
 
-def covered_lengths(spans: DataFrame, keys: Sequence[str], layers: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
-    """Length along each scan line where a condition on layer depths holds.
-
-    ``layers`` are 0/1 columns of the spans. Every span adds +1 at its start and -1
-    at its end; one running sum per line gives the depth of each layer, and
-    ``measures`` are conditions on those depths. Unions, intersections and any mix
-    come out of one shuffle, and the window only ever holds one line of one image.
-    """
-    ends = F.array(F.struct(F.col("xa").alias("x"), F.lit(1).alias("s")), F.struct(F.col("xb").alias("x"), F.lit(-1).alias("s")))
-    ev = spans.select(*keys, "row", *layers, F.explode(ends).alias("e")).select(
-        *keys, "row", F.col("e.x").alias("x"), *[(F.col(c) * F.col("e.s")).alias(c) for c in layers])
-    w = Window.partitionBy(*keys, "row").orderBy("x")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.select(*keys, "row", (F.lead("x").over(w) - F.col("x")).alias("__len"), *[F.sum(c).over(run).alias(c) for c in layers])
-    return ev.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(cond, F.col("__len"))), F.lit(0.0)).alias(n) for n, cond in measures.items()])
-
-
-def site_coverage(images: DataFrame, polygons: DataFrame, key: str, cutoff: int = 3, rows: int = 1000) -> DataFrame:
-    """Percent of the site box under the union of its polygons: all, certain ones, and each category.
+def site_coverage(images: DataFrame, polygons: DataFrame, key: str, cutoff: int = 3) -> DataFrame:
+    """Percent of the site box under the union of its polygons: all, certain ones, and each category. Exact.
 
     ``images``: key, box (struct south, west, north, east). ``polygons``: key, ring,
-    certainty, category. The box is cut into ``rows`` lines; along a line lengths
-    are exact. Images without polygons get zeros.
+    certainty, category. Images without polygons get zeros.
     """
-    p = polygons.join(images.select(key, "box"), key)
-    p = p.withColumns({
-        "xy": G.ring_xy("ring"), "__s": F.col("box.south"), "__h": (F.col("box.north") - F.col("box.south")) / rows,
-        "__w": F.col("box.west"), "__e": F.col("box.east")})
-    sure = F.col("certainty") >= cutoff
+    p = polygons.join(images.select(key, "box"), key).withColumn("xy", G.ring_xy("ring"))
+    sure = F.coalesce(F.col("certainty") >= cutoff, F.lit(False))
     names = {f"cat_{i}": c for i, c in enumerate(CATEGORIES)}
     p = p.withColumns({
         "any": F.lit(1), "sure": sure.cast("int"),
-        **{n: (sure & F.lower("category").contains(c)).cast("int") for n, c in names.items()}})
+        **{n: F.coalesce((sure & F.lower("category").contains(c)).cast("int"), F.lit(0)) for n, c in names.items()}})
     layers = ["any", "sure", *names]
-    spans = scan_lines(p.select(key, "xy", "__s", "__h", "__w", "__e", *layers), "xy", "__s", "__h", rows)
-    spans = spans.withColumns({"xa": F.greatest("xa", "__w"), "xb": F.least("xb", "__e")}).filter("xb > xa")
-    length = covered_lengths(spans, [key], layers, {n: F.col(n) > 0 for n in layers})
-    out = images.join(length, key, "left")
-    width = (F.col("box.east") - F.col("box.west")) * rows
+    area = exact_areas(p.select(key, "xy", "box", *layers), [key], layers, {n: ("any", [n]) for n in layers}, box="box")
+    out = images.join(area, key, "left")
+    whole = (F.col("box.east") - F.col("box.west")) * (F.col("box.north") - F.col("box.south"))
 
     def pct(c):
-        return F.coalesce(F.col(c) / width * 100.0, F.lit(0.0))
+        return F.coalesce(F.col(c) / whole * 100.0, F.lit(0.0))
 
     return out.select(
         *images.columns, pct("any").alias("percent_coverage"), pct("sure").alias("percent_coverage_hc"),
@@ -111,25 +89,15 @@ def box_overlaps(images: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     return p.withColumn("overlaps", G.overlaps_box(G.ring_xy("ring"), b["west"], b["south"], b["east"], b["north"])).drop("box")
 
 
-def match_areas(matches: DataFrame, polygons: DataFrame, reference: str, keys: Sequence[str] = ("comp_op", "site_id", "gt_date", "comp_date"),
-                step: float = 1e-5, rows: int = 40_000_000) -> DataFrame:
-    """Truth, guess, intersection and union area of every match, all labelers in one pass.
-
-    Rings are cut on one world-wide set of lines (``step`` degrees apart), so the
-    spans of two labelers line up. Each polygon's spans are made once and then
-    joined to the matches that use them. Areas are in square degrees.
-    """
-    p = polygons.withColumn("xy", G.ring_xy("ring")).select("site_id", "image_date", "operator_initials", "xy")
-    spans = scan_lines(p, "xy", -90.0, step, rows)
-    gt = matches.join(spans.filter(F.col("operator_initials") == reference).withColumnRenamed("image_date", "gt_date").drop("operator_initials"), ["site_id", "gt_date"])
-    comp = matches.join(
-        spans.withColumnsRenamed({"image_date": "comp_date", "operator_initials": "comp_op"}), ["site_id", "comp_date", "comp_op"])
-    both = gt.select(*keys, "row", "xa", "xb", F.lit(1).alias("gt"), F.lit(0).alias("comp")).unionByName(
-        comp.select(*keys, "row", "xa", "xb", F.lit(0).alias("gt"), F.lit(1).alias("comp")))
-    g, c = F.col("gt") > 0, F.col("comp") > 0
-    length = covered_lengths(both, list(keys), ["gt", "comp"], {"gt_area": g, "comp_area": c, "intersection_area": g & c, "union_area": g | c})
-    areas = ["gt_area", "comp_area", "intersection_area", "union_area"]
-    return matches.join(length, list(keys), "left").fillna(0.0, areas).withColumns({a: F.col(a) * step for a in areas})
+def match_areas(matches: DataFrame, polygons: DataFrame, reference: str, keys: Sequence[str] = ("comp_op", "site_id", "gt_date", "comp_date")) -> DataFrame:
+    """Truth, guess, intersection and union area of every match, all labelers in one pass. Exact, in square degrees."""
+    p = polygons.select("site_id", "image_date", "operator_initials", G.ring_xy("ring").alias("xy"))
+    gt = matches.join(p.filter(F.col("operator_initials") == reference).withColumnRenamed("image_date", "gt_date").drop("operator_initials"), ["site_id", "gt_date"])
+    comp = matches.join(p.withColumnsRenamed({"image_date": "comp_date", "operator_initials": "comp_op"}), ["site_id", "comp_date", "comp_op"])
+    both = gt.select(*keys, "xy", F.lit(1).alias("gt"), F.lit(0).alias("comp")).unionByName(comp.select(*keys, "xy", F.lit(0).alias("gt"), F.lit(1).alias("comp")))
+    areas = exact_areas(both, keys, ["gt", "comp"], {
+        "gt_area": ("any", ["gt"]), "comp_area": ("any", ["comp"]), "intersection_area": ("all", ["gt", "comp"]), "union_area": ("any", ["gt", "comp"])})
+    return matches.join(areas, list(keys), "left").fillna(0.0, ["gt_area", "comp_area", "intersection_area", "union_area"])
 
 
 def to_grid(rings: DataFrame, ring: str, grid: str) -> DataFrame:
@@ -238,25 +206,12 @@ def join_zones(points: DataFrame, zones: DataFrame, lon: str, lat: str, columns:
     return p.join(z, cond, "left").drop("__cx", "__cy", "cx", "cy", "xy")
 
 
-def footprint_share(rows: DataFrame, ring: str = "footprint", box: str = "box", lines: int = 1000) -> Column:
-    """Percent of a box inside a footprint ring, by clipped scan-line lengths within the row (no shuffle)."""
-    b = F.col(box)
-    xy = G.ring_xy(ring)
-
-    def total(r):
-        def line(i):
-            y = b["south"] + (i + 0.5) * (b["north"] - b["south"]) / lines
-            x = G.crossings(r, y)
-
-            def lengths(c):
-                pairs = F.sequence(F.lit(0), F.floor(F.size(c) / 2).cast("int"))
-                clipped = F.transform(pairs, lambda k: F.when(F.get(c, 2 * k + 1).isNull(), 0.0).otherwise(F.greatest(
-                    F.least(F.get(c, 2 * k + 1), b["east"]) - F.greatest(F.get(c, 2 * k), b["west"]), F.lit(0.0))))
-                return F.aggregate(clipped, F.lit(0.0), lambda a, v: a + v)
+def footprint_share(rows: DataFrame, ring: str = "footprint", box: str = "box") -> Column:
+    """Percent of a box inside a footprint ring, exactly: the ring is clipped by the four sides of the box, within the row.
 
-            return G.bind(x, lengths)
-
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), line), F.lit(0.0), lambda a, v: a + v)
-
-    width = (b["east"] - b["west"]) * lines
-    return F.when(F.col(ring).isNull(), F.lit(100.0)).otherwise(G.bind(xy, total) / width * 100.0)
+    Rings do not cross themselves. A missing footprint covers the box.
+    """
+    b = F.col(box)
+    part = G.clipped_to_box(G.ring_xy(ring), b["west"], b["south"], b["east"], b["north"])
+    area = G.bind(part, lambda r: F.when(F.size(r) > 2, G.shoelace(r)).otherwise(0.0))
+    return F.when(F.col(ring).isNull(), F.lit(100.0)).otherwise(area / ((b["east"] - b["west"]) * (b["north"] - b["south"])) * 100.0)

@@ -185,10 +185,42 @@ SELECT i.unique_id, round(coalesce(a, 0) / 1600.0::DOUBLE * 100, 6) AS percent_c
 def _(spark, d):
     box = F.struct(F.lit(0.0).alias("south"), F.lit(0.0).alias("west"), F.lit(0.04).alias("north"), F.lit(0.04).alias("east"))
     im = images(spark, d).select("unique_id", box.alias("box"))
-    c = GE.site_coverage(im, rectangles(spark, d).select("unique_id", "ring", "certainty", "category"), "unique_id", rows=40)
+    c = GE.site_coverage(im, rectangles(spark, d).select("unique_id", "ring", "certainty", "category"), "unique_id")
     return rounded(c.select("unique_id", "percent_coverage", "percent_coverage_hc", "percent_coverage_hc_lawn"))
 
 
+# Two right triangles of a site lean against each other; the second one is shifted, so that they meet in a triangle of their own slants.
+LEAN_SQL = "lean AS (SELECT o_orderkey AS k, (o_custkey % 90 + 10) / 1017.0::DOUBLE AS a, (o_orderkey % 10) / 10.0::DOUBLE AS f FROM orders), part AS (SELECT *, a * a / 2 AS one, (a - a * f) * (a - a * f) / 4 AS met FROM lean)"
+
+
+def leaning(spark, d):
+    a, f = (F.col("o_custkey") % 90 + 10) / 1017.0, (F.col("o_orderkey") % 10) / 10.0
+    zero = F.lit(0.0)
+    first = F.array(G.point(zero, zero), G.point(a, zero), G.point(zero, a), G.point(zero, zero))
+    second = F.array(G.point(a * f, zero), G.point(a * f + a, zero), G.point(a * f + a, a), G.point(a * f, zero))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), first.alias("first"), second.alias("second"))
+
+
+@query("G6_slanted_coverage", "WITH " + LEAN_SQL + " SELECT k, round((2 * one - met) / 0.02 * 100, 6) AS percent_coverage, round(one / 0.02 * 100, 6) AS percent_coverage_hc FROM part")
+def _(spark, d):
+    box = F.struct(F.lit(0.0).alias("south"), F.lit(0.0).alias("west"), F.lit(0.1).alias("north"), F.lit(0.2).alias("east"))
+    t = leaning(spark, d)
+    rings = t.select("k", F.explode(F.array(F.struct(F.col("first").alias("ring"), F.lit(4).alias("certainty")), F.struct(F.col("second").alias("ring"), F.lit(1).alias("certainty")))).alias("r"))
+    c = GE.site_coverage(t.select("k", box.alias("box")), rings.select("k", "r.*", F.lit("lawn").alias("category")), "k")
+    return rounded(c.select("k", "percent_coverage", "percent_coverage_hc"))
+
+
+@query("A3_slanted_areas", "WITH " + LEAN_SQL + " SELECT k, round(one * 10000, 6) AS gt_area, round(one * 10000, 6) AS comp_area, round(met * 10000, 6) AS intersection_area, round((2 * one - met) * 10000, 6) AS union_area FROM part")
+def _(spark, d):
+    t = leaning(spark, d)
+    day = F.lit("2021-01-01").cast("date")
+    matches = t.select(F.lit("JL").alias("comp_op"), F.col("k").alias("site_id"), day.alias("gt_date"), day.alias("comp_date"))
+    drawn = t.select(F.col("k").alias("site_id"), day.alias("image_date"), F.explode(F.array(F.struct(F.lit("KL").alias("operator_initials"), F.col("first").alias("ring")), F.struct(F.lit("JL").alias("operator_initials"), F.col("second").alias("ring")))).alias("r"))
+    areas = GE.match_areas(matches, drawn.select("site_id", "image_date", "r.*"), "KL")
+    names = ["gt_area", "comp_area", "intersection_area", "union_area"]
+    return rounded(areas.select(F.col("site_id").alias("k"), *[(F.col(c) * 10000).alias(c) for c in names]))
+
+
 @query("G7_box_overlap", "WITH " + RECT_SQL + " SELECT unique_id, poly_order, l_partkey, gx <= 20 AND gx + gw >= 10 AND gy <= 25 AND gy + gh >= 12 AS overlaps FROM rc")
 def _(spark, d):
     box = F.struct(F.lit(0.012).alias("south"), F.lit(0.01).alias("west"), F.lit(0.025).alias("north"), F.lit(0.02).alias("east"))
@@ -207,7 +239,7 @@ ag AS (SELECT comp_op, site_id, gt_date, comp_date, count(*) FILTER (ig) AS a, c
 FROM mm LEFT JOIN ag ON ag.comp_op = mm.comp_op AND ag.site_id = mm.site_id AND ag.gt_date = mm.gt_date AND ag.comp_date = mm.comp_date""")
 def _(spark, d):
     m = A.nearest_date_matches(images(spark, d), "KL").drop("date_diff")
-    a = GE.match_areas(m, rectangles(spark, d).filter("certainty >= 3"), "KL", step=0.001, rows=181_000)
+    a = GE.match_areas(m, rectangles(spark, d).filter("certainty >= 3"), "KL")
     return rounded(a.withColumns({c: F.col(c) * 1e6 for c in ("gt_area", "comp_area", "intersection_area", "union_area")}), 4)
 
 
@@ -235,4 +267,4 @@ def _(spark, d):
     ring = F.array(G.point(fx, fy), G.point(fx + 0.8, fy), G.point(fx + 0.8, fy + 0.9), G.point(fx, fy + 0.9), G.point(fx, fy))
     box = F.struct(F.lit(0.0).alias("south"), F.lit(0.0).alias("west"), F.lit(1.0).alias("north"), F.lit(1.0).alias("east"))
     e = table(spark, d, "events").select("event_id", ring.alias("footprint"), box.alias("box"))
-    return rounded(e.select("event_id", GE.footprint_share(e, lines=50).alias("share")))
+    return rounded(e.select("event_id", GE.footprint_share(e).alias("share")))
