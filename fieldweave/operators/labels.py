@@ -18,18 +18,18 @@ ALWAYS_IN = ["AB_JL_v2_101-125", "PS_101-125", "PS_1025-1049"]
 ALWAYS_OUT = "MV_76-100"
 
 
-def survey_polygon_matches(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str) -> DataFrame:
-    """Pairs (survey_key, polygon_key) on the date and the internal id or the site number.
+def survey_polygon_matches(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs (survey_key, polygon_key) on the date and the internal id or the site number, and on ``keys`` (bundles of surveys share internal ids).
 
     Labelers sometimes typed the site number instead of the internal id. The OR is
     two hash joins and a distinct; as one OR condition it would be a nested loop.
     """
-    left = survey.select(survey_key, F.col("internal_id").alias("__a"), site_number().alias("__b"), *DATE)
-    right = polygons.select(polygon_key, F.col("internal_id").alias("__id"), *DATE)
+    left = survey.select(survey_key, F.col("internal_id").alias("__a"), site_number().alias("__b"), *DATE, *keys)
+    right = polygons.select(polygon_key, F.col("internal_id").alias("__id"), *DATE, *keys)
     by_internal = left.withColumn("__id", F.col("__a"))
     by_site = left.withColumn("__id", F.col("__b")).filter(~F.col("__a").eqNullSafe(F.col("__b")))
     both = by_internal.unionByName(by_site)
-    return both.join(right, ["__id", *DATE]).select(survey_key, polygon_key).distinct()
+    return both.join(right, ["__id", *DATE, *keys]).select(survey_key, polygon_key).distinct()
 
 
 def polygon_site(matches: DataFrame, survey: DataFrame, survey_key: str, polygon_key: str, line: str) -> DataFrame:
@@ -90,24 +90,24 @@ def issue_message(row: str = "line") -> Column:
     return F.concat(where, text)
 
 
-def repair_internal_id(polygons: DataFrame, survey: DataFrame) -> DataFrame:
-    """Internal id from the survey where the polygon carries the site number; operator from the file name.
+def repair_internal_id(polygons: DataFrame, survey: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Internal id from the survey (its own bundle, with ``keys``) where the polygon carries the site number; operator from the file name.
 
     Rows without a site stay as they are.
     """
-    ids = survey.groupBy("site_id").agg(F.max("internal_id").alias("__fixed"))
+    ids = survey.groupBy("site_id", *keys).agg(F.max("internal_id").alias("__fixed"))
     wrong = F.col("internal_id") == site_number()
     return (
-        polygons.join(ids, "site_id", "left")
+        polygons.join(ids, ["site_id", *keys], "left")
         .withColumn("internal_id", F.when(wrong, F.coalesce("__fixed", "internal_id")).otherwise(F.col("internal_id")))
         .withColumn("operator_initials", final_operator())
         .drop("__fixed")
     )
 
 
-def attach_survey_info(polygons: DataFrame, survey: DataFrame, info: Sequence[str]) -> DataFrame:
-    """Site-level columns onto polygons by site, internal id and date."""
-    keys = ["site_id", "internal_id", *DATE]
+def attach_survey_info(polygons: DataFrame, survey: DataFrame, info: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Site-level columns onto polygons by site, internal id and date, and ``keys``."""
+    keys = ["site_id", "internal_id", *DATE, *keys]
     return polygons.join(survey.select(*keys, *info).distinct(), keys, "left")
 
 

@@ -66,6 +66,17 @@ def numbered(df: DataFrame, order: Sequence[str], id_col: str = "unique_id", sta
     )
 
 
+def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], id_col: str, start: int = 0, whole: str | None = None) -> DataFrame:
+    """Row ids start..n within each key, in the given order, and if asked ids of all rows (from 0) as ``whole``.
+
+    All rows are numbered together, so a hot key is spread over many ranges; a key's ids are the differences to its first one. Keys are not null.
+    """
+    rows = numbered(df, [*keys, *order], "__all", 0)
+    first = rows.groupBy(*keys).agg(F.min("__all").alias("__first"))
+    out = rows.join(first, list(keys)).withColumn(id_col, F.col("__all") - F.col("__first") + F.lit(start)).drop("__first")
+    return out.withColumnRenamed("__all", whole) if whole else out.drop("__all")
+
+
 def hashed_sample(
     df: DataFrame, keys: Sequence[str], quota, seed: int, ids: Sequence[str], prefixes: Sequence[int] = (3, 7)
 ) -> DataFrame:
@@ -109,98 +120,88 @@ def hashed_first(df: DataFrame, n: int, seed: int, ids: Sequence[str]) -> DataFr
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str],
-    descending: bool = False, cells: int = 4096,
+    df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False,
 ) -> DataFrame:
-    """Running sums along a number in [0, 1] within each key.
+    """Running sums along any number within each key.
 
-    ``sums`` maps output name to input column. The number line is cut into
-    cells x cells pieces; a row's total is (cells before) + (pieces before within
-    the cell) + (rows before within the piece). Each window therefore sees at most
-    ``cells`` totals or the rows of one piece, never a whole key.
+    ``sums`` maps output name to input column. Rows are dealt by ranges of (keys, ``order``), whose bounds come from the data; a row's total is (ranges of its key before) + (rows before within
+    the range). Each window therefore sees one row a range, or the rows of one range, never a whole key. Equal numbers of a key are in one range; they should be one row.
     """
-    pos = (1.0 - F.col(order)) if descending else F.col(order)
-    scaled = F.greatest(F.lit(0.0), pos) * cells
-    df = df.withColumns({
-        "__c": F.least(F.floor(scaled), F.lit(cells - 1)),
-    }).withColumn("__p", F.least(F.floor((scaled - F.col("__c")) * cells), F.lit(cells)))
     direction = F.col(order).desc() if descending else F.col(order).asc()
-
-    def before(table: DataFrame, part: list[str], by: str) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1) if part else \
-            Window.partitionBy(F.lit(0)).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return table.withColumns({f"__o_{n}": F.coalesce(F.sum(f"__s_{n}").over(w), F.lit(0)) for n in sums})
-
-    agg = [F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
-    pieces = df.groupBy(*keys, "__c", "__p").agg(*agg)
-    coarse = pieces.groupBy(*keys, "__c").agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums])
-    coarse = before(coarse, list(keys), "__c").select(*keys, "__c", *[F.col(f"__o_{n}").alias(f"__a_{n}") for n in sums])
-    fine = before(pieces, [*keys, "__c"], "__p").select(*keys, "__c", "__p", *[F.col(f"__o_{n}").alias(f"__f_{n}") for n in sums])
-    offsets = fine.join(coarse, [*keys, "__c"])
-    w = Window.partitionBy(*keys, "__c", "__p").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(offsets, [*keys, "__c", "__p"])
-    out = out.withColumns({
-        n: F.sum(c).over(w) + F.col(f"__a_{n}") + F.col(f"__f_{n}") for n, c in sums.items()
-    })
-    return out.drop("__c", "__p", *[f"__a_{n}" for n in sums], *[f"__f_{n}" for n in sums])
+    laid = settled(df.repartitionByRange(*[F.col(k) for k in keys], direction).withColumn("__range", F.spark_partition_id()))
+    parts = laid.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    earlier = earlier.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    same = F.col("__range") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    w = Window.partitionBy(*keys, "__range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.join(offsets, same).withColumns({n: F.sum(c).over(w) + F.col(f"__o_{n}") for n, c in sums.items()})
+    return out.select(*df.columns, *[n for n in sums if n not in df.columns])
 
 
 def group_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float], accuracy: int = 10_000
+    df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float], accuracy: int = 10_000, cells: int = 1024
 ) -> DataFrame:
     """Exact linear percentiles of unbounded groups.
 
-    The built-in exact percentile keeps every distinct value of a group in one
-    buffer. Here a sketch first brackets each wanted rank to a few parts in
-    ``accuracy``; one counting pass then keeps values only inside the brackets and
-    bare counts elsewhere, so the last window sees a sliver of the group. Groups
-    with at most ``accuracy`` rows are kept whole. The answer is exact and does
-    not depend on the sketch.
+    The built-in exact percentile keeps every distinct value of a group in one buffer. Here each wanted rank is bracketed: the values of a bracket are counted in ``cells``
+    cells of equal width, and the cell that holds the rank is the next bracket, from its least to its largest value. That is repeated until no bracket of different values holds more
+    than ``accuracy`` rows. A bracket is then ranked on its own, so no window sees more than ``accuracy`` rows, whatever the group. A group of at most
+    ``accuracy`` rows is one bracket from the start. Missing values and NaN take no part; infinite ones are an error.
     """
-    names = sorted(points, key=lambda n: points[n])
-    eps = 4.0 / accuracy
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    lows = [F.lit(max(0.0, points[n] - eps)) for n in names]
-    highs = [F.lit(min(1.0, points[n] + eps)) for n in names]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", F.array(*lows, *highs), F.lit(accuracy)).alias("__q"),
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-    )
-    small = F.col("__n") <= accuracy
-    k = len(names)
-    lo = F.when(small, F.array_repeat(F.col("__min"), k)).otherwise(F.slice("__q", 1, k))
-    hi = F.when(small, F.array_repeat(F.col("__max"), k)).otherwise(F.slice("__q", k + 1, k))
-    brackets = sketch.select(*keys, "__n", lo.alias("__lo"), hi.alias("__hi"))
-    if keys:
-        near = rows.join(brackets, [rows[c].eqNullSafe(brackets[c]) for c in keys])
-        for c in keys:
-            near = near.drop(brackets[c])
-    else:
-        one = brackets.select(F.struct("__n", "__lo", "__hi")).scalar()
-        near = rows.withColumn("__one", one).select("__v", "__one.*")
-    seg = F.lit(0)
-    inside = F.lit(False)
-    for i in range(k):
-        a, b = F.col("__lo")[i], F.col("__hi")[i]
-        seg = seg + (F.col("__v") >= a).cast("int")
-        inside = inside | F.col("__v").between(a, b)
-    counted = near.groupBy(
-        *keys, seg.alias("__seg"), F.when(inside, F.col("__v")).alias("__v")
-    ).agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    w = part.orderBy("__seg", F.col("__v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counted.withColumn("__cum", F.sum("__c").over(w))
-    aggs = []
-    for name in names:
-        rank = F.lit(points[name]) * (F.col("__n") - 1)
-        aggs += [
-            F.min(F.when(F.col("__cum") > F.floor(rank), F.col("__v"))).alias(f"__l_{name}"),
-            F.min(F.when(F.col("__cum") > F.ceil(rank), F.col("__v"))).alias(f"__u_{name}"),
-        ]
-    out = cum.groupBy(*keys).agg(F.max("__n").alias("__n"), *aggs)
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = settled(rows)
+    whole = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
+    finite = (F.abs("__lo") < float("inf")) & (F.abs("__hi") < float("inf"))
+    whole = settled(whole.filter("__n > 0").withColumn("__lo", F.when(finite, F.col("__lo")).otherwise(F.raise_error(F.lit("percentiles of infinite values")).cast("double"))))
+    ranks = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("rank")) for n, p in points.items()])
+    targets = (
+        whole.select(*keys, F.explode(ranks).alias("__t")).select(*keys, "__t.*")
+        .select(*keys, "name", "rank", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("at")).distinct())
+    brackets = whole.select(*keys, "__lo", "__hi", F.lit(0).cast("long").alias("__below"), "__n")
+    while (brackets.filter("__lo < __hi").agg(F.max("__n")).first()[0] or 0) > accuracy:
+        inside = _in_brackets(rows, brackets, keys)
+        width = (F.col("__b.hi") - F.col("__b.lo")) / cells
+        # Values may be closer to each other than a cell is wide: then the bracket is split at its least value.
+        cell = F.when(F.col("__b.lo") + width > F.col("__b.lo"), F.least(F.lit(cells - 1), F.floor((F.col("__v") - F.col("__b.lo")) / width).cast("int"))).otherwise((F.col("__v") > F.col("__b.lo")).cast("int"))
+        counts = inside.groupBy(*keys, F.col("__b.lo").alias("__from"), F.col("__b.below").alias("__start"), cell.alias("__cell")).agg(
+            F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        before = Window.partitionBy(*keys, "__from").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        spans = counts.select(*keys, "__lo", "__hi", (F.col("__start") + F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__below"), "__n")
+        brackets = settled(_holding(targets, spans, keys).select(*keys, "__lo", "__hi", "__below", "__n").distinct())
+    merged = _in_brackets(rows, brackets, keys).groupBy(*keys, F.col("__b.lo").alias("__from"), F.col("__b.below").alias("__start"), F.col("__v").alias("__lo")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys, "__from").orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = merged.select(*keys, "__lo", (F.col("__start") + F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__below"), "__n")
+    found = _holding(targets, ranked, keys)
+    pick = lambda n, side: F.max(F.when((F.col("name") == n) & (F.col("at") == side("rank")), F.col("__lo")))
     cols = []
-    for name in names:
-        rank = F.lit(points[name]) * (F.col("__n") - 1)
-        cols.append((F.col(f"__l_{name}") + (F.col(f"__u_{name}") - F.col(f"__l_{name}")) * (rank - F.floor(rank))).alias(name))
-    return out.select(*keys, *cols)
+    for n in points:
+        part = F.max(F.when(F.col("name") == n, F.col("rank") - F.floor("rank")))
+        cols.append((pick(n, F.floor) + (pick(n, F.ceil) - pick(n, F.floor)) * part).alias(n))
+    return found.groupBy(*keys).agg(*cols)
+
+
+def _in_brackets(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the bracket (``__b``: lo, hi, below) that holds their value; the others are left out. A key has few brackets, which do not overlap."""
+    own = brackets.groupBy(*keys).agg(F.collect_list(F.struct(F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.col("__below").alias("below"))).alias("__all"))
+    met = _with_own(rows, own, keys, "__all")
+    hit = F.get(F.filter("__all", lambda b: F.col("__v").between(b["lo"], b["hi"])), F.lit(0))
+    return met.withColumn("__b", hit).filter(F.col("__b").isNotNull()).drop("__all")
+
+
+def _holding(targets: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each target with the span of ranks (from ``__below`` on, ``__n`` of them) that holds it."""
+    own = targets.groupBy(*keys).agg(F.collect_list(F.struct("name", "rank", "at")).alias("__t"))
+    hit = F.filter("__t", lambda t: (t["at"] >= F.col("__below")) & (t["at"] < F.col("__below") + F.col("__n")))
+    met = _with_own(spans, own, keys, "__t").withColumn("__t", F.explode(hit))
+    return met.select(*spans.columns, "__t.*")
+
+
+def _with_own(rows: DataFrame, own: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """``rows`` with the ``column`` that ``own`` has for their key; without keys ``own`` is one row."""
+    if not keys:
+        return rows.withColumn(column, own.scalar())
+    named = own.select(*[F.col(c).alias(f"__k_{c}") for c in keys], column)
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in keys]).drop(*[f"__k_{c}" for c in keys])

@@ -26,36 +26,47 @@ class LabelTables:
     outside: DataFrame
 
 
-def build(docs: DataFrame, sample: DataFrame, marks: DataFrame, survey_name: str, cutoff: int = 3) -> LabelTables:
-    """One survey bundle: label rows with coverage, enriched polygons, and the check report tables.
+def build(docs: DataFrame, sample: DataFrame, marks: DataFrame, survey_name: str | None = None, cutoff: int = 3) -> LabelTables:
+    """Label rows with coverage, enriched polygons, and the check report tables of any number of survey bundles, in one job.
+
+    ``docs`` and ``marks`` have ``source_file``, the bundle that both belong to (or all are of ``survey_name``), ``path`` and ``position``. Bundles share internal
+    ids, so every match is within one. Survey rows and polygons are numbered per bundle from 0, in the order of path, position in the file, and answer slot: later rows and later
+    polygons win. Placemarks without a position (read by row) are ordered by what they say.
 
     Matching uses the dates as written; the date shift of one labeler comes later,
     on both pooled tables alike.
     """
-    survey = SV.internal_ids(SV.answer_rows(docs), sample).drop("path")
-    survey = R.numbered(survey.withColumn("source_file", F.lit(survey_name)), ["site_id", "image_number"], "line", 0)
+    if survey_name is not None:
+        docs, marks = (t.withColumn("source_file", F.lit(survey_name)) for t in (docs, marks))
+    bundle = ["source_file"]
+    survey = SV.internal_ids(SV.answer_rows(docs), sample)
+    survey = R.numbered_within(survey, bundle, ["path", *_position(survey), "site_id", "image_number"], "line", 0, whole="row_id").drop("path", "position")
     drawn = TG.describe_polygons(PM.placemark_rows(marks).filter("geometry_status = 'ok'"))
-    drawn = R.numbered(drawn, ["name", "description", "ring"], "poly_order", 0)
+    drawn = R.numbered_within(drawn, bundle, ["path", "position"] if "position" in drawn.columns else ["name", "description", "ring"], "poly_order", 0, whole="poly_id").drop("path", "position")
     drawn = drawn.withColumn("polygon_area_m2", G.shoelace(G.ring_to_utm("ring"))).withColumn("category", area_category())
-    matches = L.survey_polygon_matches(survey, drawn, "line", "poly_order")
-    stats = L.polygon_stats(matches, drawn, "line", "poly_order", cutoff)
-    boxes = survey.select("line", G.geodesic_box("y", "x").alias("box"))
-    on_row = matches.join(drawn.select("poly_order", "ring", "certainty", "category"), "poly_order")
-    cover = GE.site_coverage(boxes, on_row, "line", cutoff).drop("box")
-    labels = survey.join(cover, "line").join(stats, "line", "left")
-    site = L.polygon_site(matches, survey, "line", "poly_order", "line")
-    placed = L.repair_internal_id(
-        drawn.join(site, "poly_order", "left").withColumn("source_file", F.lit(survey_name)), survey)
+    matches = L.survey_polygon_matches(survey, drawn, "row_id", "poly_id", bundle)
+    stats = L.polygon_stats(matches, drawn, "row_id", "poly_id", cutoff)
+    boxes = survey.select("row_id", G.geodesic_box("y", "x").alias("box"))
+    on_row = matches.join(drawn.select("poly_id", "ring", "certainty", "category"), "poly_id")
+    cover = GE.site_coverage(boxes, on_row, "row_id", cutoff).drop("box")
+    labels = survey.join(cover, "row_id").join(stats, "row_id", "left")
+    site = L.polygon_site(matches, survey, "row_id", "poly_id", "line")
+    placed = L.repair_internal_id(drawn.join(site, "poly_id", "left"), survey, bundle)
     info = ["plot_file", "x", "y", "water_source"]
+    outside = GE.box_overlaps(boxes, on_row, "row_id").filter(~F.col("overlaps"))
     return LabelTables(
-        labels=labels.drop("n_polygons", "max_certainty"),
-        polygons=L.attach_survey_info(placed, survey, info),
-        issues=L.consistency_issues(labels),
-        unmatched=placed.filter(F.col("site_id").isNull()),
-        outside=GE.box_overlaps(boxes, on_row, "line").filter(~F.col("overlaps")),
+        labels=labels.drop("n_polygons", "max_certainty", "row_id"),
+        polygons=L.attach_survey_info(placed, survey, info, bundle).drop("poly_id"),
+        issues=L.consistency_issues(labels).drop("row_id"),
+        unmatched=placed.filter(F.col("site_id").isNull()).drop("poly_id"),
+        outside=outside.join(survey.select("row_id", "source_file", "line"), "row_id").drop("row_id", "poly_id"),
     )
 
 
+def _position(rows: DataFrame) -> list[str]:
+    return [c for c in ("position",) if c in rows.columns]
+
+
 def pool(labels: DataFrame) -> DataFrame:
     """Latest versions, repeats dropped, dates shifted, numbered."""
     latest = L.latest_versions(labels)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import _c, placemark_parts
+from .elements import elements_in_order, file_stem, whole_files
 
 _TEXT = T.StringType()
 
@@ -37,6 +38,16 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_placemark_files(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of whole files with ``path``, ``source_file`` (its stem) and ``position`` in the file."""
+    return placemarks_in_order(whole_files(spark, path).withColumn("source_file", file_stem()))
+
+
+def placemarks_in_order(files: DataFrame) -> DataFrame:
+    """The same from rows with ``content``."""
+    return parse_placemarks(elements_in_order(files, "Placemark"))
+
+
 def parse_placemarks(df: DataFrame, xml: str = "xml") -> DataFrame:
     """The same from a text column; other columns stay."""
     return df.withColumn("__p", F.from_xml(F.col(xml), PLACEMARK_SCHEMA.simpleString(), {"rowTag": "Placemark"})).select(

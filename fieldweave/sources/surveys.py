@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import operator_from_path
+from ..functions.keys import _c, operator_from_path
+from .elements import elements_in_order, whole_files
 
 SLOTS = 10
 
@@ -39,9 +40,29 @@ def read_surveys(spark: SparkSession, path: str, row_tag: str = "plot") -> DataF
     )
 
 
+#: Columns that say where a document comes from; kept where they are given.
+PLACE = ("source_file", "position")
+
+
+def bundle_of(path="path"):
+    """Name of the bundle folder, two levels above the survey document."""
+    return F.element_at(F.split(_c(path), "/"), -3)
+
+
+def read_survey_files(spark: SparkSession, path: str, row_tag: str = "plot") -> DataFrame:
+    """Documents of whole files with ``path``, ``source_file`` (the bundle folder) and ``position`` in the file."""
+    return surveys_in_order(whole_files(spark, path).withColumn("source_file", bundle_of()), row_tag)
+
+
+def surveys_in_order(files: DataFrame, row_tag: str = "plot") -> DataFrame:
+    """The same from rows with ``content``."""
+    return parse_surveys(elements_in_order(files, row_tag), row_tag=row_tag)
+
+
 def parse_surveys(docs: DataFrame, xml: str = "xml", path: str = "path", row_tag: str = "plot") -> DataFrame:
     """The same documents from a text column."""
-    return docs.select(path, F.from_xml(F.col(xml), SURVEY_SCHEMA.simpleString(), {"rowTag": row_tag}).alias("d")).select("d.*", F.col(path).alias("path"))
+    own = [c for c in PLACE if c in docs.columns]
+    return docs.select(path, *own, F.from_xml(F.col(xml), SURVEY_SCHEMA.simpleString(), {"rowTag": row_tag}).alias("d")).select("d.*", F.col(path).alias("path"), *own)
 
 
 def read_survey_bundles(spark: SparkSession, path: str) -> DataFrame:
@@ -82,16 +103,17 @@ def answer_rows(docs: DataFrame) -> DataFrame:
         )
         for i in range(1, SLOTS + 1)
     ])
+    own = [c for c in PLACE if c in docs.columns]
     rows = docs.select(
         F.col("id.value").alias("site_id"), F.col("plot_file.value").alias("plot_file"), F.col("operator.value").alias("operator"),
         operator_from_path("path").alias("operator_initials"), F.col("location.x").alias("x"), F.col("location.y").alias("y"),
-        F.col("natural_dicoloration.value").alias("water_source"), "path", F.explode(slots).alias("s"),
+        F.col("natural_dicoloration.value").alias("water_source"), "path", *own, F.explode(slots).alias("s"),
     )
     date = valid_date("s.y", "s.m", "s.d")
     return rows.withColumn("__date", date).filter(F.col("__date").isNotNull() & F.col("s.irrigation").isNotNull()).select(
         "site_id", "plot_file", "operator", "operator_initials", "x", "y", "water_source", F.col("s.image_number").alias("image_number"),
         F.year("__date").alias("year"), F.month("__date").alias("month"), F.dayofmonth("__date").alias("day"),
-        F.col("s.irrigation").try_cast("int").alias("irrigation"), "path",
+        F.col("s.irrigation").try_cast("int").alias("irrigation"), "path", *own,
     )
 
 
