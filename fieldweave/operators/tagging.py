@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,15 +76,84 @@ def partial_ratio(s1: str, s2: str) -> float:
     return best
 
 
-def phrase_scores(text: Column, phrases: Sequence[str]) -> Column:
-    """Array of scores, one per phrase, for a normalized text."""
-    wanted = list(phrases)
+#: Characters that one numpy step works on.
+SLICE_CHARS = 1 << 20
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: [partial_ratio(t or "", p) for p in wanted])
 
-    return score(text)
+def _long_hits(texts: Sequence[str], phrase: str, threshold: float) -> np.ndarray:
+    """Whether ``phrase`` reaches ``threshold`` in each of the texts (ASCII, all longer than it, no zero characters), one pass over all of them.
+
+    A window's letters in common with the phrase, whatever their order, bound its score; they are differences of running counts. Only windows
+    whose bound reaches the threshold are scored, all of them at once, bit-parallel.
+    """
+    m, n = len(phrase), len(texts)
+    body = np.frombuffer(("\0".join(texts) + "\0").encode("ascii"), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    first = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    own = np.repeat(np.arange(n), sizes + 1)
+    common = np.zeros(len(body) - m + 1, np.int16)
+    for letter in set(phrase):
+        seen = np.zeros(len(body) + 1, np.int32)
+        np.cumsum(body == ord(letter), out=seen[1:])
+        common += np.minimum(seen[m:] - seen[:-m], phrase.count(letter)).astype(np.int16)
+    need = next(c for c in range(m + 2) if c > m or 100.0 * c / m >= threshold)
+    at = np.flatnonzero(common >= need)
+    at = at[(own[at] == own[at + m - 1]) & (body[at + m - 1] != 0)]
+    hit = np.zeros(n, bool)
+    full, one = np.uint64((1 << m) - 1), np.uint64(1)
+
+    def table(p: str) -> np.ndarray:
+        out = np.zeros(256, np.uint64)
+        for i, ch in enumerate(p):
+            out[ord(ch)] |= one << np.uint64(i)
+        return out
+
+    def walk(state, mask):
+        used = state & mask
+        return ((state + used) | (state - used)) & full
+
+    masks, state = table(phrase)[body], np.full(len(at), full, np.uint64)
+    for j in range(m):
+        state = walk(state, masks[at + j])
+    hit[own[at[100.0 * _count(state, m) / m >= threshold]]] = True
+    # Windows cut off at either end.
+    back = table(phrase[::-1])
+    for spots, mask in ((first, masks), (first + sizes - 1, back[body])):
+        step, state = (1 if mask is masks else -1), np.full(n, full, np.uint64)
+        for k in range(1, m):
+            state = walk(state, mask[spots + step * (k - 1)])
+            hit |= 200.0 * _count(state, m) / (m + k) >= threshold
+    return hit
+
+
+def phrase_hits(texts: Sequence[str], phrases: Sequence[str], threshold: float) -> list[list[bool]]:
+    """For each text whether the partial ratio of each phrase is at least ``threshold``."""
+    out = np.zeros((len(texts), len(phrases)), bool)
+    for k, phrase in enumerate(phrases):
+        fits = [0 < len(phrase) < len(t) and len(phrase) <= 62 and t.isascii() and "\0" not in t and phrase.isascii() for t in texts]
+        for i, t in enumerate(texts):
+            if not fits[i]:
+                out[i, k] = partial_ratio(t, phrase) >= threshold
+        some = np.flatnonzero(fits)
+        ends = np.cumsum([len(texts[i]) + 1 for i in some])
+        low = 0
+        while low < len(some):
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + SLICE_CHARS, "right")))
+            out[some[low:high], k] = _long_hits([texts[i] for i in some[low:high]], phrase, threshold)
+            low = high
+    return out.tolist()
+
+
+def close_phrases(text: Column, phrases: Sequence[str], threshold: float) -> Column:
+    """Array of booleans, one per phrase, for a normalized text."""
+    wanted, limit = list(phrases), float(threshold)
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def close(col: pd.Series) -> pd.Series:
+        return pd.Series(phrase_hits([t or "" for t in col], wanted, limit))
+
+    return close(text)
 
 
 def tag_phrases(df: DataFrame, text: str, phrases: Sequence[str] = tuple(X.UNCERTAINTY_PHRASES), threshold: float = X.MATCH_THRESHOLD,
@@ -95,9 +165,23 @@ def tag_phrases(df: DataFrame, text: str, phrases: Sequence[str] = tuple(X.UNCER
     """
     names = F.array(*[F.lit(p) for p in phrases])
     norm = df.withColumn("__t", F.nullif(X.normalize(text), F.lit("")))
-    texts = norm.select("__t").filter(F.col("__t").isNotNull()).distinct()
-    scored = texts.withColumn("__s", phrase_scores(F.col("__t"), [_norm(p) for p in phrases]))
-    hit = F.filter(F.zip_with(names, "__s", lambda p, s: F.when(s >= threshold, p)), lambda p: p.isNotNull())
+    # A text costs much for its bytes, so the number of tasks is given, not left to their size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = norm.select("__t").filter(F.col("__t").isNotNull()).repartition(tasks, "__t").distinct()
+    normal = [_norm(p) for p in phrases]
+    # A text that holds each phrase as it is needs no score; nor does one that shares too few letters with all of them: the shorter of the two must have
+    # threshold / (200 - threshold) of its length in common with the other.
+    held = F.array(*[F.contains("__t", F.lit(p)) for p in normal])
+    letters = [F.array(*[F.lit(c) for c in sorted(set(p))]) for p in normal]
+    shared = [F.aggregate(x, F.lit(0), lambda n, c: n + F.length("__t") - F.length(F.replace("__t", c, F.lit("")))) for x in letters]
+    share = threshold / (200.0 - threshold)
+    may = [n >= share * F.least(F.length("__t"), F.lit(len(p))) for n, p in zip(shared, normal, strict=True)]
+    known = texts.withColumn("__held", held)
+    sure = F.forall("__held", lambda h: h)
+    ask = known.filter(~sure & reduce(Column.__or__, may)).withColumn("__s", close_phrases(F.col("__t"), normal, threshold))
+    rest = known.filter(sure | ~reduce(Column.__or__, may)).withColumn("__s", F.col("__held"))
+    scored = ask.unionByName(rest)
+    hit = F.filter(F.zip_with(names, "__s", lambda p, s: F.when(s, p)), lambda p: p.isNotNull())
     tags = scored.select("__t", F.array_sort(hit).alias(out))
     empty = F.array().cast("array<string>")
     with_text = norm.filter(F.col("__t").isNotNull()).join(tags, "__t", "left")

@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import stacks as ST
 from ..operators import tagging as TG
 from ..sources import placemarks as PM
@@ -194,6 +195,56 @@ def _(spark, d):
     return TG.tag_phrases(doc, "text").select("doc_id", F.array_join("uncertainty", ";").alias("uncertainty"))
 
 
+# Descriptions written into the table: a phrase as it is, cut short, with a wrong letter, with two letters swapped, with a gap, inside other words, or other words only.
+PLANTED = [*X.UNCERTAINTY_PHRASES, *[s for many in X.CATEGORY_SYNONYMS.values() for s in many]]
+_PHRASE = f"[{', '.join(repr(p) for p in PLANTED)}][CAST(o_orderkey % {len(PLANTED)} + 1 AS INTEGER)]"
+PLANTED_SQL = f"""
+o AS (SELECT o_orderkey AS k, o_orderkey // 8 % 8 AS mode, {_PHRASE} AS p, length({_PHRASE}) AS n FROM orders),
+d AS (SELECT k, CAST(k % 5 + 1 AS VARCHAR) || ' ' || CASE mode WHEN 0 THEN p WHEN 1 THEN p[:n * 4 // 5] WHEN 2 THEN p[:n // 2] || 'q' || p[n // 2 + 2:] WHEN 3 THEN p[:n // 2] || p[n // 2 + 2:n // 2 + 2] || p[n // 2 + 1:n // 2 + 1] || p[n // 2 + 3:]
+      WHEN 4 THEN p[:n // 2] || ' ' || p[n // 2 + 1:] WHEN 5 THEN 'Near the river: ' || upper(p) || '!' WHEN 6 THEN p[:n // 3] ELSE 'kiosk by the track' END AS description FROM o),
+t AS (SELECT DISTINCT regexp_replace(lower(description), '[^a-z\\s]', '', 'g') AS x FROM d),
+t2 AS (SELECT x, x AS t FROM t)
+"""
+
+
+def planted(spark, d):
+    k = F.col("o_orderkey")
+    p = F.element_at(F.array(*[F.lit(x) for x in PLANTED]), (k % len(PLANTED) + 1).cast("int"))
+    rows = table(spark, d, "orders").select(k.alias("k"), F.expr("o_orderkey div 8 % 8").alias("mode"), p.alias("p"), F.length(p).alias("n"))
+    cut = lambda a, n: F.substring("p", a, n)
+    n, half = F.col("n"), F.expr("cast(n div 2 as int)")
+    forms = [
+        F.col("p"), cut(F.lit(1), F.expr("cast(n * 4 div 5 as int)")), F.concat(cut(F.lit(1), half), F.lit("q"), cut(half + 2, n)),
+        F.concat(cut(F.lit(1), half), cut(half + 2, F.lit(1)), cut(half + 1, F.lit(1)), cut(half + 3, n)), F.concat(cut(F.lit(1), half), F.lit(" "), cut(half + 1, n)),
+        F.concat(F.lit("Near the river: "), F.upper("p"), F.lit("!")), cut(F.lit(1), F.expr("cast(n div 3 as int)")), F.lit("kiosk by the track")]
+    return rows.select("k", F.concat(_s(F.col("k") % 5 + 1), F.lit(" "), F.element_at(F.array(*forms), (F.col("mode") + 1).cast("int"))).alias("description"))
+
+
+def fuzzy_sql(names, out, default):
+    """Tags by the score itself: the longest common subsequence of the shorter text and each window of the longer one, ends cut off included, counted row by row."""
+    flat = ", ".join(f"('{u}', '{s}')" for u, s in names)
+    common = """list_last(list_reduce(list_prepend(list_transform(range(0, length(w) + 1), lambda j: CAST(0 AS BIGINT)), list_transform(string_split(a, ''), lambda c: list_transform(range(0, length(w) + 1), lambda j: CASE WHEN j > 0 AND w[j:j] = c THEN CAST(1 AS BIGINT) ELSE 0 END))),
+      lambda top, same: list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, length(w) + 1), lambda j: [CAST(j AS BIGINT)])), lambda row, j: list_append(row, CASE WHEN same[j[1] + 1] = 1 THEN top[j[1]] + 1 ELSE greatest(top[j[1] + 1], list_last(row)) END))))"""
+    return f"""WITH {PLANTED_SQL}, ph(tag, p) AS (VALUES {flat}),
+pr AS (SELECT t, tag, p, CASE WHEN length(t) <= length(p) THEN t ELSE p END AS a, CASE WHEN length(t) <= length(p) THEN p ELSE t END AS b FROM t2, ph WHERE t <> ''),
+pw AS (SELECT t, tag, p, a, b FROM pr UNION SELECT t, tag, p, b, a FROM pr WHERE length(a) = length(b)),
+ws AS (SELECT t, tag, a, b[i:i + length(a) - 1] AS w FROM (SELECT *, unnest(range(1, length(b) - length(a) + 2)) AS i FROM pw)
+  UNION SELECT t, tag, a, b[:i] FROM (SELECT *, unnest(range(1, length(a))) AS i FROM pw) UNION SELECT t, tag, a, b[length(b) - i + 1:] FROM (SELECT *, unnest(range(1, length(a))) AS i FROM pw)),
+pairs AS (SELECT DISTINCT a, w FROM ws), sc AS (SELECT a, w, 200.0::DOUBLE * {common} / (length(a) + length(w)) AS score FROM pairs),
+hit AS (SELECT DISTINCT t, tag FROM ws JOIN sc ON ws.a = sc.a AND ws.w = sc.w WHERE score >= 75), tags AS (SELECT t, string_agg(tag, ';' ORDER BY tag) AS tags FROM hit GROUP BY 1)
+SELECT k, description, CAST(substr(description, 1, 1) AS INTEGER) AS certainty, coalesce(tags, '{default}') AS {out} FROM d JOIN t2 ON regexp_replace(lower(description), '[^a-z\\s]', '', 'g') = x LEFT JOIN tags ON tags.t = t2.t"""
+
+
+@query("P4_planted_descriptions", fuzzy_sql([(p, p) for p in X.UNCERTAINTY_PHRASES], "uncertainty_explanation", ""))
+def _(spark, d):
+    return TG.describe_polygons(planted(spark, d)).select("k", "description", "certainty", "uncertainty_explanation")
+
+
+@query("P5_planted_descriptions", fuzzy_sql([(u, s) for u, many in X.CATEGORY_SYNONYMS.items() for s in many], "category", X.DEFAULT_CATEGORY))
+def _(spark, d):
+    return TG.describe_polygons(planted(spark, d)).select("k", "description", "certainty", "category")
+
+
 @query("P5_exact_synonym_tags", f"""WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents), k AS (SELECT doc_id, t, t <> '' AS f FROM n)
 SELECT doc_id, concat_ws(';', CASE WHEN contains(t, 'ation') OR contains(t, 'ment') OR (f AND (contains('ation', t) OR contains('ment', t))) THEN 'noun' END, CASE WHEN contains(t, 'the') OR (f AND contains('the', t)) THEN 'word' END) AS tags FROM k""")
 def _(spark, d):

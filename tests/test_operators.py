@@ -209,3 +209,28 @@ def test_nearest_neighbours_blocks(spark):
 def test_shoelace_needs_no_closing_point(spark):
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 3), (0, 3))])
     assert spark.range(1).select(G.shoelace(ring)).first()[0] == 6.0
+
+
+def test_phrase_hits_are_those_of_the_score():
+    """Batches with their bounds against one score at a time, near and far from the threshold."""
+    from fieldweave.operators import tagging as TG
+
+    rng = np.random.default_rng(4)
+    phrases = ["uneven", "only slightly green", "may be a fishpond", "x", "z" * 70]
+    texts = ["", "uneven", "unven", "une", "only slghtly green", "ün even", "a\tb uneven\n"]
+    for _ in range(150):
+        p = phrases[rng.integers(0, 3)]
+        letters = [c for c in p if rng.random() > 0.2]
+        texts.append("".join(rng.choice(list("abe nuvxyz"), rng.integers(0, 30))) + "".join(letters) + "".join(rng.choice(list("ghi ly"), rng.integers(0, 30))))
+    for threshold in (60.0, 75.0, 100.0):
+        assert TG.phrase_hits(texts, phrases, threshold) == [[TG.partial_ratio(t, p) >= threshold for p in phrases] for t in texts]
+
+
+def test_clip_to_box_is_exact(spark):
+    """Slanted and dented rings against areas worked out by hand."""
+    rings = [[(-1.0, -1.0), (3.0, -1.0), (1.0, 3.0)], [(0.25, 0.25), (0.75, 0.25), (0.5, 0.75)], [(2.0, 2.0), (3.0, 2.0), (3.0, 3.0)], [(-1.0, 0.0), (0.5, 0.5), (-1.0, 1.0), (2.0, 1.0), (2.0, 0.0)]]
+    box = F.struct(F.lit(0.0).alias("south"), F.lit(0.0).alias("west"), F.lit(1.0).alias("north"), F.lit(1.0).alias("east"))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "i int, footprint array<struct<lon:double,lat:double>>").withColumn("box", box)
+    got = {r[0]: r[1] for r in df.select("i", GE.footprint_share(df)).collect()}
+    # The first covers the box but for a corner: its left side is y = 2x + 1.
+    assert got == pytest.approx({0: 100.0, 1: 12.5, 2: 0.0, 3: 100.0 * (1 - 0.5 * (1 / 3) * 0.5)}, abs=1e-9)
