@@ -345,4 +345,6 @@ def sizer(words: int):
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; of rows with equal ids and texts one stays. Null ids stay."""
     gone = near_copies(docs, words, percent, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("gone_id"), "left_anti").dropDuplicates([doc_id, text])
+    # The columns of ``docs`` may have any name.
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"))
+    return rows.join(gone, F.col("doc").getField(doc_id) == F.col("gone_id"), "left_anti").select("doc.*").dropDuplicates([doc_id, text])
