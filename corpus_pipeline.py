@@ -17,7 +17,9 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def recounted(docs: DataFrame, before: DataFrame) -> DataFrame:
-    """``docs`` in the columns of ``before``, with ``n_chars`` counted anew."""
+    """``docs`` in the columns of ``before``, with ``n_chars``, where there is one, counted anew."""
+    if "n_chars" not in before.columns:
+        return docs.select(*before.columns)
     return docs.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType)).select(*before.columns)
 
 
