@@ -112,13 +112,14 @@ def train_fold(train: DataFrame, val: DataFrame, kind: str = "random_forest", pa
                smote: bool = True, key: str = "id", vector: str = "v", seed: int = 42) -> tuple[PipelineModel, DataFrame]:
     """Down-sample, over-sample (unless told not to), scale, fit, score, pick the best threshold, measure.
 
-    Returns the model and one row of metrics.
+    Returns the model and one row of metrics. Sampling, neighbours, scaling and every level of the trees read the rows again, so both tables are settled first.
     """
+    train, val = settled(train), settled(val)
     bal = downsample_zero(train, "y", [key], ratio, seed)
     if smote:
         bal = oversample(bal, "y", key, vector, seed=seed)
     model = fit(with_vector(settled(bal), vector), kind, params, scale=True, seed=seed)
-    scored = score(model, with_vector(val, vector))
+    scored = settled(score(model, with_vector(val, vector)).select("y", "p"))
     return model, fold_metrics(scored)
 
 
