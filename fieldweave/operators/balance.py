@@ -8,48 +8,111 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_key, hash_uniform
-from .ranking import hashed_sample
+from ..session import settled
+from .ranking import hashed_first, hashed_sample
 
 
-def nearest_neighbours(points: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = 4000, blocks: int | None = None) -> DataFrame:
-    """Exact k nearest other points of every point: (key, neighbour, rank).
+def _closest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of ``others`` for each of ``ids`` but itself, and all that are as near as the last of those: (id, neighbour, squared distance)."""
+    parts = [pd.DataFrame({"id": ids[:0], "neighbour": others[:0], "d": np.zeros(0)})]
+    # Squared differences, never norms and products: those lose the digits of narrow data. About 32 MB at a time.
+    rows = max(1, 4_000_000 // max(1, y.size))
+    for i in range(0, len(x) if len(others) else 0, rows):
+        d = ((x[i:i + rows, None, :] - y[None, :, :]) ** 2).sum(-1)
+        d[ids[i:i + rows, None] == others[None, :]] = np.inf
+        take = min(k, d.shape[1])
+        last = np.partition(d, take - 1, axis=1)[:, take - 1]
+        row, near = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+        parts.append(pd.DataFrame({"id": ids[i:i + rows][row], "neighbour": others[near], "d": d[row, near]}))
+    return pd.concat(parts)
+
+
+def _stacked(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()) if len(v) else np.zeros((0, 1))
+
+
+def block_visits(points: DataFrame, key: str, vector: str, k: int, block_rows: int = 4000, blocks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed points, candidates from each point's own block, visits): which other blocks may hold one of a point's k nearest.
 
-    Points are hashed into blocks and every ordered pair of blocks is one task of
-    at most block x block distances (numpy). A task returns k rows per point, not
-    pairs, and the k x blocks candidates of a point are merged by a rank that is
-    already cut per task. Work grows with the square of the class, as the exact
-    answer asks; the caller keeps the class small by sampling pixels first.
+    Pivots are points drawn by hash, one for ``block_rows`` points, and are all that the driver gets; each point belongs to its nearest pivot, and pivots with many points are
+    several blocks. A point's own block gives a bound on its k-th distance. By the triangle inequality nothing in a block is nearer than the distance to its pivot less the block's radius, so
+    blocks beyond the bound are not visited.
     """
+    base = settled(points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")))
     if blocks is None:
-        blocks = max(1, -(-points.count() // block_rows))
-    b = F.pmod(F.conv(F.substring(hash_key(0, key), 1, 8), 16, 10).cast("bigint"), F.lit(blocks)).cast("int")
-    p = points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), b.alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = p.select("id", "v", F.col("b").alias("home"), every.alias("away"))
-    right = p.select(F.col("id").alias("rid"), F.col("v").alias("rv"), every.alias("rhome"), F.col("b").alias("raway"))
+        blocks = max(1, -(-base.count() // block_rows))
+    pivots = np.array([r["v"] for r in hashed_first(base, blocks, 0, ["id"]).collect()], float)
+    kind = base.schema["id"].dataType.simpleString()
+
+    def place(batches):
+        for pdf in batches:
+            x = _stacked(pdf["v"])
+            home, far = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for i in range(0, len(x), step := max(1, 4_000_000 // max(1, pivots.size))):
+                d = ((x[i:i + step, None, :] - pivots[None, :, :]) ** 2).sum(-1)
+                home[i:i + step] = d.argmin(1)
+                far[i:i + step] = np.sqrt(d.min(1))
+            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "home": home, "far": far})
+
+    placed = settled(base.mapInPandas(place, f"id {kind}, v array<double>, home int, far double"))
+    sizes = placed.groupBy("home").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
+    parts = {r["home"]: -(-r["n"] // block_rows) for r in sizes}
+    radius = {r["home"]: r["radius"] for r in sizes}
+    many = F.create_map(*[F.lit(x) for item in parts.items() for x in item]) if parts else F.create_map(F.lit(0), F.lit(1))
+    hashed = F.conv(F.substring(hash_key(0, "id"), 1, 8), 16, 10).cast("bigint")
+    placed = placed.withColumn("part", F.pmod(hashed, F.element_at(many, F.col("home"))).cast("int"))
+
+    def own(block: pd.DataFrame) -> pd.DataFrame:
+        ids, x = block["id"].to_numpy(), _stacked(block["v"])
+        return _closest(ids, x, ids, x, k)
+
+    found = settled(placed.groupBy("home", "part").applyInPandas(own, f"id {kind}, neighbour {kind}, d double"))
+    bound = found.groupBy("id").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d"))).alias("bound"))
+    asked = placed.join(bound, "id", "left")
+    homes = sorted(parts)
+
+    def visit(batches):
+        at = pivots[homes] if homes else pivots[:0]
+        reach = np.array([radius[h] for h in homes])
+        for pdf in batches:
+            x = _stacked(pdf["v"])
+            rows, away = [], []
+            limit = pdf["bound"].fillna(np.inf).to_numpy()
+            for i in range(0, len(x), step := max(1, 4_000_000 // max(1, at.size))):
+                d = np.sqrt(((x[i:i + step, None, :] - at[None, :, :]) ** 2).sum(-1))
+                # Rounding must not hide a neighbour at the bound itself.
+                r, c = np.nonzero(d - reach[None, :] <= limit[i:i + step, None] * (1 + 1e-9) + 1e-9 * (d + reach[None, :]))
+                rows.append(r + i)
+                away.append(c)
+            r, c = (np.concatenate(v) if v else np.zeros(0, int) for v in (rows, away))
+            some = pdf.iloc[r]
+            yield pd.DataFrame({"id": some["id"], "v": some["v"], "home": some["home"], "part": some["part"], "away": np.array(homes, np.int32)[c] if len(c) else np.zeros(0, np.int32)})
+
+    reached = asked.mapInPandas(visit, f"id {kind}, v array<double>, home int, part int, away int")
+    visits = reached.withColumn("away_part", F.explode(F.sequence(F.lit(0), F.element_at(many, F.col("away")).cast("int") - 1)))
+    return placed, found, visits.filter((F.col("away") != F.col("home")) | (F.col("away_part") != F.col("part")))
+
+
+def nearest_neighbours(points: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = 4000, blocks: int | None = None) -> DataFrame:
+    """Exact k nearest other points of every point: (key, neighbour, rank); equal distances by neighbour.
+
+    Points meet their own block first and then only the blocks that may hold something nearer (``block_visits``). Every pair of blocks that is visited is one task of at most block x block
+    distances (numpy), which returns k rows per point, not pairs. Clustered points visit few blocks; points spread evenly in many dimensions may visit all, as the exact answer asks.
+    """
+    placed, found, visits = block_visits(points, key, vector, k, block_rows, blocks)
+    visits = settled(visits)
+    pair = ["home", "part", "away", "away_part"]
+    others = visits.select(*pair).distinct().join(
+        placed.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.col("home").alias("away"), F.col("part").alias("away_part")), ["away", "away_part"])
 
     def nearest(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or c.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "d": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(c["rv"].to_numpy())
-        ids, others = a["id"].to_numpy(), c["rid"].to_numpy()
-        parts = []
-        # Squared differences, never norms and products: those lose the digits of narrow data. About 32 MB at a time.
-        rows = max(1, 4_000_000 // max(1, y.size))
-        for i in range(0, len(x), rows):
-            d = ((x[i:i + rows, None, :] - y[None, :, :]) ** 2).sum(-1)
-            d[ids[i:i + rows, None] == others[None, :]] = np.inf
-            take = min(k, d.shape[1])
-            near = np.argpartition(d, take - 1, axis=1)[:, :take]
-            parts.append(pd.DataFrame({
-                "id": np.repeat(ids[i:i + rows], take), "neighbour": others[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
-        out = pd.concat(parts)
-        return out[np.isfinite(out["d"])]
-
-    kind = dict(points.dtypes)[key]
-    pairs = left.groupBy("home", "away").cogroup(right.groupBy("rhome", "raway")).applyInPandas(nearest, f"id {kind}, neighbour {kind}, d double")
+        return _closest(a["id"].to_numpy(), _stacked(a["v"]), c["rid"].to_numpy(), _stacked(c["rv"]), k)
+
+    others = others.select("rid", "rv", *[F.col(c).alias(f"r_{c}") for c in pair])
+    far = visits.groupBy(*pair).cogroup(others.groupBy(*[f"r_{c}" for c in pair])).applyInPandas(nearest, found.schema)
     w = Window.partitionBy("id").orderBy("d", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "neighbour", "rank")
+    every = found.unionByName(far)
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "neighbour", "rank")
 
 
 def oversample(rows: DataFrame, target: str, key: str, vector: str, ratio: float = 1.0, k: int = 5, seed: int = 42) -> DataFrame:
