@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import geo as G
 from ..functions.keys import _c
 from ..functions.text import FLAG_PHRASES
 from ..functions.values import CATEGORIES
+from ..session import settled
 from .areas import exact_areas
 
 # Pixel codes of the categories.
@@ -185,25 +187,59 @@ def label_rasters(touched: DataFrame, pairs: DataFrame, height: int, width: int,
     return g.join(touched, [*keys, "row", "col"], "left").fillna(0, LABEL_COLUMNS)
 
 
-def zone_cells(zones: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Zones repeated into the coarse cells their bounding box meets."""
-    xs, ys = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-
-    def span(v):
-        return F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
+def _cells(low: Column, high: Column, size: float) -> Column:
+    return F.sequence(F.floor(low / size), F.floor(high / size))
 
-    return zones.withColumn("xy", G.ring_xy("ring")).withColumn("cx", F.explode(span(xs))).withColumn("cy", F.explode(span(ys)))
 
+def zone_cells(zones: DataFrame, cell: float = 0.25, most: int = 8, deepest: int = 10) -> tuple[DataFrame, list[DataFrame]]:
+    """Zones repeated into the cells that their bounding box meets (level, cx, cy), and for each level the cells that are split.
 
-def join_zones(points: DataFrame, zones: DataFrame, lon: str, lat: str, columns: Sequence[str], cell: float = 0.25) -> DataFrame:
+    Cells of ``cell`` degrees are level 0. A cell that more than ``most`` zones meet is split into four of half its size, as long as that leaves fewer zones in some of them, down to
+    level ``deepest``: a tree that is deep only where zones are dense. One small count a level goes to the driver.
+    """
+    xs, ys = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
+    box = F.struct(F.array_min(xs).alias("w"), F.array_min(ys).alias("s"), F.array_max(xs).alias("e"), F.array_max(ys).alias("n"))
+    boxed = zones.withColumn("xy", G.ring_xy("ring")).withColumn("__b", box)
+    level = boxed.withColumn("cx", F.explode(_cells(F.col("__b.w"), F.col("__b.e"), cell))).withColumn("cy", F.explode(_cells(F.col("__b.s"), F.col("__b.n"), cell)))
+    leaves, splits, size = [], [], cell
+    for depth in range(deepest + 1):
+        level = settled(level)
+        full = level.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("cx", "cy")
+        full = settled(full) if depth < deepest else full.limit(0)
+        if full.isEmpty():
+            leaves.append(level.withColumn("level", F.lit(depth)))
+            break
+        leaves.append(level.join(full, ["cx", "cy"], "left_anti").withColumn("level", F.lit(depth)))
+        splits.append(full)
+        size /= 2
+
+        def half(c: str, low: str, high: str, size=size):
+            """The one or two halves of a cell that the zone meets."""
+            return F.sequence(F.greatest(F.col(c) * 2, F.floor(F.col("__b")[low] / size)), F.least(F.col(c) * 2 + 1, F.floor(F.col("__b")[high] / size)))
+
+        level = level.join(full, ["cx", "cy"]).withColumns({"__x": half("cx", "w", "e"), "__y": half("cy", "s", "n")})
+        level = level.withColumn("cx", F.explode("__x")).withColumn("cy", F.explode("__y")).drop("__x", "__y")
+    return reduce(DataFrame.unionByName, leaves).drop("__b"), splits
+
+
+def join_zones(points: DataFrame, zones: DataFrame, lon: str, lat: str, columns: Sequence[str], cell: float = 0.25, most: int = 8) -> DataFrame:
     """Zone columns of every point, NULL outside all zones.
 
-    The join is an equality on coarse cells; the exact ring test is its extra condition.
+    The join is an equality on cells, small ones where zones are dense (``zone_cells``), so a point is tested against few zones wherever it lies; the exact ring test is the join's extra
+    condition. Which cell holds a point follows from the split cells alone, level by level; they are fewer than the zones.
     """
-    z = zone_cells(zones, cell).select("cx", "cy", "xy", *columns)
-    p = points.withColumns({"__cx": F.floor(F.col(lon) / cell), "__cy": F.floor(F.col(lat) / cell)})
-    cond = (p["__cx"] == z["cx"]) & (p["__cy"] == z["cy"]) & G.contains(z["xy"], p[lon], p[lat])
-    return p.join(z, cond, "left").drop("__cx", "__cy", "cx", "cy", "xy")
+    z, splits = zone_cells(zones, cell, most)
+    z = z.select("level", "cx", "cy", "xy", *columns)
+    p = points.withColumn("__level", F.lit(0))
+    for depth, full in enumerate(splits):
+        at = [F.floor(F.col(c) / (cell / 2**depth)) for c in (lon, lat)]
+        named = full.select(F.col("cx").alias("__sx"), F.col("cy").alias("__sy"), F.lit(True).alias("__split"))
+        p = p.join(named, (at[0] == F.col("__sx")) & (at[1] == F.col("__sy")) & (F.col("__level") == depth), "left")
+        p = p.withColumn("__level", F.when(F.col("__split"), depth + 1).otherwise(F.col("__level"))).drop("__sx", "__sy", "__split")
+    size = F.lit(cell) / F.pow(F.lit(2.0), F.col("__level"))
+    p = p.withColumns({"__cx": F.floor(F.col(lon) / size), "__cy": F.floor(F.col(lat) / size)})
+    cond = (p["__level"] == z["level"]) & (p["__cx"] == z["cx"]) & (p["__cy"] == z["cy"]) & G.contains(z["xy"], p[lon], p[lat])
+    return p.join(z, cond, "left").drop("__level", "__cx", "__cy", "level", "cx", "cy", "xy")
 
 
 def footprint_share(rows: DataFrame, ring: str = "footprint", box: str = "box") -> Column:

@@ -259,6 +259,24 @@ def _(spark, d):
     return GE.join_zones(points(spark, d), z, "x", "y", ["country"], 0.5).select("c_custkey", "country")
 
 
+# Zones as dense as they come: beside each nation's zone a strip of narrow ones, a hundredth of a degree wide.
+DENSE_SQL = "strips AS (SELECT n_nationkey * 100 + i AS zone, 22.5 + n_nationkey * 0.3 + i * 0.003 AS x0, 22.5 + n_nationkey * 0.3 + i * 0.003 + 0.003 AS x1 FROM nation, (SELECT unnest(range(0, 100)) AS i))"
+
+
+@query("J7_dense_zones", "WITH " + DENSE_SQL + """, pts AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part, 22.5005 + (CASE WHEN l_orderkey % 3 = 0 THEN 11 ELSE l_orderkey * 37 % 9000 END) / 1000.0::DOUBLE AS x, -17.0 + (l_partkey * 53 % 900) / 1000.0::DOUBLE AS y FROM lineitem)
+SELECT k, n, part, zone FROM pts LEFT JOIN strips ON x > x0 AND x < x1 AND y > -16.8003 AND y < -16.2003""")
+def _(spark, d):
+    """A third of all points lie in one zone, and 2,500 zones in a few cells."""
+    k, lit = F.col, F.lit
+    i = F.explode(F.sequence(lit(0), lit(99)))
+    strips = table(spark, d, "nation").select("n_nationkey", i.alias("i")).withColumn("x0", 22.5 + k("n_nationkey") * 0.3 + k("i") * 0.003)
+    corners = [(0.0, -16.8003), (0.003, -16.8003), (0.003, -16.2003), (0.0, -16.2003), (0.0, -16.8003)]
+    dense = strips.select((k("n_nationkey") * 100 + k("i")).cast("bigint").alias("zone"), F.array(*[G.point(k("x0") + a, lit(b)) for a, b in corners]).alias("ring"))
+    x = 22.5005 + F.when(k("l_orderkey") % 3 == 0, 11).otherwise(k("l_orderkey") * 37 % 9000) / 1000.0
+    pts = table(spark, d, "lineitem").select(k("l_orderkey").alias("k"), k("l_linenumber").alias("n"), k("l_partkey").alias("part"), x.alias("x"), (-17.0 + (k("l_partkey") * 53 % 900) / 1000.0).alias("y"))
+    return GE.join_zones(pts, dense, "x", "y", ["zone"], 0.5).select("k", "n", "part", "zone")
+
+
 @query("G8_footprint_share", """WITH f AS (SELECT event_id, (event_id % 13) / 10.0::DOUBLE - 0.3 AS fx, (event_id % 7) / 10.0::DOUBLE - 0.2 AS fy FROM events)
 SELECT event_id, round(greatest(0, least(1, fx + 0.8) - greatest(0, fx)) * greatest(0, least(1, fy + 0.9) - greatest(0, fy)) * 100, 6) AS share FROM f""")
 def _(spark, d):

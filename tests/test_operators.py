@@ -234,3 +234,18 @@ def test_clip_to_box_is_exact(spark):
     got = {r[0]: r[1] for r in df.select("i", GE.footprint_share(df)).collect()}
     # The first covers the box but for a corner: its left side is y = 2x + 1.
     assert got == pytest.approx({0: 100.0, 1: 12.5, 2: 0.0, 3: 100.0 * (1 - 0.5 * (1 / 3) * 0.5)}, abs=1e-9)
+
+
+def test_zone_tree_is_deep_only_where_zones_are_dense(spark):
+    """Many narrow zones in one cell and a few wide ones: the same zone for every point as a plain test of all, in cells with few zones."""
+    rows = [(f"n{i}", [(1.0 + i * 0.004, 1.0), (1.0 + i * 0.004 + 0.003, 1.0), (1.0 + i * 0.004 + 0.003, 1.1), (1.0 + i * 0.004, 1.1)]) for i in range(60)] + [("wide", [(3.0, 3.0), (9.0, 3.0), (9.0, 9.0), (3.0, 9.0)])]
+    zones = spark.createDataFrame(rows, "name string, ring array<struct<lon:double,lat:double>>")
+    rng = np.random.default_rng(8)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.uniform([0.95, 0.98], [1.3, 1.12], (300, 2)), rng.uniform(2, 10, (50, 2))]))] + [(999, None, 1.0)]
+    points = spark.createDataFrame(pts, "i int, x double, y double")
+    got = {r["i"]: r["name"] for r in GE.join_zones(points, zones, "x", "y", ["name"], 0.5, most=6).collect()}
+    want = {i: next((n for n, ring in rows if x is not None and ring[0][0] < x < ring[1][0] and ring[0][1] < y < ring[2][1]), None) for i, x, y in pts}
+    assert got == want and len([n for n in want.values() if n]) > 100
+    cells, splits = GE.zone_cells(zones, 0.5, most=6)
+    assert len(splits) > 2 and cells.groupBy("level", "cx", "cy").count().agg(F.max("count")).first()[0] <= 6
+    assert cells.filter("name = 'wide'").select("level").distinct().collect()[0][0] == 0
