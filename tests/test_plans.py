@@ -30,3 +30,10 @@ def test_no_nested_loops(spark, name):
 def test_filter_and_columns_reach_the_scan(spark):
     text = plan(spark, "F1_operators")
     assert "o_totalprice" not in text.split("ReadSchema:")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["A10_size_box", "A20_describe_by_category", "A21_clip_at_p99", "A22_download_statistics", "A35_pixels_per_parcel", "P18_unit_detection"])
+def test_percentiles_have_no_window_in_one_task(spark, name):
+    import re
+
+    assert not re.search(r"Window[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", plan(spark, name))
