@@ -76,6 +76,8 @@ def partial_ratio(s1: str, s2: str) -> float:
     return best
 
 
+#: Characters of a text from which on its letters are not counted before it is scored.
+LONG_TEXT = 256
 #: Characters that one numpy step works on.
 SLICE_CHARS = 1 << 20
 
@@ -151,7 +153,9 @@ def close_phrases(text: Column, phrases: Sequence[str], threshold: float) -> Col
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def close(col: pd.Series) -> pd.Series:
-        return pd.Series(phrase_hits([t or "" for t in col], wanted, limit))
+        asked = col.notna().to_numpy()
+        found = iter(phrase_hits(col[asked].tolist(), wanted, limit))
+        return pd.Series([next(found) if a else None for a in asked])
 
     return close(text)
 
@@ -170,17 +174,15 @@ def tag_phrases(df: DataFrame, text: str, phrases: Sequence[str] = tuple(X.UNCER
     texts = norm.select("__t").filter(F.col("__t").isNotNull()).repartition(tasks, "__t").distinct()
     normal = [_norm(p) for p in phrases]
     # A text that holds each phrase as it is needs no score; nor does one that shares too few letters with all of them: the shorter of the two must have
-    # threshold / (200 - threshold) of its length in common with the other.
+    # threshold / (200 - threshold) of its length in common with the other. Long texts have the letters anyway.
     held = F.array(*[F.contains("__t", F.lit(p)) for p in normal])
-    letters = [F.array(*[F.lit(c) for c in sorted(set(p))]) for p in normal]
-    shared = [F.aggregate(x, F.lit(0), lambda n, c: n + F.length("__t") - F.length(F.replace("__t", c, F.lit("")))) for x in letters]
     share = threshold / (200.0 - threshold)
-    may = [n >= share * F.least(F.length("__t"), F.lit(len(p))) for n, p in zip(shared, normal, strict=True)]
+    size = F.length("__t")
+    may = [size - F.length(F.translate("__t", "".join(sorted(set(p))), "")) >= share * F.least(size, F.lit(len(p))) for p in normal]
     known = texts.withColumn("__held", held)
-    sure = F.forall("__held", lambda h: h)
-    ask = known.filter(~sure & reduce(Column.__or__, may)).withColumn("__s", close_phrases(F.col("__t"), normal, threshold))
-    rest = known.filter(sure | ~reduce(Column.__or__, may)).withColumn("__s", F.col("__held"))
-    scored = ask.unionByName(rest)
+    ask = ~F.forall("__held", lambda h: h) & ((size > LONG_TEXT) | reduce(Column.__or__, may))
+    known = known.withColumn("__ask", F.when(ask, F.col("__t")))
+    scored = known.withColumn("__s", F.when(F.col("__ask").isNotNull(), close_phrases(F.col("__ask"), normal, threshold)).otherwise(F.col("__held")))
     hit = F.filter(F.zip_with(names, "__s", lambda p, s: F.when(s, p)), lambda p: p.isNotNull())
     tags = scored.select("__t", F.array_sort(hit).alias(out))
     empty = F.array().cast("array<string>")
