@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RollingHash, byte_codes, byte_column, mixed, slices, stored
@@ -28,6 +28,8 @@ SKETCH_ROW = 1 << 14
 MOST_MATCHES, VERIFY_COST = 4, 50
 #: Min-hashes that look for hubs; how alike a document and its hub must be (per cent).
 SEEDS, HUB_PERCENT = 4, 50
+#: How often a document's choice of a hub is followed to that hub's own choice.
+JUMPS = 2
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, words: int, byte_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,11 +240,29 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
     lead = keys.groupBy("seed", "value").agg(F.max(F.struct("typical", -F.col("id"), "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     lead = lead.select("seed", "value", (-F.col("lead.col2")).alias("hub"), F.col("lead.n").alias("hub_n"))
     choices = keys.join(lead, ["seed", "value"]).where("id <> hub and 2 * n >= hub_n and 2 * hub_n >= n").select("id", "hub").distinct()
-    choices = stored(choices, "hubs")
-    often = choices.groupBy("hub").count()
-    first = choices.join(often, "hub").groupBy("id").agg(F.max(F.struct("count", -F.col("hub"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b"))
-    first = stored(first, "hubs")
-    # A document that others chose is a hub itself and tied to none.
+    return tied_once(stored(choices, "hubs"), "hub")
+
+
+def change_hubs(changes: DataFrame) -> DataFrame:
+    """(a, b): a document and the one it is tied to among those of its hub with an equal min-hash of their changes, the one that changed least."""
+    minima = F.array(*(F.array_min(F.transform("change", lambda t, k=k: F.xxhash64(t, F.lit(k)))) for k in range(SEEDS)))
+    keys = stored(changes.select("id", "hub", "c", F.posexplode(minima).alias("seed", "value")), "hubs")
+    lead = keys.groupBy("hub", "seed", "value").agg(F.min(F.struct("c", "id")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    choices = keys.join(lead, ["hub", "seed", "value"]).where("id <> lead.id").select("id", F.col("lead.id").alias("b")).distinct()
+    return tied_once(stored(choices, "hubs"), "b")
+
+
+def tied_once(choices: DataFrame, hub: str) -> DataFrame:
+    """(a, b): of each document's choices (id, ``hub``) the most often chosen one, or the one that this one chose, if that is chosen more often: a
+    family of copies comes together. A document that others end at is a hub itself and tied to none."""
+    often = choices.groupBy(hub).count()
+    best = choices.join(often, hub).groupBy("id").agg(F.max(F.struct("count", -F.col(hub))).alias("best"))
+    first = stored(best.select(F.col("id").alias("a"), "best"), "hubs")
+    for _ in range(JUMPS):
+        # No circle: a jump always goes to a larger (count, -id).
+        after = first.select((F.col("a")).alias("b"), F.col("best").alias("further"))
+        first = first.withColumn("b", -F.col("best.col2")).join(after, "b", "left").select("a", F.greatest("best", F.coalesce("further", "best")).alias("best"))
+    first = stored(first.select("a", (-F.col("best.col2")).alias("b")).where("a <> b"), "hubs")
     return first.join(first.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
 
 
@@ -250,7 +270,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc
     """(documents, links): (id, n, rep) of every document, where ``rep`` is the smallest id with an equal set, and enough links (a, b) between
     such representatives for their connected components to be those of all links.
 
-    Two sets link when 100 * overlap >= ``percent`` * union. Pairs that both link to one hub are left to it.
+    Two sets link when 100 * overlap >= ``percent`` * union. Pairs that both link to one hub, of the first or the second kind, are left to it.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).where(F.col("id").isNotNull())
     sketch = frequency_sketch(rows, "body", words)
@@ -268,31 +288,46 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc
     near = tied.where(F.col("added").isNotNull())
     hubs = near.select(F.col("a").alias("id"), F.col("b").alias("hub")).distinct()
 
-    # 2. Pairs with one hub, of which at most one links to it: joined on their changes. d is the most a pair may differ.
-    most = lambda n: F.floor(F.lit(100 - percent) * n / F.lit(100 + percent)).cast("bigint")
+    # 2. Documents that do not link to their hub: each one against a hub of those that changed it alike.
     changes = near.select(
         F.col("a").alias("id"), F.col("b").alias("hub"), F.col("n_a").alias("n"), "linked", F.concat("added", "gone").alias("change")).withColumn("c", F.size("change").cast("bigint"))
-    changes = changes.dropDuplicates(["id", "hub", "change"])
-    places = changes.select("id", "hub", "n", "linked", "c", F.posexplode("change").alias("place", "token"))
-    x, y = places.where("not linked").alias("x"), places.alias("y")
+    changes = stored(changes.dropDuplicates(["id", "hub", "change"]), "changes")
+    second = compared(with_texts(change_hubs(changes.where("not linked")), rows, "body"), words, percent, flip=False)
+    linked = stored(tied.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")), "hub-links")
+    # The group of a document: the hub that it links to, or itself. Hubs of either kind link to no other hub, so pairs of one group need no join.
+    groups = linked.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("group"))
+
+    # 3. Pairs with one hub and different groups: joined on their changes. d is the most a pair may differ.
+    most = lambda n: F.floor(F.lit(100 - percent) * n / F.lit(100 + percent)).cast("bigint")
+    places = changes.join(groups, "id", "left").select("id", "hub", "n", "c", F.xxhash64("change").alias("version"), F.coalesce("group", "id").alias("group"), F.explode("change").alias("token"))
+    places = stored(places, "changes")
+    # Rare changes first. The largest group of a key meets the others only, so the join costs the others' rows times all rows.
+    sizes = places.groupBy("hub", "token", "group").agg(F.count(F.lit(1)).alias("size"))
+    keys = sizes.groupBy("hub", "token").agg(F.sum("size").alias("often"), F.max(F.struct("size", "group")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    keys = keys.select("hub", "token", "often", "groups", F.col("top.group").alias("largest"))
+    order = Window.partitionBy("id", "hub", "version", "c").orderBy("often", "token")
+    placed = places.join(keys, ["hub", "token"]).withColumn("place", F.row_number().over(order) - 1).where("groups > 1")
+    placed = stored(placed, "changes")
+    x, y = placed.where("group <> largest").alias("x"), placed.alias("y")
     need = F.ceil((F.col("x.c") + F.col("y.c") - most(F.col("x.n") + F.col("y.n"))) / 2)
     on = (
-        (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & (F.col("y.linked") | (F.col("x.id") < F.col("y.id")))
+        (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.group") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
         & (need <= F.least("x.c", "y.c")) & (F.col("x.place") <= F.col("x.c") - need) & (F.col("y.place") <= F.col("y.c") - need))
-    together = stored(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "same-hub")
+    together = stored(x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "same-hub")
 
-    # 3. All other pairs: multi-match prefixes.
-    apart = prefix_pairs(sets.join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id")), percent)
+    # 4. All other pairs: multi-match prefixes.
+    apart = prefix_pairs(sets.join(hubs, "id", "left").join(groups, "id", "left").withColumn("hub", F.coalesce("hub", "id")).withColumn("group", F.coalesce("group", "id")), percent)
     candidates = together.unionByName(apart).distinct()
     checked = compared(with_texts(stored(candidates, "candidates"), rows, "body"), words, percent, flip=False)
-    found = tied.where("linked").select("a", "b").unionByName(checked.where("linked").select("a", "b"))
+    found = linked.unionByName(checked.where("linked").select("a", "b"))
     return documents, found
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with different hubs whose prefixes share as many shingles as the pair needs."""
-    own = stored(sets.select("id", "n", "hub", "matches", "prefix"), "prefixes")
-    shared = own.select("hub", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low <> high").select("token")
+    """(a, b) with different hubs and groups whose prefixes share as many shingles as the pair needs."""
+    own = stored(sets.select("id", "n", "hub", "group", "matches", "prefix"), "prefixes")
+    shared = own.select("hub", "group", F.explode("prefix").alias("token")).groupBy("token").agg(*(f(c).alias(f"{n}_{c}") for c in ("hub", "group") for n, f in (("low", F.min), ("high", F.max))))
+    shared = shared.where("low_hub <> high_hub and low_group <> high_group").select("token")
     wanted = filter_of(shared, "token")
 
     def open_prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,13 +342,13 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
             kept = batch.drop_columns(["prefix"]).take(pa.array(row[good]))
             yield kept.append_column("place", pa.array(place[good])).append_column("token", pa.array(tokens[good]))
 
-    rows = own.mapInArrow(open_prefix, "id long, n long, hub long, matches int, place long, token long")
+    rows = own.mapInArrow(open_prefix, "id long, n long, hub long, group long, matches int, place long, token long")
     x, y = rows.alias("x"), rows.alias("y")
     n = F.col("x.n") + F.col("y.n")
     overlap = F.ceil(F.lit(percent) * n / F.lit(100 + percent)).cast("bigint")
     matches = F.greatest("x.matches", "y.matches")
     on = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.hub") != F.col("y.hub")) & (overlap <= F.least("x.n", "y.n"))
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.hub") != F.col("y.hub")) & (F.col("x.group") != F.col("y.group")) & (overlap <= F.least("x.n", "y.n"))
         & (F.col("x.place") < F.col("x.n") - overlap + matches) & (F.col("y.place") < F.col("y.n") - overlap + matches))
     met = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least(matches, overlap).alias("need"))
     return met.groupBy("a", "b", "need").count().where(F.col("count") >= F.col("need")).select("a", "b")
