@@ -27,7 +27,7 @@ SKETCH_ROW = 1 << 14
 #: Longest lengthening of a prefix, and the cost of verifying a candidate against reading one posting.
 MOST_MATCHES, VERIFY_COST = 4, 50
 #: Min-hashes that look for hubs; how alike a document and its hub must be (per cent).
-SEEDS, HUB_PERCENT = 4, 50
+SEEDS, HUB_PERCENT = 4, 25
 #: How often a document's choice of a hub is followed to that hub's own choice.
 JUMPS = 2
 
@@ -290,7 +290,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc
 
     # 2. Documents that do not link to their hub: each one against a hub of those that changed it alike.
     changes = near.select(
-        F.col("a").alias("id"), F.col("b").alias("hub"), F.col("n_a").alias("n"), "linked", F.concat("added", "gone").alias("change")).withColumn("c", F.size("change").cast("bigint"))
+        F.col("a").alias("id"), F.col("b").alias("hub"), F.col("n_a").alias("n"), "linked", (F.col("n_a") + F.col("n_b")).alias("both"), F.concat("added", "gone").alias("change")).withColumn("c", F.size("change").cast("bigint"))
     changes = stored(changes.dropDuplicates(["id", "hub", "change"]), "changes")
     second = compared(with_texts(change_hubs(changes.where("not linked")), rows, "body"), words, percent, flip=False)
     linked = stored(tied.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")), "hub-links")
@@ -299,7 +299,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc
 
     # 3. Pairs with one hub and different groups: joined on their changes. d is the most a pair may differ.
     most = lambda n: F.floor(F.lit(100 - percent) * n / F.lit(100 + percent)).cast("bigint")
-    places = changes.join(groups, "id", "left").select("id", "hub", "n", "c", F.xxhash64("change").alias("version"), F.coalesce("group", "id").alias("group"), F.explode("change").alias("token"))
+    places = changes.join(groups, "id", "left").select("id", "hub", "n", "both", "c", F.xxhash64("change").alias("version"), F.coalesce("group", "id").alias("group"), F.explode("change").alias("token"))
     places = stored(places, "changes")
     # Rare changes first. The largest group of a key meets the others only, so the join costs the others' rows times all rows.
     sizes = places.groupBy("hub", "token", "group").agg(F.count(F.lit(1)).alias("size"))
@@ -307,7 +307,8 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc
     keys = keys.select("hub", "token", "often", "groups", F.col("top.group").alias("largest"))
     order = Window.partitionBy("id", "hub", "version", "c").orderBy("often", "token")
     placed = places.join(keys, ["hub", "token"]).withColumn("place", F.row_number().over(order) - 1).where("groups > 1")
-    placed = stored(placed, "changes")
+    # A set of y places more than the hub has y changes at least, so need is at least what a partner like the hub would make it.
+    placed = stored(placed.where(F.col("place") <= F.col("c") - F.ceil((F.col("c") - most(F.col("both"))) / 2)), "changes")
     x, y = placed.where("group <> largest").alias("x"), placed.alias("y")
     need = F.ceil((F.col("x.c") + F.col("y.c") - most(F.col("x.n") + F.col("y.n"))) / 2)
     on = (
