@@ -27,7 +27,7 @@ SKETCH_ROW = 1 << 14
 #: Longest lengthening of a prefix, and the cost of verifying a candidate against reading one posting.
 MOST_MATCHES, VERIFY_COST = 4, 50
 #: Min-hashes that look for hubs; how alike a document and its hub must be (per cent).
-SEEDS, HUB_PERCENT = 4, 25
+SEEDS, HUB_PERCENT = 4, 50
 #: How often a document's choice of a hub is followed to that hub's own choice.
 JUMPS = 2
 
@@ -299,8 +299,8 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc
 
     # 3. Pairs with one hub and different groups: joined on their changes. d is the most a pair may differ.
     most = lambda n: F.floor(F.lit(100 - percent) * n / F.lit(100 + percent)).cast("bigint")
-    places = changes.join(groups, "id", "left").select("id", "hub", "n", "both", "c", F.xxhash64("change").alias("version"), F.coalesce("group", "id").alias("group"), F.explode("change").alias("token"))
-    places = stored(places, "changes")
+    unlinked = changes.where("not linked").select("hub").distinct()
+    places = changes.join(unlinked, "hub", "left_semi").join(groups, "id", "left").select("id", "hub", "n", "both", "c", F.xxhash64("change").alias("version"), F.coalesce("group", "id").alias("group"), F.explode("change").alias("token"))
     # Rare changes first. The largest group of a key meets the others only, so the join costs the others' rows times all rows.
     sizes = places.groupBy("hub", "token", "group").agg(F.count(F.lit(1)).alias("size"))
     keys = sizes.groupBy("hub", "token").agg(F.sum("size").alias("often"), F.max(F.struct("size", "group")).alias("top"), F.count(F.lit(1)).alias("groups"))
