@@ -89,13 +89,13 @@ def farm_class_ha(target, size_ha, small: float = 2.0, medium: float = 10.0) ->
 
 
 def nearest_centroid(x, y, centroids: Mapping[str, Sequence[float]] = PROVINCE_CENTROIDS) -> Column:
-    """Name of the closest centroid by squared degrees; ties by name.
+    """Name of the closest centroid by squared degrees to nine digits; ties by name.
 
-    The centroids are a literal array, so there is no join at all.
+    Without rounding the last bits would decide between equal distances. The centroids are a literal array, so there is no join at all.
     """
     options = F.array(*[
         F.struct(
-            ((_c(x) - lon) * (_c(x) - lon) + (_c(y) - lat) * (_c(y) - lat)).alias("d"),
+            F.round((_c(x) - lon) * (_c(x) - lon) + (_c(y) - lat) * (_c(y) - lat), 9).alias("d"),
             F.lit(name).alias("name"),
         )
         for name, (lon, lat) in centroids.items()
