@@ -28,14 +28,15 @@ def apply_usable_mask(px: DataFrame, mask: DataFrame, keys: Sequence[str], bands
                       size: tuple[int, int], mask_size: tuple[int, int]) -> DataFrame:
     """Bands NULL where the usable map is not 1; a mask of another size is read at the nearest cell.
 
-    Nearest keeps the corners aligned: cell i of n maps to round(i * (m - 1) / (n - 1)).
+    Nearest keeps the corners aligned: cell i of n maps to round(i * (m - 1) / (n - 1)). A mask is a grid a file, made by explodes whose size Spark takes for
+    that of the files, so it is merged and never broadcast.
     """
     def near(c, n, m):
         return F.col(c) if n == m else F.floor(F.col(c) * ((m - 1) / max(n - 1, 1)) + 0.5).cast("int")
 
     p = px.withColumns({"__r": near("row", size[0], mask_size[0]), "__c": near("col", size[1], mask_size[1])})
     m = mask.select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("clear").alias("__clear"))
-    j = p.join(m, [*keys, "__r", "__c"], "left")
+    j = p.join(m.hint("merge"), [*keys, "__r", "__c"], "left")
     return mask_bands(j, bands, F.col("__clear") == 1).drop("__r", "__c", "__clear")
 
 
@@ -130,8 +131,9 @@ def outline(cells: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
 
 
 def full_grid(files: DataFrame, height: int, width: int, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Every cell of every file."""
-    return files.select(*keys).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
+    """Every cell of every file. A short list of files becomes a large table, so it is spread over all tasks before the explodes, with a number that is not coalesced."""
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(*keys).repartition(tasks, *keys).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
         "col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
 
 
