@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,40 +19,70 @@ ALWAYS_IN = ["AB_JL_v2_101-125", "PS_101-125", "PS_1025-1049"]
 ALWAYS_OUT = "MV_76-100"
 
 
+def _places(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str]) -> tuple[list[str], DataFrame, DataFrame]:
+    """(place columns, distinct survey rows by place, polygon rows by place). A survey row has two places, one by internal id and one by site number: labelers
+    sometimes typed the site number instead of the internal id. What has no place matches nothing."""
+    at = ["__id", *DATE, *keys]
+    known = [F.col(c).isNotNull() for c in at]
+    rows = survey.withColumn("__id", F.explode(F.array_distinct(F.array(F.col("internal_id"), site_number()))))
+    left = rows.select(survey_key, *at).filter(reduce(Column.__and__, known)).distinct()
+    right = polygons.withColumn("__id", F.col("internal_id")).withColumn("__at", F.when(reduce(Column.__and__, known), F.struct(*at)))
+    return at, left, right
+
+
 def survey_polygon_matches(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs (survey_key, polygon_key) on the date and the internal id or the site number, and on ``keys`` (bundles of surveys share internal ids).
+    """Distinct pairs (survey_key, polygon_key) on the date and the internal id or the site number, and on ``keys`` (bundles of surveys share internal ids).
 
-    Labelers sometimes typed the site number instead of the internal id. The OR is
-    two hash joins and a distinct; as one OR condition it would be a nested loop.
+    The OR is an equality on places. Pairs grow with the square of a date's rows and are not shuffled: both sides are distinct before the join, so only
+    polygon keys that stand at several places can meet a survey row twice. What needs no pairs asks ``polygon_stats``, ``polygon_site`` or ``unmatched_polygons``.
     """
-    left = survey.select(survey_key, F.col("internal_id").alias("__a"), site_number().alias("__b"), *DATE, *keys)
-    right = polygons.select(polygon_key, F.col("internal_id").alias("__id"), *DATE, *keys)
-    by_internal = left.withColumn("__id", F.col("__a"))
-    by_site = left.withColumn("__id", F.col("__b")).filter(~F.col("__a").eqNullSafe(F.col("__b")))
-    both = by_internal.unionByName(by_site)
-    return both.join(right, ["__id", *DATE, *keys]).select(survey_key, polygon_key).distinct()
+    at, left, right = _places(survey, polygons, survey_key, polygon_key, keys)
+    drawn = right.filter(F.col("__at").isNotNull()).groupBy(polygon_key).agg(F.collect_set("__at").alias("__places"))
+    several = F.size("__places") > 1
+    where = lambda part: part.select(polygon_key, F.explode("__places").alias("__at")).select(polygon_key, "__at.*")
+    once = left.join(where(drawn.filter(~several)), at).select(survey_key, polygon_key)
+    return once.unionByName(left.join(where(drawn.filter(several)), at).select(survey_key, polygon_key).distinct())
 
 
-def polygon_site(matches: DataFrame, survey: DataFrame, survey_key: str, polygon_key: str, line: str) -> DataFrame:
-    """Site of each polygon; the last matching survey row wins."""
-    info = survey.select(survey_key, "site_id", line)
-    return matches.join(info, survey_key).groupBy(polygon_key).agg(
-        F.max_by("site_id", F.struct(F.col(line), F.col(survey_key))).alias("site_id"))
+def polygon_site(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, line: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Site of each matched polygon; the last matching survey row wins. The last row of a place is known before polygons meet it, so there are no pairs."""
+    at, left, right = _places(survey, polygons, survey_key, polygon_key, keys)
+    order = F.struct(F.col(line), F.col(survey_key))
+    info = survey.groupBy(survey_key).agg(F.max(order).alias("__order"), F.max_by("site_id", order).alias("__site"))
+    last = left.join(info, survey_key).groupBy(*at).agg(F.max("__order").alias("__order"), F.max_by("__site", "__order").alias("__site"))
+    return right.select(polygon_key, *at).join(last, at).groupBy(polygon_key).agg(F.max_by("__site", "__order").alias("site_id"))
 
 
-def polygon_stats(matches: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, cutoff: int = 3) -> DataFrame:
-    """Mean and least polygon area per survey row, for all and for certain polygons."""
-    sure = F.col("certainty") >= cutoff
-    area = F.col("polygon_area_m2")
-    return (
-        matches.join(polygons.select(polygon_key, "certainty", "polygon_area_m2"), polygon_key)
-        .groupBy(survey_key)
-        .agg(
-            F.count("*").alias("n_polygons"), F.max("certainty").alias("max_certainty"),
-            F.avg(area).alias("poly_avg_size"), F.avg(F.when(sure, area)).alias("poly_avg_size_hc"),
-            F.min(area).alias("poly_min_size"), F.min(F.when(sure, area)).alias("poly_min_size_hc"),
-        )
-    )
+def unmatched_polygons(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct polygon keys that no survey row matches at any of their places."""
+    at, left, right = _places(survey, polygons, survey_key, polygon_key, keys)
+    met = right.select(polygon_key, *at).join(left.select(*at).distinct().withColumn("__met", F.lit(True)), at, "left")
+    met = met.groupBy(polygon_key).agg(F.coalesce(F.bool_or("__met"), F.lit(False)).alias("__met"))
+    return met.filter(~F.col("__met") | F.col(polygon_key).isNull()).select(polygon_key)
+
+
+def polygon_stats(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = (), cutoff: int = 3) -> DataFrame:
+    """Mean and least polygon area per survey row with a match, for all and for certain polygons.
+
+    Polygons are added up by key and then by place, and survey rows add up their places, so there are no pairs but those of polygon keys at several places.
+    """
+    at, left, right = _places(survey, polygons, survey_key, polygon_key, keys)
+    sure, area = F.col("certainty") >= cutoff, F.col("polygon_area_m2")
+    parts = {"__n": F.sum, "__top": F.max, "__sum": F.sum, "__count": F.sum, "__sum_hc": F.sum, "__count_hc": F.sum, "__min": F.min, "__min_hc": F.min}
+    added = [how(c).alias(c) for c, how in parts.items()]
+    high = F.when(sure, area)
+    drawn = right.filter(F.col(polygon_key).isNotNull()).groupBy(polygon_key).agg(
+        F.collect_set("__at").alias("__places"), F.count("*").alias("__n"), F.max("certainty").alias("__top"), F.sum(area).alias("__sum"), F.count(area).alias("__count"),
+        F.sum(high).alias("__sum_hc"), F.count(high).alias("__count_hc"), F.min(area).alias("__min"), F.min(high).alias("__min_hc"))
+    several = F.size("__places") > 1
+    where = lambda part: part.withColumn("__at", F.explode("__places")).select(polygon_key, "__at.*", *parts)
+    once = left.join(where(drawn.filter(~several)).groupBy(*at).agg(*added), at).select(survey_key, *parts)
+    pairs = left.join(where(drawn.filter(several)), at).dropDuplicates([survey_key, polygon_key]).select(survey_key, *parts)
+    c = F.col
+    return once.unionByName(pairs).groupBy(survey_key).agg(*added).select(
+        survey_key, c("__n").alias("n_polygons"), c("__top").alias("max_certainty"),
+        F.try_divide("__sum", "__count").alias("poly_avg_size"), F.try_divide("__sum_hc", "__count_hc").alias("poly_avg_size_hc"),
+        c("__min").alias("poly_min_size"), c("__min_hc").alias("poly_min_size_hc"))
 
 
 def consistency_issues(rows: DataFrame) -> DataFrame:

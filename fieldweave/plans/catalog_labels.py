@@ -415,14 +415,12 @@ def _(spark, d):
 def _(spark, d):
     """Polygons that no survey row matches by date and id or site number; orders of one status are not surveyed."""
     surveyed = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("sid"))
-    polygons_drawn = _polygon_side(spark, d)
-    matches = L.survey_polygon_matches(_survey_side(spark, d).join(surveyed, "sid", "left_semi"), polygons_drawn, "sid", "pid")
-    return polygons_drawn.join(matches, "pid", "left_anti").select("pid").distinct()
+    return L.unmatched_polygons(_survey_side(spark, d).join(surveyed, "sid", "left_semi"), _polygon_side(spark, d), "sid", "pid")
 
 
 @query("J2_polygon_site", "WITH " + J1_SQL + ", k AS (SELECT pid, max(sid) AS sid FROM m GROUP BY 1) SELECT pid, 'id_' || site_no AS site_id FROM k JOIN sv USING (sid)")
 def _(spark, d):
-    return L.polygon_site(_matches(spark, d), _survey_side(spark, d), "sid", "pid", "line")
+    return L.polygon_site(_survey_side(spark, d), _polygon_side(spark, d), "sid", "pid", "line")
 
 
 @query("A1_polygon_stats", "WITH " + J1_SQL + """, pu AS (SELECT pid, certainty, area FROM pg)
@@ -430,7 +428,7 @@ SELECT sid, count(*) AS n_polygons, max(certainty) AS max_certainty, round(avg(a
  round(avg(area) FILTER (certainty >= 3), 6) AS poly_avg_size_hc, min(area) AS poly_min_size, min(area) FILTER (certainty >= 3) AS poly_min_size_hc
 FROM m JOIN pu USING (pid) GROUP BY 1""")
 def _(spark, d):
-    s = L.polygon_stats(_matches(spark, d), _polygon_side(spark, d), "sid", "pid")
+    s = L.polygon_stats(_survey_side(spark, d), _polygon_side(spark, d), "sid", "pid")
     return s.withColumns({c: _r(c) for c in ("poly_avg_size", "poly_avg_size_hc")})
 
 

@@ -45,12 +45,12 @@ def build(docs: DataFrame, sample: DataFrame, marks: DataFrame, survey_name: str
     drawn = R.numbered_within(drawn, bundle, ["path", "position"] if "position" in drawn.columns else ["name", "description", "ring"], "poly_order", 0, whole="poly_id").drop("path", "position")
     drawn = drawn.withColumn("polygon_area_m2", G.shoelace(G.ring_to_utm("ring"))).withColumn("category", area_category())
     matches = L.survey_polygon_matches(survey, drawn, "row_id", "poly_id", bundle)
-    stats = L.polygon_stats(matches, drawn, "row_id", "poly_id", cutoff)
+    stats = L.polygon_stats(survey, drawn, "row_id", "poly_id", bundle, cutoff)
     boxes = survey.select("row_id", G.geodesic_box("y", "x").alias("box"))
     on_row = matches.join(drawn.select("poly_id", "ring", "certainty", "category"), "poly_id")
     cover = GE.site_coverage(boxes, on_row, "row_id", cutoff).drop("box")
     labels = survey.join(cover, "row_id").join(stats, "row_id", "left")
-    site = L.polygon_site(matches, survey, "row_id", "poly_id", "line")
+    site = L.polygon_site(survey, drawn, "row_id", "poly_id", "line", bundle)
     placed = L.repair_internal_id(drawn.join(site, "poly_id", "left"), survey, bundle)
     info = ["plot_file", "x", "y", "water_source"]
     outside = GE.box_overlaps(boxes, on_row, "row_id").filter(~F.col("overlaps"))
