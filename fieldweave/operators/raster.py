@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spectral as SP
+from ..functions.series import bind
 from ..functions.values import clamp
 
 
@@ -174,29 +175,37 @@ def regrid_nearest(px: DataFrame, target: DataFrame, bands: Sequence[str], keys:
 def resample_bilinear(px: DataFrame, value: str, keys: Sequence[str], height: int, width: int, target: int) -> DataFrame:
     """A band of height x width read on a target x target grid over the same area.
 
-    Each target cell needs four source cells at most: they are exploded with their
-    weights, joined by equality and summed. Cells past the edge repeat the edge.
+    Each target cell needs four source cells at most. An image is a small grid, so its cells are gathered once, by row, and read where they lie: what is shuffled is the
+    source pixels alone. Cells past the edge repeat the edge; missing cells have no share.
     """
-    files = px.select(*keys).distinct()
-    g = full_grid(files, target, target, keys)
-
-    def frac(c, n):
-        return (F.col(c) + 0.5) * (n / target) - 0.5
-
-    g = g.withColumns({"__y": frac("row", height), "__x": frac("col", width)})
-    g = g.withColumns({"__y0": F.floor("__y"), "__x0": F.floor("__x")})
-    wy, wx = F.col("__y") - F.col("__y0"), F.col("__x") - F.col("__x0")
-
-    def clip(c, n):
-        return F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
-
-    corners = F.array(*[
-        F.struct(clip(F.col("__y0") + dy, height).alias("r"), clip(F.col("__x0") + dx, width).alias("c"),
-                 ((wy if dy else 1 - wy) * (wx if dx else 1 - wx)).alias("w"))
-        for dy in (0, 1) for dx in (0, 1)])
-    w = g.select(*keys, "row", "col", F.explode(corners).alias("q")).select(*keys, "row", "col", F.col("q.r").alias("__r"), F.col("q.c").alias("__c"), F.col("q.w").alias("__w"))
-    src = px.select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__v"))
-    return w.join(src, [*keys, "__r", "__c"], "left").groupBy(*keys, "row", "col").agg(F.sum(F.col("__w") * F.col("__v")).alias(value))
+    tasks = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = F.col
+    cells = px.select(*keys, "row", "col", c(value).cast("double").alias("__v")).repartition(tasks, *keys).groupBy(*keys, "row", "col").agg(F.sum("__v").alias("__v"))
+    entry = lambda k, v: F.map_from_entries(F.collect_list(F.when(c(k).isNotNull(), F.struct(k, v))))
+    lines = cells.groupBy(*keys, "row").agg(entry("col", "__v").alias("__line"))
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    dense = F.transform(numbers(height), lambda r: bind(F.element_at("__lines", r), lambda line: F.transform(numbers(width), lambda i: F.element_at(line, i))))
+    grid = lines.groupBy(*keys).agg(entry("row", "__line").alias("__lines")).withColumn("__grid", dense)
+
+    def place(i, n):
+        """(lower cell, upper cell, share of the upper one)"""
+        at = (i + 0.5) * (n / target) - 0.5
+        low = F.floor(at)
+        clip = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1)).cast("int")
+        return clip(low), clip(low + 1), at - low
+
+    each = grid.select(*keys, "__grid", F.explode(numbers(target)).alias("row"))
+    y0, y1, wy = place(c("row"), height)
+    each = each.select(*keys, "row", F.get("__grid", y0).alias("__low"), F.get("__grid", y1).alias("__high"), wy.alias("__wy"))
+
+    def read(i):
+        x0, x1, wx = place(i, width)
+        parts = [(1 - c("__wy")) * (1 - wx) * F.get("__low", x0), (1 - c("__wy")) * wx * F.get("__low", x1), c("__wy") * (1 - wx) * F.get("__high", x0), c("__wy") * wx * F.get("__high", x1)]
+        some = F.coalesce(*parts).isNotNull()
+        zero = [F.coalesce(p, F.lit(0.0)) for p in parts]
+        return F.when(some, zero[0] + zero[1] + zero[2] + zero[3])
+
+    return each.select(*keys, "row", F.posexplode(F.transform(numbers(target), read)).alias("col", value))
 
 
 def class_share_grid(px: DataFrame, cls: str, wanted: int, x: Column, y: Column, cell_m: float, keys: Sequence[str] = ()) -> DataFrame:
