@@ -57,19 +57,29 @@ def _total(terms) -> Column:
     return out
 
 
+def _conformal(lon: Column, lat: Column, z: Column) -> tuple[Column, Column]:
+    """(tangent of the conformal latitude, longitude from the middle of the zone)."""
+    sp = F.sin(F.radians(lat))
+    return F.sinh(F.atanh(sp) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * sp)), F.radians(lon - (z * 6.0 - 183.0))
+
+
+def _sphere(t: Column, dl: Column) -> tuple[Column, Column]:
+    """(xi, eta)"""
+    return F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1.0 + t * t))
+
+
+def _series_xy(xi: Column, eta: Column, s: Column) -> tuple[Column, Column]:
+    """(easting, northing)"""
+    x = eta + _total(a * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta) for j, a in enumerate(_FWD, 1))
+    y = xi + _total(a * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta) for j, a in enumerate(_FWD, 1))
+    return F.lit(K0 * _RECT) * x + FALSE_EAST, F.lit(K0 * _RECT) * y + F.when(s, FALSE_NORTH).otherwise(0.0)
+
+
 def to_utm(lon, lat, zone: Column | int, south: Column | bool = True) -> tuple[Column, Column]:
     """(easting, northing) in metres, transverse Mercator by the Krueger series to fourth order."""
     z = F.lit(zone) if isinstance(zone, int) else zone
     s = F.lit(south) if isinstance(south, bool) else south
-    phi = F.radians(_c(lat))
-    dl = F.radians(_c(lon) - (z * 6.0 - 183.0))
-    sp = F.sin(phi)
-    t = F.sinh(F.atanh(sp) - F.lit(_ECC) * F.atanh(F.lit(_ECC) * sp))
-    xi = F.atan2(t, F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(1.0 + t * t))
-    x = eta + _total(a * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta) for j, a in enumerate(_FWD, 1))
-    y = xi + _total(a * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta) for j, a in enumerate(_FWD, 1))
-    return F.lit(K0 * _RECT) * x + FALSE_EAST, F.lit(K0 * _RECT) * y + F.when(s, FALSE_NORTH).otherwise(0.0)
+    return _series_xy(*_sphere(*_conformal(_c(lon), _c(lat), z)), s)
 
 
 def from_utm(x, y, zone: Column | int, south: Column | bool = True) -> tuple[Column, Column]:
@@ -143,12 +153,14 @@ def centred_grid(lon, lat, cells: int = 334, cell_m: float = 3.0) -> Column:
 
 
 def ring_to_utm(ring, zone: int = AREA_ZONE) -> Column:
-    """Ring of (lon, lat) to a ring of (x, y) metres; always one zone, as areas are compared."""
-    def one(p):
-        x, y = to_utm(p["lon"], p["lat"], zone)
-        return F.struct(x.alias("x"), y.alias("y"))
+    """Ring of (lon, lat) to a ring of (x, y) metres; always one zone, as areas are compared.
 
-    return F.transform(_c(ring), one)
+    One transform a step of ``to_utm``: within one lambda, what a step uses several times would be computed anew each time.
+    """
+    pair = lambda values, *names: F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+    a = F.transform(_c(ring), lambda p: pair(_conformal(p["lon"], p["lat"], F.lit(zone)), "t", "dl"))
+    b = F.transform(a, lambda p: pair(_sphere(p["t"], p["dl"]), "xi", "eta"))
+    return F.transform(b, lambda p: pair(_series_xy(p["xi"], p["eta"], F.lit(True)), "x", "y"))
 
 
 def ring_xy(ring) -> Column:
