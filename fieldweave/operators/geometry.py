@@ -14,6 +14,7 @@ from ..functions.text import FLAG_PHRASES
 from ..functions.values import CATEGORIES
 from ..session import settled
 from .areas import exact_areas
+from .ring_pixels import ring_pixels
 
 # Pixel codes of the categories.
 CATEGORY_CODES = {"small-scale": 1, "tree_crop": 2, "industrial": 3, "lawn": 4, "covered": 5}
@@ -121,21 +122,10 @@ def burn(rings: DataFrame, height: int, width: int, xy: str = "xy") -> DataFrame
 def coverage_percent(rings: DataFrame, keys: Sequence[str], height: int, width: int, fine: int = 10, xy: str = "xy") -> DataFrame:
     """Percent of each pixel under the union of its rings, from fine x fine sub-cells, whole percents.
 
-    Sub-cells stay as runs: a run is merged with its neighbours per fine row by a
-    running maximum of ends, and only then split over the coarse pixels it meets.
+    Rings are shuffled, sub-cells stay runs inside a task (``ring_pixels``).
     """
-    big = rings.withColumn(xy, F.transform(xy, lambda p: F.struct((p["x"] * fine).alias("x"), (p["y"] * fine).alias("y"))))
-    s = scan_lines(big.select(*keys, xy), xy, 0.0, 1.0, height * fine)
-    a = F.greatest(F.lit(0), F.ceil(F.col("xa") - 0.5).cast("int"))
-    b = F.least(F.lit(width * fine), F.ceil(F.col("xb") - 0.5).cast("int"))
-    s = s.select(*keys, "row", a.alias("a"), b.alias("b")).filter("a < b")
-    w = Window.partitionBy(*keys, "row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("a", F.greatest(F.col("a"), F.coalesce(F.max("b").over(w), F.lit(0)))).filter("a < b")
-    coarse = F.explode(F.sequence(F.expr(f"a div {fine}").cast("int"), F.expr(f"(b - 1) div {fine}").cast("int")))
-    s = s.withColumns({"row": F.floor(F.col("row") / fine).cast("int")}).withColumn("col", coarse)
-    cells = F.least(F.col("b"), (F.col("col") + 1) * fine) - F.greatest(F.col("a"), F.col("col") * fine)
-    return s.groupBy(*keys, "row", "col").agg(F.sum(cells).alias("__n")).withColumns({
-        "coverage": F.expr(f"__n * 100 div {fine * fine}").cast("int"), "half": F.col("__n") * 2 >= fine * fine}).drop("__n")
+    s = ring_pixels(rings, keys, height, width, fine, F.lit(True), xy=xy)
+    return s.select(*keys, "row", "col", F.expr(f"n * 100 div {fine * fine}").cast("int").alias("coverage"), (F.col("n") * 2 >= fine * fine).alias("half"))
 
 
 def category_code(category: str = "category") -> Column:
@@ -155,25 +145,17 @@ def label_pixels(rings: DataFrame, keys: Sequence[str], height: int, width: int,
     irrigated from half coverage on, its category also needs the pixel centre.
     """
     sure = F.col("certainty") >= cutoff
-    px = burn(rings.select(
-        *keys, "poly_order", "xy", F.col("certainty"), F.when(sure, category_code()).alias("__cat"),
-        *[F.coalesce(F.col("uncertainty_explanation").contains(p), F.lit(False)).cast("int").alias(n) for n, p in FLAG_PHRASES.items()]), height, width)
-    by = [*keys, "row", "col"]
-    order = F.col("poly_order")
-    centre = px.groupBy(*by).agg(
-        F.max_by("certainty", F.when(F.col("certainty") > 0, order)).alias("certainty"),
-        F.max_by("__cat", F.when(F.col("__cat").isNotNull(), order)).alias("__cat"),
-        *[F.max(n).alias(n) for n in FLAG_PHRASES])
-    cov = coverage_percent(rings.filter(sure), keys, height, width, fine)
-    j = centre.join(cov, by, "full")
-    half = F.coalesce("half", F.lit(False))
+    px = ring_pixels(
+        rings, keys, height, width, fine, sure, F.col("poly_order"), [F.when(F.col("certainty") > 0, F.col("certainty")), F.when(sure, category_code())],
+        [F.col("uncertainty_explanation").contains(p) for p in FLAG_PHRASES.values()])
+    half = F.col("n") * 2 >= fine * fine
 
     def num(c):
         return F.coalesce(c, F.lit(0)).cast("int")
 
-    return j.select(
-        *by, num(F.when(half, F.col("__cat"))).alias("category"), half.cast("int").alias("irrigated"),
-        *[num(F.col(n)).alias(n) for n in FLAG_PHRASES], num(F.col("certainty")).alias("certainty"), num(F.col("coverage")).alias("coverage"))
+    return px.select(
+        *keys, "row", "col", num(F.when(half, F.col("mark_1"))).alias("category"), half.cast("int").alias("irrigated"),
+        *[F.col(f"flag_{i}").alias(n) for i, n in enumerate(FLAG_PHRASES)], num(F.col("mark_0")).alias("certainty"), F.expr(f"n * 100 div {fine * fine}").cast("int").alias("coverage"))
 
 
 LABEL_COLUMNS = ["category", "irrigated", *FLAG_PHRASES, "certainty", "coverage"]
