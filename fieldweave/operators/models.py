@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -13,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import ensure_checkpoint_dir, settled
 from . import evaluation as E
 from .balance import oversample
 from .sampling import downsample_zero, group_splits
@@ -32,6 +34,8 @@ DEFAULTS = {
     "logistic_regression": {},
 }
 EXPERIMENT_TREES = 200
+#: Models that train at once (their levels are short jobs that leave cores idle; the driver holds each of them), and parts of a training table, at least: small tables come as one part, which is one task a level.
+AT_ONCE, PARTS = 3, 12
 # The comparison set, fixed values: three forests, boosting, one tree, one linear model.
 COMPARISON = {
     "forest_full": ("random_forest", {"numTrees": 400, "maxDepth": 30, "featureSubsetStrategy": "sqrt"}),
@@ -48,7 +52,8 @@ def build(kind: str, params: Mapping | None = None, target: str = "y", weight: s
     if kind not in BUILDERS:
         raise ValueError(f"unknown model {kind!r}")
     est = BUILDERS[kind](featuresCol="x", labelCol=target)
-    extra = {"seed": seed, **({"weightCol": weight} if weight else {})}
+    # Cached node ids change no split: rows keep their node, so the grown trees are not sent to every task at every level and not walked again.
+    extra = {"seed": seed, "cacheNodeIds": True, **({"weightCol": weight} if weight else {})}
     known = {k: v for k, v in {**extra, **DEFAULTS[kind], **(params or {})}.items() if est.hasParam(k)}
     return est.setParams(**known)
 
@@ -82,7 +87,15 @@ def fit(train: DataFrame, kind: str = "random_forest", params: Mapping | None =
     if scale:
         stages.append(StandardScaler(inputCol="x", outputCol="xs", withMean=True, withStd=True))
         est = est.setParams(featuresCol="xs")
-    return Pipeline(stages=[*stages, est]).fit(data)
+    parts = max(PARTS, data.sparkSession.sparkContext.defaultParallelism)
+    return Pipeline(stages=[*stages, est]).fit(data.select("x", target, "w").repartition(parts))
+
+
+def each(rows: DataFrame, make: Callable, items: Iterable) -> list:
+    """``make`` of each item, in order, ``AT_ONCE`` at a time: models that do not wait for each other."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(make), list(items), chunksize=1)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -101,11 +114,13 @@ def standardised(train: DataFrame, other: DataFrame) -> DataFrame:
 def compare_models(train: DataFrame, test: DataFrame, models: Mapping | None = None) -> DataFrame:
     """Threshold metrics, average precision and ROC AUC of several models on one test set."""
     train, test = settled(train), settled(test)
-    rows = []
-    for name, (kind, params) in (models or COMPARISON).items():
-        scored = score(fit(train, kind, params, scale=kind == "logistic_regression", balanced=kind != "gradient_boosting"), test)
-        rows.append(E.metrics_at(scored, "y", "p").select(F.lit(name).alias("model"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+
+    def row(item):
+        name, (kind, params) = item
+        scored = settled(score(fit(train, kind, params, scale=kind == "logistic_regression", balanced=kind != "gradient_boosting"), test).select("y", "p"))
+        return E.metrics_at(scored, "y", "p").select(F.lit(name).alias("model"), "*")
+
+    return reduce(DataFrame.unionByName, each(train, row, (models or COMPARISON).items()))
 
 
 def train_fold(train: DataFrame, val: DataFrame, kind: str = "random_forest", params: Mapping | None = None, ratio: float = 3.0,
@@ -131,11 +146,12 @@ def fold_metrics(scored: DataFrame, truth: str = "y", proba: str = "p") -> DataF
 def cross_validate(rows: DataFrame, folds: Sequence[int], **options) -> DataFrame:
     """One row of metrics per fold; ``rows`` has ``fold``. Every fold reads the table, so it is settled first."""
     rows = settled(rows)
-    out = []
-    for f in folds:
+
+    def row(f):
         _, m = train_fold(rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), **options)
-        out.append(m.select(F.lit(f).alias("fold"), "*"))
-    return reduce(DataFrame.unionByName, out)
+        return m.select(F.lit(f).alias("fold"), "*")
+
+    return reduce(DataFrame.unionByName, each(rows, row, folds))
 
 
 def experiment(rows: DataFrame, config: Mapping) -> DataFrame:
@@ -190,8 +206,12 @@ def robustness(models: Mapping[str, PipelineModel], test: DataFrame, key: str =
     level = F.explode(F.array(*[F.struct(F.lit(s).alias("sweep"), F.lit(x).alias("level"), F.lit(d).alias("drop"), F.lit(n).alias("noise")) for s, x, d, n in levels]))
     each = test.withColumn("__l", level).select("*", "__l.*").drop("__l")
     bad = settled(with_vector(each.withColumn(vector, degrade(vector, [key], F.col("drop"), F.col("noise"), seed)), vector))
-    rows = [E.metrics_at(score(m, bad), "y", "p", keys=["sweep", "level"]).select(F.lit(name).alias("model"), "*") for name, m in models.items()]
-    return reduce(DataFrame.unionByName, rows)
+
+    def row(item):
+        name, m = item
+        return E.metrics_at(settled(score(m, bad).select("sweep", "level", "y", "p")), "y", "p", keys=["sweep", "level"]).select(F.lit(name).alias("model"), "*")
+
+    return reduce(DataFrame.unionByName, each(test, row, models.items()))
 
 
 def leave_group_out(rows: DataFrame, group: str, groups: Sequence[str] | None = None, kind: str = "random_forest", params: Mapping | None = None) -> DataFrame:
@@ -229,7 +249,7 @@ def run_experiment(rows: DataFrame, columns: Sequence[str] | str, label: str, pa
     data = with_vector(rows, columns)
     forest = {"numTrees": EXPERIMENT_TREES, **(params or {})}
     model = fit(data.filter("split = 'train'"), "random_forest", forest, extra_weight=extra_weight)
-    scored = score(model, data.filter("split = 'test'")).withColumn("guess", (F.col("p") >= threshold).cast("int"))
+    scored = settled(score(model, data.filter("split = 'test'")).select("y", "p", "stratum")).withColumn("guess", (F.col("p") >= threshold).cast("int"))
     return experiment_row(scored, label, strata, 1 if isinstance(columns, str) else len(columns))
 
 
@@ -247,8 +267,7 @@ def experiment_row(scored: DataFrame, label: str, strata: Sequence[str], n_featu
 def out_of_fold(rows: DataFrame, folds: Sequence[int], params: Mapping | None = None) -> DataFrame:
     """Every row scored by the model that did not see its fold."""
     rows = settled(rows)
-    parts = [score(fit(rows.filter(F.col("fold") != f), "random_forest", params), rows.filter(F.col("fold") == f)) for f in folds]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, each(rows, lambda f: settled(score(fit(rows.filter(F.col("fold") != f), "random_forest", params), rows.filter(F.col("fold") == f))), folds))
 
 
 def stratum_experiment(rows: DataFrame, label: str, folds: Sequence[int], params: Mapping | None = None, strata: Sequence[str] = ("smallholder", "medium", "large")) -> DataFrame:
@@ -257,7 +276,7 @@ def stratum_experiment(rows: DataFrame, label: str, folds: Sequence[int], params
     rows = settled(rows)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     best = settled(E.stratum_thresholds(out_of_fold(train, folds, forest), "stratum", "y", "p", strata))
-    scored = E.apply_thresholds(score(fit(train, "random_forest", forest), test), best, "stratum", "p")
+    scored = E.apply_thresholds(settled(score(fit(train, "random_forest", forest), test).select("y", "p", "stratum")), best, "stratum", "p")
     return experiment_row(scored, label, strata, 1)
 
 

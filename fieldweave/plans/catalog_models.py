@@ -423,8 +423,9 @@ SELECT model, sweep, level, {} FROM l, (SELECT unnest(['forest_full', 'forest_sm
 @model_query("M12_robustness", LEVELS_SQL.format(ONES), LEVELS_SQL.format(BOUNDS), SCORES_ONE, lambda rows, names: above(rows, names, F.col("level") <= 0.05))
 def _(spark, d, rows):
     """Both forests at all 14 levels; the raw test series are degraded, gaps included."""
-    train = _vec(spark, d, rows).filter("split = 'train'")
-    models = {name: M.fit(train, *M.COMPARISON[name]) for name in ("forest_full", "forest_small")}
+    train = settled(_vec(spark, d, rows).filter("split = 'train'"))
+    names = ("forest_full", "forest_small")
+    models = dict(zip(names, M.each(train, lambda name: M.fit(train, *M.COMPARISON[name]), names)))
     return rounded(M.robustness(models, rows(spark, d).filter("split = 'test'").select("id", "y", "v")).select("model", "sweep", "level", *SCORES_ONE))
 
 
@@ -465,11 +466,13 @@ def _(spark, d, source):
     rows = _filled(spark, d, source)
     columns = [f"ndvi_{v}_t{t:02d}" for v in VARIANTS for t in range(3)]
     wide = settled(rows.select("*", *[F.col("v")[WET_FROM + int(c[-2:])].alias(c) for c in columns]))
-    out = []
-    for label, variants in EXPERIMENTS.items():
+
+    def row(label):
         times = {"E5 x3": 3.0, "E5 x5": 5.0}.get(label)
         data = N.stratum_weights(wide, "stratum", "smallholder", times) if times else wide
-        out.append(M.run_experiment(data, M.variant_columns(columns, variants), label, extra_weight="weight" if times else None))
+        return M.run_experiment(data, M.variant_columns(columns, EXPERIMENTS[label]), label, extra_weight="weight" if times else None)
+
+    out = M.each(wide, row, EXPERIMENTS)
     out.append(M.stratum_experiment(M.with_vector(wide, "v"), "E6 thresholds", [0, 1, 2, 3, 4]))
     names = ["label", "n_feats", "precision", "recall", "f1_score", "auprc", *[f"{p}_{s}" for s in STRATA for p in ("recall", "n")]]
     return rounded(E.lift_over(reduce(DataFrame.unionByName, out).select(*names), "E0 baseline", ["recall_smallholder"]))
