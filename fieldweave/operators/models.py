@@ -204,8 +204,8 @@ def robustness(models: Mapping[str, PipelineModel], test: DataFrame, key: str =
 
     levels = [("drop", float(d), float(d), 0.0) for d in drops] + [("noise", float(n), 0.0, float(n)) for n in noises]
     level = F.explode(F.array(*[F.struct(F.lit(s).alias("sweep"), F.lit(x).alias("level"), F.lit(d).alias("drop"), F.lit(n).alias("noise")) for s, x, d, n in levels]))
-    each = test.withColumn("__l", level).select("*", "__l.*").drop("__l")
-    bad = settled(with_vector(each.withColumn(vector, degrade(vector, [key], F.col("drop"), F.col("noise"), seed)), vector))
+    levelled = test.withColumn("__l", level).select("*", "__l.*").drop("__l")
+    bad = settled(with_vector(levelled.withColumn(vector, degrade(vector, [key], F.col("drop"), F.col("noise"), seed)), vector))
 
     def row(item):
         name, m = item
