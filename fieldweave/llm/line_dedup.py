@@ -212,7 +212,8 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     met = stored(probes.select(*columns).unionByName(shared.select(*columns)).join(heads, "key"), "line-meetings")
     done = later_lines(first_pairs(met), lines, edits)
 
-    several = undecided(still_open(met.where("n > 1"), done))
+    # Read four times below, so it is written once; the marks would be joined anew for each.
+    several = stored(undecided(still_open(met.where("n > 1"), done)), "open-meetings")
     index = several.where("shorter = 0 and shift = 0")
     few, many = F.col("n") <= LIST, F.col("n") > LIST
     finer_index = stored(finer_rows(index.where(many).select(*columns), lines, edits, own=True), "finer-index")

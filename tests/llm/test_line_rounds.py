@@ -43,3 +43,17 @@ def test_crowded_keys(spark, monkeypatch, edits, longest_list):
     got = {(r.who["id"], r["at"]) for r in line_dedup.near_lines(table, edits).collect()}
     want = {(rows[j][0], rows[j][1]) for j in range(len(lines)) if any(distance(lines[i], lines[j], edits) <= edits for i in range(j))}
     assert got == want and 10 < len(want) < len(lines)
+
+
+def test_open_meetings_are_marked_once(spark, monkeypatch):
+    """What the second round reads four times is read from files: no marking join runs anew in each of its branches."""
+    plans, pairs = [], line_dedup.other_pairs
+
+    def seen(met, index, edits):
+        plans.append(met._jdf.queryExecution().optimizedPlan().toString())
+        return pairs(met, index, edits)
+
+    monkeypatch.setattr(line_dedup, "other_pairs", seen)
+    docs = spark.createDataFrame(list(enumerate(crowd(3, 40))), "doc_id long, text string")
+    line_dedup.dedup_lines(docs).count()
+    assert len(plans) == 2 and "Join" not in plans[0]
