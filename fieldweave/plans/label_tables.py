@@ -13,6 +13,7 @@ from ..operators import geometry as GE
 from ..operators import labels as L
 from ..operators import ranking as R
 from ..operators import tagging as TG
+from ..session import settled
 from ..sources import placemarks as PM
 from ..sources import surveys as SV
 
@@ -39,17 +40,18 @@ def build(docs: DataFrame, sample: DataFrame, marks: DataFrame, survey_name: str
     if survey_name is not None:
         docs, marks = (t.withColumn("source_file", F.lit(survey_name)) for t in (docs, marks))
     bundle = ["source_file"]
-    survey = SV.internal_ids(SV.answer_rows(docs), sample)
+    # Documents are parsed once: tagging and numbering read their rows several times.
+    survey = settled(SV.internal_ids(SV.answer_rows(docs), sample))
     survey = R.numbered_within(survey, bundle, ["path", *_position(survey), "site_id", "image_number"], "line", 0, whole="row_id").drop("path", "position")
-    drawn = TG.describe_polygons(PM.placemark_rows(marks).filter("geometry_status = 'ok'"))
+    drawn = TG.describe_polygons(settled(PM.placemark_rows(marks).filter("geometry_status = 'ok'")))
     drawn = R.numbered_within(drawn, bundle, ["path", "position"] if "position" in drawn.columns else ["name", "description", "ring"], "poly_order", 0, whole="poly_id").drop("path", "position")
     drawn = drawn.withColumn("polygon_area_m2", G.shoelace(G.ring_to_utm("ring"))).withColumn("category", area_category())
     matches = L.survey_polygon_matches(survey, drawn, "row_id", "poly_id", bundle)
     stats = L.polygon_stats(survey, drawn, "row_id", "poly_id", bundle, cutoff)
     boxes = survey.select("row_id", G.geodesic_box("y", "x").alias("box"))
     on_row = matches.join(drawn.select("poly_id", "ring", "certainty", "category"), "poly_id")
-    cover = GE.site_coverage(boxes, on_row, "row_id", cutoff).drop("box")
-    labels = survey.join(cover, "row_id").join(stats, "row_id", "left")
+    # Areas and statistics are left joins on their own key, so Spark leaves out what a reader of the labels does not ask for.
+    labels = GE.site_coverage(survey.withColumn("box", G.geodesic_box("y", "x")), on_row, "row_id", cutoff).drop("box").join(stats, "row_id", "left")
     site = L.polygon_site(survey, drawn, "row_id", "poly_id", "line", bundle)
     placed = L.repair_internal_id(drawn.join(site, "poly_id", "left"), survey, bundle)
     info = ["plot_file", "x", "y", "water_source"]
@@ -68,10 +70,21 @@ def _position(rows: DataFrame) -> list[str]:
 
 
 def pool(labels: DataFrame) -> DataFrame:
-    """Latest versions, repeats dropped, dates shifted, numbered."""
-    latest = L.latest_versions(labels)
-    once = L.drop_repeats(latest, ["source_file", "line"])
-    return R.numbered(shift_back_one_day(once), ["source_file", "line"])
+    """Latest versions, repeats dropped, dates shifted, numbered.
+
+    Rows are chosen and numbered by what the choice reads, which is all that is written; the rest of a row meets its number afterwards. ``source_file`` and ``line`` name a row.
+    """
+    place = ["source_file", "line"]
+    once = chosen(labels).select(*place)
+    ids = R.numbered(once, place)
+    out = labels.join(ids, place).withColumn("most_recent", F.lit(1))
+    return shift_back_one_day(out.select(*labels.columns, "most_recent", "unique_id"))
+
+
+def chosen(labels: DataFrame) -> DataFrame:
+    """What the choice of pooled label rows reads of them: rows of the latest versions, repeats dropped."""
+    read = labels.select("source_file", "line", "plot_file", "site_id", *L.DATE, "operator_initials", "image_number")
+    return L.drop_repeats(L.latest_versions(read), ["source_file", "line"])
 
 
 def pool_polygons(polygons: DataFrame, pooled: DataFrame) -> DataFrame:

@@ -64,3 +64,12 @@ def test_one_named_bundle_still_works(spark, tmp_path):
     docs = spark.createDataFrame([("raw/JL_1-25/1/a.xml", plot("id_900", 22.0, (1, 5)))], "path string, xml string")
     out = LT.build(SV.parse_surveys(docs), spark.createDataFrame([("id_900", 1)], "id string, line_no int"), PM.read_placemarks(spark, str(tmp_path / "m.kml")), survey_name="JL_1-25")
     assert [(r["source_file"], r["line"]) for r in out.labels.collect()] == [("JL_1-25", 0)] and LT.pool(out.labels).count() == 1
+
+
+def test_pooling_measures_no_areas(tables):
+    """Who reads no coverage of the pooled rows does not pay for it: what is chosen and numbered is slim, and areas are a join that falls away."""
+    pooled = LT.pool(tables.labels)
+    few = pooled.select("unique_id", "line", "poly_min_size")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in few and "MapInArrow" in pooled.select("percent_coverage")._jdf.queryExecution().optimizedPlan().toString()
+    assert pooled.columns == [*tables.labels.columns, "most_recent", "unique_id"]
+    assert all(r["percent_coverage"] > 0 for r in pooled.collect())
