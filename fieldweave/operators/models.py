@@ -81,14 +81,16 @@ def fit(train: DataFrame, kind: str = "random_forest", params: Mapping | None =
     The scaler divides by the sample deviation; with many rows the difference to
     the population one is nil.
     """
+    # Weights, samples of the splits and the bagged rows each read the table, so it is made once.
+    parts = max(PARTS, train.sparkSession.sparkContext.defaultParallelism)
+    train = settled(train.select("x", target, *([extra_weight] if extra_weight else [])).repartition(parts))
     data = balanced_weights(train, target, extra_weight) if balanced else train.withColumn("w", F.col(extra_weight) if extra_weight else F.lit(1.0))
     est = build(kind, params, target, "w", seed)
     stages: list = []
     if scale:
         stages.append(StandardScaler(inputCol="x", outputCol="xs", withMean=True, withStd=True))
         est = est.setParams(featuresCol="xs")
-    parts = max(PARTS, data.sparkSession.sparkContext.defaultParallelism)
-    return Pipeline(stages=[*stages, est]).fit(data.select("x", target, "w").repartition(parts))
+    return Pipeline(stages=[*stages, est]).fit(data.select("x", target, "w"))
 
 
 def each(rows: DataFrame, make: Callable, items: Iterable) -> list:

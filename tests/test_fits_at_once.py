@@ -24,3 +24,19 @@ def test_training_rows_are_spread(spark, monkeypatch):
     M.fit(rows, "random_forest")
     parts, n, forest = seen[0]
     assert parts >= M.PARTS and n == 100 and forest.getCacheNodeIds()
+
+
+def test_training_rows_are_made_once(spark, monkeypatch):
+    """What a model reads at every pass are settled rows, not the table's history."""
+    plans = []
+
+    class Caught(M.Pipeline):
+        def fit(self, data):
+            plans.append(data._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(M, "Pipeline", Caught)
+    rows = M.with_vector(spark.range(100).select((F.col("id") % 2).alias("y"), F.array(F.col("id")).alias("v"), F.lit(2.0).alias("own")), "v")
+    for own in (None, "own"):
+        M.fit(rows, "random_forest", extra_weight=own)
+        M.fit(rows, "random_forest", balanced=False, extra_weight=own)
+    assert len(plans) == 4 and not any("Range" in p for p in plans)
