@@ -78,137 +78,181 @@ def partial_ratio(s1: str, s2: str) -> float:
 
 #: Characters of a text from which on its letters are not counted before it is scored.
 LONG_TEXT = 256
-#: Characters that one numpy step works on.
-SLICE_CHARS = 1 << 20
+#: Windows whose letters one numpy step counts: arrays of a byte each, which stay in the cache of a core.
+SLICE_CHARS = 1 << 16
+#: Longest phrase whose positions fit one machine word; counts of letters in a window then fit a byte too.
+LONGEST_PHRASE = 62
 
 
-def _long_hits(texts: Sequence[str], phrase: str, threshold: float) -> np.ndarray:
-    """Whether ``phrase`` reaches ``threshold`` in each of the texts (ASCII, all longer than it, no zero characters), one pass over all of them.
+def _rich_windows(body: np.ndarray, wanted: Mapping[str, int]) -> dict[str, np.ndarray]:
+    """For each phrase the starts of the windows of its length, without a zero, that have at least the wanted number of letters in common with it, whatever their order.
 
-    A window's letters in common with the phrase, whatever their order, bound its score; they are differences of running counts. Only windows
-    whose bound reaches the threshold are scored, all of them at once, bit-parallel.
+    Counts of a letter in windows of 1, 2, 4, .. characters are sums of two neighbours; a phrase's length is put together from them, so all phrases share them.
+    """
+    found: dict[str, list[np.ndarray]] = {p: [] for p in wanted}
+    for low in range(0, len(body), SLICE_CHARS):
+        part = body[low:low + SLICE_CHARS + LONGEST_PHRASE - 1]
+        doubled: dict[int, list[np.ndarray]] = {}
+
+        def within(code: int, m: int) -> np.ndarray:
+            levels = doubled.setdefault(code, [(part == code).view(np.uint8)])  # noqa: B023
+            while 1 << len(levels) <= m:
+                last, half = levels[-1], 1 << len(levels) - 1
+                levels.append(last[:-half] + last[half:])
+            total, at, n = None, 0, len(part) - m + 1  # noqa: B023
+            for k, level in enumerate(levels):
+                if m >> k & 1:
+                    total = level[at:at + n] if total is None else total + level[at:at + n]
+                    at += 1 << k
+            return total
+
+        for phrase, least in wanted.items():
+            m = len(phrase)
+            if len(part) < m:
+                continue
+            common = np.zeros(len(part) - m + 1, np.uint8)
+            for letter in sorted(set(phrase)):
+                common += np.minimum(within(ord(letter), m), np.uint8(phrase.count(letter)))
+            at = np.flatnonzero(common[:SLICE_CHARS] >= least)
+            found[phrase].append(low + at[within(0, m)[at] == 0])
+    return {p: np.concatenate(v) if v else np.zeros(0, np.int64) for p, v in found.items()}
+
+
+def _long_hits(texts: Sequence[str], phrases: Sequence[str], threshold: float) -> np.ndarray:
+    """Whether each of the phrases reaches ``threshold`` in each of the texts (ASCII, no zero characters) that are longer than it; False for shorter ones.
+
+    A window's letters in common with the phrase bound its score. Only windows whose bound reaches the threshold are scored, all of them at once, bit-parallel.
     """
-    m, n = len(phrase), len(texts)
     body = np.frombuffer(("\0".join(texts) + "\0").encode("ascii"), np.uint8)
     sizes = np.array([len(t) for t in texts])
     first = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    own = np.repeat(np.arange(n), sizes + 1)
-    common = np.zeros(len(body) - m + 1, np.int16)
-    for letter in set(phrase):
-        seen = np.zeros(len(body) + 1, np.int32)
-        np.cumsum(body == ord(letter), out=seen[1:])
-        common += np.minimum(seen[m:] - seen[:-m], phrase.count(letter)).astype(np.int16)
-    need = next(c for c in range(m + 2) if c > m or 100.0 * c / m >= threshold)
-    at = np.flatnonzero(common >= need)
-    at = at[(own[at] == own[at + m - 1]) & (body[at + m - 1] != 0)]
-    hit = np.zeros(n, bool)
-    full, one = np.uint64((1 << m) - 1), np.uint64(1)
+    out = np.zeros((len(texts), len(phrases)), bool)
+    need = {p: next(c for c in range(len(p) + 2) if c > len(p) or 100.0 * c / len(p) >= threshold) for p in phrases}
+    rich = _rich_windows(body, need)
+    one = np.uint64(1)
 
     def table(p: str) -> np.ndarray:
-        out = np.zeros(256, np.uint64)
+        masks = np.zeros(256, np.uint64)
         for i, ch in enumerate(p):
-            out[ord(ch)] |= one << np.uint64(i)
-        return out
-
-    def walk(state, mask):
-        used = state & mask
-        return ((state + used) | (state - used)) & full
-
-    masks, state = table(phrase)[body], np.full(len(at), full, np.uint64)
-    for j in range(m):
-        state = walk(state, masks[at + j])
-    hit[own[at[100.0 * _count(state, m) / m >= threshold]]] = True
-    # Windows cut off at either end.
-    back = table(phrase[::-1])
-    for spots, mask in ((first, masks), (first + sizes - 1, back[body])):
-        step, state = (1 if mask is masks else -1), np.full(n, full, np.uint64)
-        for k in range(1, m):
-            state = walk(state, mask[spots + step * (k - 1)])
-            hit |= 200.0 * _count(state, m) / (m + k) >= threshold
-    return hit
+            masks[ord(ch)] |= one << np.uint64(i)
+        return masks
+
+    for number, phrase in enumerate(phrases):
+        m, hit = len(phrase), out[:, number]
+        full = np.uint64((1 << m) - 1)
+
+        def walk(state, mask):
+            used = state & mask
+            return ((state + used) | (state - used)) & full  # noqa: B023
+
+        at = rich[phrase]
+        own = np.searchsorted(first, at, "right") - 1
+        at, own = at[sizes[own] > m], own[sizes[own] > m]
+        masks, state = table(phrase), np.full(len(at), full, np.uint64)
+        for j in range(m):
+            state = walk(state, masks[body[at + j]])
+        hit[own[100.0 * _count(state, m) / m >= threshold]] = True
+        # Windows cut off at either end.
+        longer = np.flatnonzero(sizes > m)
+        for spots, mask, step in ((first[longer], masks, 1), ((first + sizes - 1)[longer], table(phrase[::-1]), -1)):
+            state = np.full(len(longer), full, np.uint64)
+            for k in range(1, m):
+                state = walk(state, mask[body[spots + step * (k - 1)]])
+                hit[longer] |= 200.0 * _count(state, m) / (m + k) >= threshold
+    return out
 
 
 def phrase_hits(texts: Sequence[str], phrases: Sequence[str], threshold: float) -> list[list[bool]]:
     """For each text whether the partial ratio of each phrase is at least ``threshold``."""
     out = np.zeros((len(texts), len(phrases)), bool)
-    for k, phrase in enumerate(phrases):
-        fits = [0 < len(phrase) < len(t) and len(phrase) <= 62 and t.isascii() and "\0" not in t and phrase.isascii() for t in texts]
-        for i, t in enumerate(texts):
-            if not fits[i]:
-                out[i, k] = partial_ratio(t, phrase) >= threshold
-        some = np.flatnonzero(fits)
-        ends = np.cumsum([len(texts[i]) + 1 for i in some])
-        low = 0
-        while low < len(some):
-            done = ends[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(ends, done + SLICE_CHARS, "right")))
-            out[some[low:high], k] = _long_hits([texts[i] for i in some[low:high]], phrase, threshold)
-            low = high
+    short = [0 < len(p) <= LONGEST_PHRASE and p.isascii() for p in phrases]
+    plain = [t.isascii() and "\0" not in t for t in texts]
+    for i, t in enumerate(texts):
+        for k, p in enumerate(phrases):
+            if not (plain[i] and short[k] and len(t) > len(p)):
+                out[i, k] = partial_ratio(t, p) >= threshold
+    least = min((len(p) for p, s in zip(phrases, short, strict=True) if s), default=None)
+    some = [i for i, t in enumerate(texts) if least is not None and plain[i] and len(t) > least]
+    if some:
+        own = np.flatnonzero(short)
+        out[np.ix_(some, own)] |= _long_hits([texts[i] for i in some], [phrases[k] for k in own], threshold)
     return out.tolist()
 
 
 def close_phrases(text: Column, phrases: Sequence[str], threshold: float) -> Column:
-    """Array of booleans, one per phrase, for a normalized text."""
+    """Array of booleans, one per phrase, for a normalized text. Equal texts of a batch are scored once."""
     wanted, limit = list(phrases), float(threshold)
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def close(col: pd.Series) -> pd.Series:
-        asked = col.notna().to_numpy()
-        found = iter(phrase_hits(col[asked].tolist(), wanted, limit))
-        return pd.Series([next(found) if a else None for a in asked])
+        codes, texts = pd.factorize(col)
+        found = phrase_hits(list(texts), wanted, limit)
+        return pd.Series([found[c] if c >= 0 else None for c in codes], dtype=object)
 
     return close(text)
 
 
-def tag_phrases(df: DataFrame, text: str, phrases: Sequence[str] = tuple(X.UNCERTAINTY_PHRASES), threshold: float = X.MATCH_THRESHOLD,
-                out: str = "uncertainty") -> DataFrame:
-    """Sorted array of the phrases a description comes close to.
+def _close(df: DataFrame, text: str, phrases: Sequence[str], threshold: float, out: str) -> DataFrame:
+    """``df`` with an array of booleans: which of the phrases each text comes close to. Blank texts come close to none.
 
-    Descriptions repeat a lot, so each distinct normalized text is scored once and
-    joined back. Blank texts, the commonest of all, never enter the join.
+    Texts are scored where their rows lie. Rows are dealt anew before that, since a text costs much for its bytes; nothing else is shuffled.
     """
-    names = F.array(*[F.lit(p) for p in phrases])
-    norm = df.withColumn("__t", F.nullif(X.normalize(text), F.lit("")))
-    # A text costs much for its bytes, so the number of tasks is given, not left to their size.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = norm.select("__t").filter(F.col("__t").isNotNull()).repartition(tasks, "__t").distinct()
+    norm = df.repartition(tasks).withColumn("__t", F.nullif(X.normalize(text), F.lit("")))
     normal = [_norm(p) for p in phrases]
+    none = F.array(*[F.lit(False) for _ in normal])
+    held = F.array(*[F.contains("__t", F.lit(p)) if p else F.lit(False) for p in normal])
+    if threshold >= 100.0:
+        # A full score is the shorter of the two inside the longer one, and more is never reached.
+        whole = F.array(*[F.contains("__t", F.lit(p)) | F.contains(F.lit(p), F.col("__t")) if p else F.lit(False) for p in normal]) if threshold == 100.0 else none
+        return norm.withColumn(out, F.when(F.col("__t").isNull(), none).otherwise(whole)).drop("__t")
     # A text that holds each phrase as it is needs no score; nor does one that shares too few letters with all of them: the shorter of the two must have
-    # threshold / (200 - threshold) of its length in common with the other. Long texts have the letters anyway.
-    held = F.array(*[F.contains("__t", F.lit(p)) for p in normal])
+    # threshold / (200 - threshold) of its length in common with the other.
     share = threshold / (200.0 - threshold)
     size = F.length("__t")
     may = [size - F.length(F.translate("__t", "".join(sorted(set(p))), "")) >= share * F.least(size, F.lit(len(p))) for p in normal]
-    known = texts.withColumn("__held", held)
     ask = ~F.forall("__held", lambda h: h) & ((size > LONG_TEXT) | reduce(Column.__or__, may))
-    known = known.withColumn("__ask", F.when(ask, F.col("__t")))
-    scored = known.withColumn("__s", F.when(F.col("__ask").isNotNull(), close_phrases(F.col("__ask"), normal, threshold)).otherwise(F.col("__held")))
-    hit = F.filter(F.zip_with(names, "__s", lambda p, s: F.when(s, p)), lambda p: p.isNotNull())
-    tags = scored.select("__t", F.array_sort(hit).alias(out))
-    empty = F.array().cast("array<string>")
-    with_text = norm.filter(F.col("__t").isNotNull()).join(tags, "__t", "left")
-    blank = norm.filter(F.col("__t").isNull()).withColumn(out, empty)
-    return with_text.unionByName(blank).drop("__t").withColumn(out, F.coalesce(out, empty))
+    known = norm.withColumn("__held", held).withColumn("__ask", F.when(ask, F.col("__t")))
+    scored = known.withColumn("__s", close_phrases(F.col("__ask"), normal, threshold))
+    return scored.withColumn(out, F.coalesce("__s", F.when(F.col("__t").isNotNull(), F.col("__held")), none)).drop("__t", "__held", "__ask", "__s")
+
+
+def _named(flags: Column, names: Sequence[str]) -> Column:
+    """The names whose flag is set."""
+    hit = F.zip_with(F.array(*[F.lit(n) for n in names]), flags, lambda n, f: F.when(f, n))
+    return F.filter(hit, lambda n: n.isNotNull())
+
+
+def tag_phrases(df: DataFrame, text: str, phrases: Sequence[str] = tuple(X.UNCERTAINTY_PHRASES), threshold: float = X.MATCH_THRESHOLD,
+                out: str = "uncertainty") -> DataFrame:
+    """Sorted array of the phrases a description comes close to."""
+    return _close(df, text, phrases, threshold, "__f").withColumn(out, F.array_sort(_named(F.col("__f"), phrases))).drop("__f")
+
+
+def _synonyms(synonyms: Mapping[str, Sequence[str]]) -> tuple[list[str], list[str]]:
+    """Each synonym and the umbrella term that it stands for."""
+    flat = [(s, u) for u, many in synonyms.items() for s in many]
+    return [s for s, _ in flat], [u for _, u in flat]
 
 
 def tag_synonyms(df: DataFrame, text: str, synonyms: Mapping[str, Sequence[str]] = X.CATEGORY_SYNONYMS, threshold: float = X.MATCH_THRESHOLD,
                  out: str = "category") -> DataFrame:
     """Sorted array of the umbrella terms one of whose synonyms is close."""
-    flat = [(u, s) for u, many in synonyms.items() for s in many]
-    tagged = tag_phrases(df, text, [s for _, s in flat], threshold, "__syn")
-    owner = F.create_map(*[F.lit(x) for u, s in flat for x in (s, u)])
-    return tagged.withColumn(out, F.array_sort(F.array_distinct(F.transform("__syn", lambda s: F.element_at(owner, s))))).drop("__syn")
+    phrases, owners = _synonyms(synonyms)
+    return _close(df, text, phrases, threshold, "__f").withColumn(out, F.array_sort(F.array_distinct(_named(F.col("__f"), owners)))).drop("__f")
 
 
 def describe_polygons(df: DataFrame, description: str = "description") -> DataFrame:
-    """Certainty, uncertainty phrases and category of each description; no description counts as a blank one."""
-    base = df.withColumn("__d", F.coalesce(description, F.lit("")))
-    tagged = tag_synonyms(tag_phrases(base, "__d", out="__u"), "__d", out="__c")
-    return tagged.withColumns({
+    """Certainty, uncertainty phrases and category of each description; no description counts as a blank one. One pass scores all phrases."""
+    phrases, owners = _synonyms(X.CATEGORY_SYNONYMS)
+    flags = list(X.UNCERTAINTY_PHRASES)
+    tagged = _close(df.withColumn("__d", F.coalesce(description, F.lit(""))), "__d", [*flags, *phrases], X.MATCH_THRESHOLD, "__f")
+    terms = F.array_sort(F.array_distinct(_named(F.slice("__f", len(flags) + 1, len(phrases)), owners)))
+    return tagged.withColumn("__c", terms).withColumns({
         "certainty": X.certainty_of("__d"),
-        "uncertainty_explanation": F.array_join("__u", ";"),
+        "uncertainty_explanation": F.array_join(F.array_sort(_named(F.slice("__f", 1, len(flags)), flags)), ";"),
         "category": F.when(F.size("__c") > 0, F.array_join("__c", ";")).otherwise(X.DEFAULT_CATEGORY),
-    }).drop("__d", "__u", "__c")
+    }).drop("__d", "__f", "__c")
 
 
 def _norm(s: str) -> str:
