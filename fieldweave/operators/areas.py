@@ -7,15 +7,20 @@ edges is a trapezoid, and its area is its height times its width half way up: no
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+
 #: Rings of a cell, on average, before a site is cut into more cells; cells a side at most (a cell is a task's smallest share, not a limit on rings).
 CELL_RINGS, MOST_CELLS = 64, 1024
+#: Tasks of a shuffle of rings, as a multiple of the session's number: rings are wide, so a task gets fewer of them.
+PARTS_A_SHUFFLE = 4
 #: Pairs of edges that one numpy step looks at.
 STEP_PAIRS = 1 << 21
 
@@ -136,28 +141,37 @@ def exact_areas(rings: DataFrame, keys: Sequence[str], layers: Sequence[str], me
     ``rings``: keys, ``xy`` (array of x, y), layers (0 or 1) and, if given, ``box`` (west, south, east, north; one for each key), in which areas are counted. Equal rings of a key are one. Keys with
     many rings are cut into cells, each with the rings that reach it, so a site that holds a large part of all rings is many groups.
     """
-    xs, ys = F.transform("xy", lambda p: p["x"]), F.transform("xy", lambda p: p["y"])
-    limits = F.struct(F.array_min(xs).alias("w"), F.array_min(ys).alias("s"), F.array_max(xs).alias("e"), F.array_max(ys).alias("n"))
-    one = rings.filter(F.size("xy") > 2).groupBy(*keys, "xy", *layers).agg(*([F.first(box).alias("__box")] if box else [])) if box else rings.filter(F.size("xy") > 2).select(*keys, "xy", *layers).distinct()
-    one = one.withColumn("__at", limits)
-    area = F.struct(*[(F.first(F.col("__box")[c]) if box else agg(F.col("__at")[k])).alias(k) for c, k, agg in (("west", "w", F.min), ("south", "s", F.min), ("east", "e", F.max), ("north", "n", F.max))])
-    site = one.groupBy(*keys).agg(F.count("*").alias("__rings"), area.alias("__area")).select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], "__area", F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.col("__rings") / CELL_RINGS))).cast("int").alias("__side"))
+    # Rings travel as plain numbers and layers as bits. They are dealt before equal ones are looked for: done in the tasks that read them, that would hold each task's whole share of the input.
+    tasks = PARTS_A_SHUFFLE * int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = F.flatten(F.transform("xy", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
+    bits = reduce(Column.__add__, (F.shiftleft(F.col(c).cast("int"), k) for k, c in enumerate(layers)))
+    sides = {k: F.col(box)[c].cast("double").alias(f"__box_{k}") for k, c in zip("wsen", ("west", "south", "east", "north"), strict=True)} if box else {}
+    xs, ys = F.transform("xy", lambda p: p["x"].cast("double")), F.transform("xy", lambda p: p["y"].cast("double"))
+    at = {"w": F.array_min(xs), "s": F.array_min(ys), "e": F.array_max(xs), "n": F.array_max(ys)}
+    one = rings.filter(F.size("xy") > 2).select(*keys, flat.alias("__ring"), bits.alias("__on"), *[c.alias(f"__at_{k}") for k, c in at.items()], *sides.values())
+    # Read twice below, so they are written once: what the rings come from would be worked out anew for each.
+    folder = scratch(rings.sparkSession, "rings")
+    one.repartition(tasks, *keys, "__ring").distinct().write.parquet(folder)
+    one = rings.sparkSession.read.schema(one.schema).parquet(folder)
+    area = {k: (F.min(f"__box_{k}") if box else agg(f"__at_{k}")).alias(f"__area_{k}") for k, agg in zip("wsen", (F.min, F.min, F.max, F.max), strict=True)}
+    site = one.groupBy(*keys).agg(F.count("*").alias("__rings"), *area.values()).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(*[F.col(f"__area_{k}").alias(k) for k in "wsen"]).alias("__area"),
+        F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.col("__rings") / CELL_RINGS))).cast("int").alias("__side"))
     met = one.join(site, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
 
     def cells(low: str, high: str):
         a, b = F.col("__area")[low], F.col("__area")[high]
         cell = lambda v: F.greatest(F.lit(0), F.least(F.col("__side") - 1, F.floor(F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0)) * F.col("__side")).cast("int")))
-        return F.sequence(cell(F.col("__at")[low]), cell(F.col("__at")[high]))
+        return F.sequence(cell(F.col(f"__at_{low}")), cell(F.col(f"__at_{high}")))
 
     def edge(low: str, high: str, cell: str, upper: int):
         a, b = F.col("__area")[low], F.col("__area")[high]
         return F.when(F.col(cell) + upper == F.col("__side"), b).otherwise(a + (b - a) * (F.col(cell) + upper) / F.col("__side"))
 
     # What lies left of a cell does not reach it; what lies right of it is left out when its edges are looked at.
-    apart = (F.col("__at.e") < F.col("__area.w")) | (F.col("__at.w") > F.col("__area.e")) | (F.col("__at.n") < F.col("__area.s")) | (F.col("__at.s") > F.col("__area.n"))
+    apart = (F.col("__at_e") < F.col("__area.w")) | (F.col("__at_w") > F.col("__area.e")) | (F.col("__at_n") < F.col("__area.s")) | (F.col("__at_s") > F.col("__area.n"))
     dealt = met.filter(~apart).withColumn("__cx", F.explode(cells("w", "e"))).withColumn("__cy", F.explode(cells("s", "n"))).select(
-        *keys, "__cx", "__cy", "xy", F.array(*[F.col(c).cast("int") for c in layers]).alias("__on"),
+        *keys, "__cx", "__cy", "__ring", "__on",
         F.array(edge("w", "e", "__cx", 0), edge("s", "n", "__cy", 0), edge("w", "e", "__cx", 1), edge("s", "n", "__cy", 1)).alias("__b"))
     names = list(measures)
     index = {c: k for k, c in enumerate(layers)}
@@ -173,15 +187,14 @@ def exact_areas(rings: DataFrame, keys: Sequence[str], layers: Sequence[str], me
             starts = _group_starts(table, group_keys)
             # The last group of a batch may go on in the next one.
             if starts[-1]:
-                yield _measured(table.slice(0, starts[-1]), starts[:-1], keys, names, wanted)
+                yield _measured(table.slice(0, starts[-1]), starts[:-1], keys, len(layers), names, wanted)
                 held = table.slice(starts[-1]).combine_chunks().to_batches()
             else:
                 held = table.to_batches()
         if held and held[0].num_rows:
             table = pa.Table.from_batches(held).combine_chunks()
-            yield _measured(table, _group_starts(table, group_keys), keys, names, wanted)
+            yield _measured(table, _group_starts(table, group_keys), keys, len(layers), names, wanted)
 
-    tasks = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = dealt.repartition(tasks, *group_keys).sortWithinPartitions(*group_keys).mapInArrow(measure, schema)
     return parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
@@ -197,17 +210,16 @@ def _group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _measured(table: pa.Table, starts: np.ndarray, keys: Sequence[str], names: Sequence[str], wanted: Sequence[tuple[str, list[int]]]) -> pa.RecordBatch:
-    rings = _flat(table.column("xy"))
-    sizes = np.diff(rings.offsets.to_numpy())
-    points = rings.flatten()
-    x, y = (points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+def _measured(table: pa.Table, starts: np.ndarray, keys: Sequence[str], n_layers: int, names: Sequence[str], wanted: Sequence[tuple[str, list[int]]]) -> pa.RecordBatch:
+    rings = _flat(table.column("__ring"))
+    sizes = np.diff(rings.offsets.to_numpy()) // 2
+    x, y = rings.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2).T
     ring = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     after = np.arange(1, len(x) + 1)
     after[ends - 1] = ends - sizes  # the last edge closes the ring
     group = np.searchsorted(starts, np.arange(len(sizes)), "right") - 1
-    layers = np.array(table.column("__on").to_pylist(), np.int64)
+    layers = table.column("__on").to_numpy()[:, None].astype(np.int64) >> np.arange(n_layers) & 1
     boxes = np.array(table.column("__b").take(pa.array(starts)).to_pylist(), float)
     found = group_areas(group[ring], ring, np.c_[x, y, x[after], y[after]], layers, boxes, wanted)
     heads = table.take(pa.array(starts))
