@@ -209,9 +209,13 @@ def fit_additive(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 120
     return model
 
 
+#: Bytes of text whose features are counted at once: some thirty numbers of eight bytes for each of them are held meanwhile.
+FEATURE_BYTES = 1 << 18
+
+
 def feature_rows(batch: pa.RecordBatch, text: str) -> np.ndarray:
     body, offsets = byte_column(batch.column(batch.schema.get_field_index(text)))
-    parts = [text_features(body[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets)]
+    parts = [text_features(body[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in slices(offsets, FEATURE_BYTES)]
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 
@@ -242,7 +246,10 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", output: str
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose text scores at least ``least``, in the columns of ``docs``."""
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(text).alias("body"))
-    kept = score(rows, model, "body").where(F.col("score") >= least)
-    return kept.select("row.*")
+    """The rows whose text scores at least ``least``, in the columns of ``docs``. They are picked where they are scored, so a text is sent once and only if kept sent back."""
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(feature_rows(batch, text)) >= least))
+
+    return docs.mapInArrow(pick, docs.schema)
