@@ -19,13 +19,14 @@ ALWAYS_IN = ["AB_JL_v2_101-125", "PS_101-125", "PS_1025-1049"]
 ALWAYS_OUT = "MV_76-100"
 
 
-def _places(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str]) -> tuple[list[str], DataFrame, DataFrame]:
+def _places(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str], once: bool = False) -> tuple[list[str], DataFrame, DataFrame]:
     """(place columns, distinct survey rows by place, polygon rows by place). A survey row has two places, one by internal id and one by site number: labelers
-    sometimes typed the site number instead of the internal id. What has no place matches nothing."""
+    sometimes typed the site number instead of the internal id. What has no place matches nothing. ``once``: every key names one row, so nothing is to be made distinct."""
     at = ["__id", *DATE, *keys]
     known = [F.col(c).isNotNull() for c in at]
     rows = survey.withColumn("__id", F.explode(F.array_distinct(F.array(F.col("internal_id"), site_number()))))
-    left = rows.select(survey_key, *at).filter(reduce(Column.__and__, known)).distinct()
+    left = rows.select(survey_key, *at).filter(reduce(Column.__and__, known))
+    left = left if once else left.distinct()
     right = polygons.withColumn("__id", F.col("internal_id")).withColumn("__at", F.when(reduce(Column.__and__, known), F.struct(*at)))
     return at, left, right
 
@@ -53,6 +54,15 @@ def polygon_site(survey: DataFrame, polygons: DataFrame, survey_key: str, polygo
     return right.select(polygon_key, *at).join(last, at).groupBy(polygon_key).agg(F.max_by("__site", "__order").alias("site_id"))
 
 
+def with_polygon_site(survey: DataFrame, polygons: DataFrame, survey_key: str, line: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``polygons`` with the ``site_id`` that ``polygon_site`` finds, where every row of both tables is one survey answer or one polygon: they are sent once, by place."""
+    at = ["__id", *DATE, *keys]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in at])
+    rows = survey.withColumn("__id", F.explode(F.array_distinct(F.array(F.col("internal_id"), site_number())))).filter(known)
+    last = rows.groupBy(*at).agg(F.max_by("site_id", F.struct(line, survey_key)).alias("site_id"))
+    return polygons.withColumn("__id", F.col("internal_id")).join(last, at, "left").select(*polygons.columns, "site_id")
+
+
 def unmatched_polygons(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct polygon keys that no survey row matches at any of their places."""
     at, left, right = _places(survey, polygons, survey_key, polygon_key, keys)
@@ -61,25 +71,34 @@ def unmatched_polygons(survey: DataFrame, polygons: DataFrame, survey_key: str,
     return met.filter(~F.col("__met") | F.col(polygon_key).isNull()).select(polygon_key)
 
 
-def polygon_stats(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = (), cutoff: int = 3) -> DataFrame:
+def polygon_stats(survey: DataFrame, polygons: DataFrame, survey_key: str, polygon_key: str, keys: Sequence[str] = (), cutoff: int = 3, once: bool = False) -> DataFrame:
     """Mean and least polygon area per survey row with a match, for all and for certain polygons.
 
-    Polygons are added up by key and then by place, and survey rows add up their places, so there are no pairs but those of polygon keys at several places.
+    Polygons are added up by key and then by place, and survey rows add up their places, so there are no pairs but those of polygon keys at several places. Where every key names
+    one row (``once``), polygons are added up by place at once.
     """
-    at, left, right = _places(survey, polygons, survey_key, polygon_key, keys)
+    at, left, right = _places(survey, polygons, survey_key, polygon_key, keys, once)
     sure, area = F.col("certainty") >= cutoff, F.col("polygon_area_m2")
     parts = {"__n": F.sum, "__top": F.max, "__sum": F.sum, "__count": F.sum, "__sum_hc": F.sum, "__count_hc": F.sum, "__min": F.min, "__min_hc": F.min}
     added = [how(c).alias(c) for c, how in parts.items()]
     high = F.when(sure, area)
+    if once:
+        each = {"__n": F.lit(1).cast("long"), "__top": F.col("certainty"), "__sum": area, "__count": area.isNotNull().cast("long"), "__sum_hc": high, "__count_hc": high.isNotNull().cast("long"), "__min": area, "__min_hc": high}
+        rows = right.filter(F.col("__at").isNotNull()).select("__at.*", *[c.alias(n) for n, c in each.items()])
+        return _summed(left.join(rows.groupBy(*at).agg(*added), at).select(survey_key, *parts), survey_key, added)
     drawn = right.filter(F.col(polygon_key).isNotNull()).groupBy(polygon_key).agg(
         F.collect_set("__at").alias("__places"), F.count("*").alias("__n"), F.max("certainty").alias("__top"), F.sum(area).alias("__sum"), F.count(area).alias("__count"),
         F.sum(high).alias("__sum_hc"), F.count(high).alias("__count_hc"), F.min(area).alias("__min"), F.min(high).alias("__min_hc"))
     several = F.size("__places") > 1
     where = lambda part: part.withColumn("__at", F.explode("__places")).select(polygon_key, "__at.*", *parts)
-    once = left.join(where(drawn.filter(~several)).groupBy(*at).agg(*added), at).select(survey_key, *parts)
+    single = left.join(where(drawn.filter(~several)).groupBy(*at).agg(*added), at).select(survey_key, *parts)
     pairs = left.join(where(drawn.filter(several)), at).dropDuplicates([survey_key, polygon_key]).select(survey_key, *parts)
+    return _summed(single.unionByName(pairs), survey_key, added)
+
+
+def _summed(met: DataFrame, survey_key: str, added: Sequence[Column]) -> DataFrame:
     c = F.col
-    return once.unionByName(pairs).groupBy(survey_key).agg(*added).select(
+    return met.groupBy(survey_key).agg(*added).select(
         survey_key, c("__n").alias("n_polygons"), c("__top").alias("max_certainty"),
         F.try_divide("__sum", "__count").alias("poly_avg_size"), F.try_divide("__sum_hc", "__count_hc").alias("poly_avg_size_hc"),
         c("__min").alias("poly_min_size"), c("__min_hc").alias("poly_min_size_hc"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import _c, hash_key
-from ..session import settled
+from ..session import settled, stored
 
 
 def first_per_key(df: DataFrame, keys: Sequence, order: Sequence, n: int = 1, rank_col: str | None = None) -> DataFrame:
@@ -43,11 +43,11 @@ def numbered(df: DataFrame, order: Sequence[str], id_col: str = "unique_id", sta
     """Row ids start..n in the given order.
 
     A range shuffle on the whole order key spreads even one hot leading value.
-    The sorted rows are checkpointed because the ids need two passes (count per
+    The sorted rows are written because the ids need two passes (count per
     range, then offset) over the very same ranges. Only the count per range, one
     row per partition, goes through a single task.
     """
-    laid = settled(
+    laid = stored(
         df.repartitionByRange(*[F.col(c) for c in order])
         .sortWithinPartitions(*order)
         .withColumn("__row", F.monotonically_increasing_id())
@@ -70,10 +70,11 @@ def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], id
     """Row ids start..n within each key, in the given order, and if asked ids of all rows (from 0) as ``whole``.
 
     All rows are numbered together, so a hot key is spread over many ranges; a key's ids are the differences to its first one. Keys are not null.
+    They are few against the rows, which stay where they are: only the keys' first ids are sent.
     """
     rows = numbered(df, [*keys, *order], "__all", 0)
     first = rows.groupBy(*keys).agg(F.min("__all").alias("__first"))
-    out = rows.join(first, list(keys)).withColumn(id_col, F.col("__all") - F.col("__first") + F.lit(start)).drop("__first")
+    out = rows.join(F.broadcast(first), list(keys)).withColumn(id_col, F.col("__all") - F.col("__first") + F.lit(start)).drop("__first")
     return out.withColumnRenamed("__all", whole) if whole else out.drop("__all")
 
 

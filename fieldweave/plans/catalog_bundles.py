@@ -20,47 +20,54 @@ def _pick(names, k):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
 
 
-def _file(folder, ending):
-    k = F.col("k")
-    return F.concat(F.lit(f"{folder}/"), F.col("source_file"), F.lit("/1/"), F.lpad(_s(F.expr(f"k div {PER_FILE}")), 9, "0"), F.lit(f".{ending}")), k
+def _survey(x):
+    """The document of an order; ``x`` is a row's columns by name."""
+    y, m, dd, code = F.year(x("o_orderdate")), F.month(x("o_orderdate")), F.dayofmonth(x("o_orderdate")), F.substring(x("o_orderpriority"), 1, 1)
+    slot = lambda i, *v: F.concat(_tag(f"year{i}", _tag("code", _s(v[0]))), _tag(f"month{i}", _tag("code", _s(v[1]))), _tag(f"day{i}", _tag("value", _s(v[2]))), _tag(f"irrigation{i}", _tag("code", code)))
+    site = F.concat(F.lit("id_"), _s(x("o_custkey")))
+    return _tag("plot", F.concat(
+        _tag("id", _tag("value", site)), _tag("location", F.concat(_tag("x", _s(22 + x("o_custkey") % 100 / 10.0)), _tag("y", F.lit("-15.5")))),
+        _tag("plot_file", _tag("value", F.concat(F.lit("Zambia_0.05_n_"), _pick(PLOTS, x("k")), F.lit(".csv")))),
+        slot(1, y, m, dd), F.when(x("k") % 3 == 0, slot(4, y + 1, m, F.lit(5))).otherwise(F.lit(""))))
 
 
 def survey_files(spark, d):
     """``orders`` as survey documents of seven bundles, fifty numbers a file, the last one first: slot 1 always, slot 4 on some."""
     k = F.col("o_orderkey")
-    y, m, dd, code = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.substring("o_orderpriority", 1, 1)
-    slot = lambda i, *v: F.concat(_tag(f"year{i}", _tag("code", _s(v[0]))), _tag(f"month{i}", _tag("code", _s(v[1]))), _tag(f"day{i}", _tag("value", _s(v[2]))), _tag(f"irrigation{i}", _tag("code", code)))
-    site = F.concat(F.lit("id_"), _s("o_custkey"))
-    xml = _tag("plot", F.concat(
-        _tag("id", _tag("value", site)), _tag("location", F.concat(_tag("x", _s(22 + F.col("o_custkey") % 100 / 10.0)), _tag("y", F.lit("-15.5")))),
-        _tag("plot_file", _tag("value", F.concat(F.lit("Zambia_0.05_n_"), _pick(PLOTS, k), F.lit(".csv")))),
-        slot(1, y, m, dd), F.when(k % 3 == 0, slot(4, y + 1, m, F.lit(5))).otherwise(F.lit(""))))
-    rows = table(spark, d, "orders").select(k.alias("k"), _pick(BUNDLES, k).alias("source_file"), xml.alias("xml"))
-    return _files(rows.withColumn("path", _file("raw", "xml")[0]), "plots")
+    rows = table(spark, d, "orders").select(k.alias("k"), _pick(BUNDLES, k).alias("source_file"), F.expr(f"o_orderkey div {PER_FILE}").alias("file"), "o_custkey", "o_orderdate", "o_orderpriority")
+    return _files(rows, "raw", "/1", "xml", "plots", _survey)
+
 
+def _files(rows, folder, sub, ending, root, xml):
+    """Elements of a file from the last ``k`` to the first. What the elements say is sent to the file, not the elements."""
+    told = [c for c in rows.columns if c not in ("source_file", "file")]
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(*told)), asc=False), lambda x: xml(x.getField))
+    path = F.concat(F.lit(f"{folder}/"), F.col("source_file"), F.lit(f"{sub}/"), F.lpad(_s("file"), 9, "0"), F.lit(f".{ending}"))
+    content = F.concat(F.lit(f"<{root}><!-- <Placemark>none</Placemark> -->"), F.array_join("parts", "\n"), F.lit(f"</{root}>"))
+    return rows.groupBy("file", "source_file").agg(parts.alias("parts")).select(path.alias("path"), "source_file", content.alias("content"))
 
-def _files(rows, root):
-    """Elements of a file from the last number to the first."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("k", "xml")), asc=False), lambda x: x["xml"])
-    return rows.groupBy("path", "source_file").agg(F.concat(F.lit(f"<{root}><!-- <Placemark>none</Placemark> -->"), F.array_join(parts, "\n"), F.lit(f"</{root}>")).alias("content"))
+
+def _placemark(x):
+    """The placemark of a line of an order."""
+    k, n = x("l_orderkey"), x("l_linenumber")
+    number = F.when(n % 2 == 0, x("o_custkey") % 25 + 1).otherwise(x("o_custkey"))
+    late = (n % 3 == 0) & (k % 3 == 0)
+    year, day = F.year(x("o_orderdate")) + F.when(late, 1).otherwise(0), F.when(late, 5).otherwise(F.dayofmonth(x("o_orderdate")))
+    name = F.concat(F.lit("JL_"), _s(number), F.lit("_"), _s(F.month(x("o_orderdate"))), F.lit("."), _s(day), F.lit("."), _s(year))
+    at, y = 22 + x("o_custkey") % 100 / 10.0 + x("l_partkey") % 7 / 10000.0, -15.5
+    pts = F.concat_ws(" ", *[F.concat(_s(at + a), F.lit(","), F.lit(str(y + b))) for a, b in ((0, 0), (0.0003, 0), (0.0003, 0.0002), (0, 0))])
+    return _tag("Placemark", F.concat(_tag("name", name), _tag("description", _s(n % 5 + 1)), _tag("Polygon", _tag("outerBoundaryIs", _tag("LinearRing", _tag("coordinates", pts))))))
 
 
 def placemark_files(spark, d):
     """``lineitem`` as placemarks of the bundle of its order; names hold the internal id or the site number, and one of the order's two dates."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    number = F.when(n % 2 == 0, F.col("o_custkey") % 25 + 1).otherwise(F.col("o_custkey"))
-    late = (n % 3 == 0) & (k % 3 == 0)
-    year, day = F.year("o_orderdate") + F.when(late, 1).otherwise(0), F.when(late, 5).otherwise(F.dayofmonth("o_orderdate"))
-    name = F.concat(F.lit("JL_"), _s(number), F.lit("_"), _s(F.month("o_orderdate")), F.lit("."), _s(day), F.lit("."), _s(year))
-    x, y = 22 + F.col("o_custkey") % 100 / 10.0 + F.col("l_partkey") % 7 / 10000.0, -15.5
-    pts = F.concat_ws(" ", *[F.concat(_s(x + a), F.lit(","), F.lit(str(y + b))) for a, b in ((0, 0), (0.0003, 0), (0.0003, 0.0002), (0, 0))])
-    xml = _tag("Placemark", F.concat(_tag("name", name), _tag("description", _s(n % 5 + 1)), _tag("Polygon", _tag("outerBoundaryIs", _tag("LinearRing", _tag("coordinates", pts))))))
+    k = F.col("l_orderkey")
     rows = li.join(o, k == F.col("o_orderkey")).select(
-        k.alias("key"), (k * 1000000 + n * 100000 + F.col("l_partkey")).alias("sort"), _pick(BUNDLES, k).alias("source_file"), xml.alias("xml"))
-    path = F.concat(F.lit("raw/"), F.col("source_file"), F.lit("/"), F.lpad(_s(F.expr(f"key div {PER_FILE}")), 9, "0"), F.lit(".kml"))
-    return _files(rows.select(F.col("sort").alias("k"), "source_file", "xml", path.alias("path")), "kml")
+        (k * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("k"), _pick(BUNDLES, k).alias("source_file"), F.expr(f"l_orderkey div {PER_FILE}").alias("file"),
+        "l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_orderdate")
+    return _files(rows, "raw", "", "kml", "kml", _placemark)
 
 
 def label_job(spark, d):
@@ -92,7 +99,7 @@ SELECT row_number() OVER (ORDER BY once.source_file, once.line) AS unique_id, on
        n IS NOT NULL AS drawn, coalesce(top >= 3, false) AS sure FROM once LEFT JOIN st ON once.source_file = st.source_file AND once.line = st.line""")
 def _(spark, d):
     """Pooled label rows of seven bundles: latest versions, repeats dropped, lines in document order."""
-    pooled = LT.pool(label_job(spark, d).labels)
+    pooled = LT.pool(label_job(spark, d).rows)
     return pooled.select(
         "unique_id", "source_file", "line", "site_id", "internal_id", "year", "month", "day", "irrigation", "image_number",
         F.col("poly_min_size").isNotNull().alias("drawn"), F.col("poly_min_size_hc").isNotNull().alias("sure"))
@@ -108,4 +115,4 @@ WHERE pg.source_file IN (SELECT source_file FROM once)""")
 def _(spark, d):
     """Pooled polygons in document order: the last matching survey row of the same bundle names the site."""
     job = label_job(spark, d)
-    return LT.pool_polygons(job.polygons, LT.pool(job.labels)).select("source_file", "poly_order", "certainty", "site_id", "internal_id", "operator_initials", "plot_file")
+    return LT.pool_polygons(job.polygons, LT.chosen(job.rows)).select("source_file", "poly_order", "certainty", "site_id", "internal_id", "operator_initials", "plot_file")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,18 +15,36 @@ from ..operators import geometry as GE
 from ..operators import labels as L
 from ..operators import ranking as R
 from ..operators import tagging as TG
-from ..session import settled
+from ..session import stored
 from ..sources import placemarks as PM
 from ..sources import surveys as SV
 
 
 @dataclass
 class LabelTables:
-    labels: DataFrame
+    """``rows`` are the label rows without their coverage. Measuring areas writes the rings of all matches, so tables that need them are made when they are first asked for."""
+
+    rows: DataFrame
     polygons: DataFrame
-    issues: DataFrame
     unmatched: DataFrame
-    outside: DataFrame
+    measured: Callable[[], DataFrame]
+    overlaps: Callable[[], DataFrame]
+
+    @cached_property
+    def _measured(self) -> DataFrame:
+        return self.measured()
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return self._measured.drop("n_polygons", "max_certainty", "row_id")
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return L.consistency_issues(self._measured).drop("row_id")
+
+    @cached_property
+    def outside(self) -> DataFrame:
+        return self.overlaps()
 
 
 def build(docs: DataFrame, sample: DataFrame, marks: DataFrame, survey_name: str | None = None, cutoff: int = 3) -> LabelTables:
@@ -41,27 +61,32 @@ def build(docs: DataFrame, sample: DataFrame, marks: DataFrame, survey_name: str
         docs, marks = (t.withColumn("source_file", F.lit(survey_name)) for t in (docs, marks))
     bundle = ["source_file"]
     # Documents are parsed once: tagging and numbering read their rows several times.
-    survey = settled(SV.internal_ids(SV.answer_rows(docs), sample))
+    survey = stored(SV.internal_ids(SV.answer_rows(docs), sample))
     survey = R.numbered_within(survey, bundle, ["path", *_position(survey), "site_id", "image_number"], "line", 0, whole="row_id").drop("path", "position")
-    drawn = TG.describe_polygons(settled(PM.placemark_rows(marks).filter("geometry_status = 'ok'")))
+    drawn = TG.describe_polygons(stored(PM.placemark_rows(marks).filter("geometry_status = 'ok'")))
     drawn = R.numbered_within(drawn, bundle, ["path", "position"] if "position" in drawn.columns else ["name", "description", "ring"], "poly_order", 0, whole="poly_id").drop("path", "position")
     drawn = drawn.withColumn("polygon_area_m2", G.shoelace(G.ring_to_utm("ring"))).withColumn("category", area_category())
     matches = L.survey_polygon_matches(survey, drawn, "row_id", "poly_id", bundle)
-    stats = L.polygon_stats(survey, drawn, "row_id", "poly_id", bundle, cutoff)
+    stats = L.polygon_stats(survey, drawn, "row_id", "poly_id", bundle, cutoff, once=True)
     boxes = survey.select("row_id", G.geodesic_box("y", "x").alias("box"))
     on_row = matches.join(drawn.select("poly_id", "ring", "certainty", "category"), "poly_id")
-    # Areas and statistics are left joins on their own key, so Spark leaves out what a reader of the labels does not ask for.
-    labels = GE.site_coverage(survey.withColumn("box", G.geodesic_box("y", "x")), on_row, "row_id", cutoff).drop("box").join(stats, "row_id", "left")
-    site = L.polygon_site(survey, drawn, "row_id", "poly_id", "line", bundle)
-    placed = L.repair_internal_id(drawn.join(site, "poly_id", "left"), survey, bundle)
+    placed = L.repair_internal_id(L.with_polygon_site(survey, drawn, "row_id", "line", bundle), survey, bundle)
     info = ["plot_file", "x", "y", "water_source"]
-    outside = GE.box_overlaps(boxes, on_row, "row_id").filter(~F.col("overlaps"))
+
+    def measured() -> DataFrame:
+        # Areas and statistics are left joins on their own key, so Spark leaves out what a reader of the labels does not ask for.
+        return GE.site_coverage(survey.withColumn("box", G.geodesic_box("y", "x")), on_row, "row_id", cutoff).drop("box").join(stats, "row_id", "left")
+
+    def overlaps() -> DataFrame:
+        outside = GE.box_overlaps(boxes, on_row, "row_id").filter(~F.col("overlaps"))
+        return outside.join(survey.select("row_id", "source_file", "line"), "row_id").drop("row_id", "poly_id")
+
     return LabelTables(
-        labels=labels.drop("n_polygons", "max_certainty", "row_id"),
+        rows=survey.join(stats, "row_id", "left").drop("n_polygons", "max_certainty", "row_id"),
         polygons=L.attach_survey_info(placed, survey, info, bundle).drop("poly_id"),
-        issues=L.consistency_issues(labels).drop("row_id"),
         unmatched=placed.filter(F.col("site_id").isNull()).drop("poly_id"),
-        outside=outside.join(survey.select("row_id", "source_file", "line"), "row_id").drop("row_id", "poly_id"),
+        measured=measured,
+        overlaps=overlaps,
     )
 
 
@@ -88,5 +113,5 @@ def chosen(labels: DataFrame) -> DataFrame:
 
 
 def pool_polygons(polygons: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Polygons of the pooled survey files, dates shifted the same way."""
-    return shift_back_one_day(polygons.join(pooled.select("source_file"), "source_file", "left_semi"))
+    """Polygons of the pooled survey files, dates shifted the same way. The files' names are few and go to the polygons."""
+    return shift_back_one_day(polygons.join(F.broadcast(pooled.select("source_file").distinct()), "source_file", "left_semi"))

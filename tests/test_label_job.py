@@ -73,3 +73,21 @@ def test_pooling_measures_no_areas(tables):
     assert "MapInArrow" not in few and "MapInArrow" in pooled.select("percent_coverage")._jdf.queryExecution().optimizedPlan().toString()
     assert pooled.columns == [*tables.labels.columns, "most_recent", "unique_id"]
     assert all(r["percent_coverage"] > 0 for r in pooled.collect())
+
+
+def test_pooling_writes_no_rings(spark, tables):
+    """Label rows without coverage are at hand before any area is measured; they are the same rows."""
+    assert not {"percent_coverage"} & set(tables.rows.columns)
+    rows = {(r["source_file"], r["line"]): r["poly_min_size"] for r in tables.rows.collect()}
+    assert rows == {(r["source_file"], r["line"]): r["poly_min_size"] for r in tables.labels.collect()}
+    slim = {(r["unique_id"], r["source_file"], r["line"]) for r in LT.pool(tables.rows).collect()}
+    assert slim == {(r["unique_id"], r["source_file"], r["line"]) for r in LT.pool(tables.labels).collect()}
+
+
+def test_building_measures_nothing(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(GE, "site_coverage", lambda *a: asked.append(a))
+    (tmp_path / "m.kml").write_text("<kml>" + placemark("JL_1_9.6.2021", "4", 22.0) + "</kml>")
+    docs = spark.createDataFrame([("raw/JL_1-25/1/a.xml", plot("id_900", 22.0, (1, 5)))], "path string, xml string")
+    out = LT.build(SV.parse_surveys(docs), spark.createDataFrame([("id_900", 1)], "id string, line_no int"), PM.read_placemarks(spark, str(tmp_path / "m.kml")), survey_name="JL_1-25")
+    assert LT.pool(out.rows).count() == 1 and not asked
